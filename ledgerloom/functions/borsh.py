@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import wide
 from ledgerloom.functions.base58 import ALPHABET, bytes_to_base58
+from ledgerloom.functions.text import camel_name
 
 # Byte width of each fixed-size primitive.
 WIDTH = {
@@ -338,7 +339,7 @@ class Layout:
         out = F.when(F.lit(False), F.lit(""))
         for i, variant in enumerate(body["variants"]):
             inner = self._json_members(self._members(variant.get("fields")), p, o + 1)
-            name = variant_key(variant["name"])
+            name = camel_name(variant["name"])
             out = out.when(tag == i, F.concat(F.lit('{"' + name + '":'), inner, F.lit("}")))
         return out
 
@@ -402,8 +403,3 @@ class Layout:
                 lambda at: self._json_rest(rest, p, at, ","),
             )
         return F.concat(head, tail)
-
-
-def variant_key(name: str) -> str:
-    """Key of an enum variant in decoded objects: its name in lower camel case."""
-    return name[:1].lower() + name[1:]

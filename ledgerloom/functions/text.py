@@ -6,6 +6,8 @@ grouped results are ordered by that text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,17 @@ def snake_case(name: Column) -> Column:
     return F.lower(F.array_join(words, "_"))
 
 
+def snake_name(name: str) -> str:
+    """The same rule for one name while a plan is being built."""
+    return "_".join(re.findall(WORD_PATTERN, re.sub("['’]", "", name))).lower()
+
+
+def camel_name(name: str) -> str:
+    """Lower camel case, the key of an enum variant in decoded objects."""
+    head, *rest = re.findall(WORD_PATTERN, name) or [name]
+    return head.lower() + "".join(word[:1].upper() + word[1:].lower() for word in rest)
+
+
 def discriminator(space: str, name: Column) -> Column:
     """Hex of the leading bytes of sha256(space + name); the name as written."""
     digest = F.sha2(F.concat(F.lit(space), name), 256)
@@ -68,13 +81,12 @@ def _leading_group(shown: Column) -> tuple[Column, Column]:
     return weight, first.cast("int")
 
 
-def quotient_text(hi: Column, lo: Column, count: Column) -> Column:
-    """Text of (hi * 10**19 + lo) / count for a count >= 1, rounded half away from zero.
+def quotient_text(negative: Column, high: Column, low: Column, count: Column) -> Column:
+    """Text of +-(high * 10**19 + low) / count, count >= 1, rounded half away from zero.
 
     At least sixteen significant digits are shown; the number of decimals follows
     from the leading groups of both operands. All steps are exact.
     """
-    negative, high, low = wide.magnitude(hi, lo)
     n = count.cast("decimal(19,0)")
     shown = wide.digits(high, low)
     weight, first = _leading_group(shown)
