@@ -1,8 +1,9 @@
-"""Little-endian record layouts as Spark expressions.
+"""Little-endian record layouts as Spark SQL expressions.
 
-A layout is compiled from the interface types into Columns over a binary
-payload and an offset column. Nothing here touches rows: decoding runs inside
-whole-stage code generation and prunes with the columns a query asks for.
+A layout is compiled from the interface types into SQL text over a binary
+payload and an offset. Nothing here touches rows: decoding runs inside
+whole-stage code generation and prunes with the columns a query asks for. Text
+keeps plan building cheap: one parse per field, however deep its type.
 
 * ``advance``  - offset after a value, null when a tag byte is out of range
 * ``scalar``   - a value with its own Spark type
@@ -12,6 +13,9 @@ whole-stage code generation and prunes with the columns a query asks for.
 
 from __future__ import annotations
 
+import itertools
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,145 +32,170 @@ KEY_BYTES = 32
 LENGTH_BYTES = 4
 
 
-def defined_name(kind: dict) -> str:
-    inner = kind["defined"]
-    return inner if isinstance(inner, str) else inner["name"]
+@dataclass(frozen=True)
+class At:
+    """An offset: a SQL expression plus a constant."""
+
+    base: str | None = None
+    plus: int = 0
+
+    def __add__(self, count: int) -> At:
+        return At(self.base, self.plus + count)
+
+    def __str__(self) -> str:
+        if self.base is None:
+            return f"{self.plus}L"
+        return f"({self.base} + {self.plus}L)" if self.plus else self.base
+
+
+_names = itertools.count()
 
 
-def let(value: Column, body) -> Column:
-    """Bind an expression once; repeated use inside a lambda would multiply it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(value: str, body) -> str:
+    """Bind an expression to a lambda variable; repeating it would multiply its cost."""
+    name = f"v{next(_names)}"
+    return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
 
 
-def _quotient(left: Column, right: int) -> Column:
-    """Exact bigint division."""
-    return F.call_function("div", left, F.lit(right).cast("bigint"))
+def quote(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _slice(payload: Column, offset: Column, size) -> Column:
-    size = size if isinstance(size, Column) else F.lit(size)
-    return F.substring(payload, (offset + 1).try_cast("int"), size.try_cast("int"))
+def defined_name(kind: dict) -> str:
+    inner = kind["defined"]
+    return inner if isinstance(inner, str) else inner["name"]
+
+
+# -- primitives ----------------------------------------------------------
 
 
-def _big_endian_hex(payload: Column, offset: Column, size: int) -> Column:
-    text = F.hex(_slice(payload, offset, size))
-    return F.concat(*(F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))))
+def _slice(p: str, at: At, size: int | str) -> str:
+    start = str(at.plus + 1) if at.base is None else f"try_cast({at + 1} AS INT)"
+    count = str(size) if isinstance(size, int) else f"try_cast({size} AS INT)"
+    return f"substring({p}, {start}, {count})"
 
 
-def unsigned(payload: Column, offset: Column, size: int) -> Column:
-    """Decimal text of an unsigned integer of up to eight bytes."""
-    return F.conv(_big_endian_hex(payload, offset, size), 16, 10)
+def _conv(p: str, at: At, size: int, base: int = 10) -> str:
+    """Decimal text of up to eight bytes; base -10 reads eight of them as signed."""
+    parts = ", ".join(_slice(p, at + i, 1) for i in reversed(range(size)))
+    return f"conv(hex(concat({parts})), 16, {base})"
 
 
-def _long(payload, offset, size) -> Column:
-    return unsigned(payload, offset, size).try_cast("bigint")
+def _unsigned(p: str, at: At, size: int) -> str:
+    return f"try_cast({_conv(p, at, size)} AS BIGINT)"
 
 
-def _signed(payload, offset, size) -> Column:
+def _signed(p: str, at: At, size: int) -> str:
     if size == 8:
-        return F.conv(_big_endian_hex(payload, offset, 8), 16, -10).try_cast("bigint")
-    value = _long(payload, offset, size)
-    return F.when(value >= 1 << (8 * size - 1), value - (1 << (8 * size))).otherwise(value)
+        return f"try_cast({_conv(p, at, 8, -10)} AS BIGINT)"
+    # Widening the sign bit: x xor h, minus h.
+    half = 1 << (8 * size - 1)
+    return f"(({_unsigned(p, at, size)} ^ {half}L) - {half}L)"
 
 
-def _float(payload, offset, size) -> Column:
+def _float(p: str, at: At, size: int) -> str:
     """IEEE 754 from its bits by exact arithmetic."""
     fraction_bits, exponent_bits = (52, 11) if size == 8 else (23, 8)
-    bias = (1 << (exponent_bits - 1)) - 1
-    bits = _signed(payload, offset, 8) if size == 8 else _long(payload, offset, 4)
-    fraction = bits.bitwiseAND(F.lit((1 << fraction_bits) - 1))
-    exponent = F.shiftrightunsigned(bits, fraction_bits).bitwiseAND(
-        F.lit((1 << exponent_bits) - 1)
-    )
-    negative = F.shiftrightunsigned(bits, fraction_bits + exponent_bits).bitwiseAND(F.lit(1)) == 1
-    part = fraction.cast("double")
-    size_of = (
-        F.when(
-            exponent == (1 << exponent_bits) - 1,
-            F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))),
+    bias, top = (1 << (exponent_bits - 1)) - 1, (1 << exponent_bits) - 1
+
+    def value(bits: str) -> str:
+        fraction = f"({bits} & {(1 << fraction_bits) - 1}L)"
+        exponent = f"(shiftrightunsigned({bits}, {fraction_bits}) & {top}L)"
+        tiny = f"power(2D, {1 - bias - fraction_bits}D)"
+        size_of = (
+            f"CASE WHEN {exponent} = {top} THEN IF({fraction} = 0, double('Infinity'), double('NaN'))"
+            f" WHEN {exponent} = 0 THEN double({fraction}) * {tiny}"
+            f" ELSE (double({fraction}) * power(2D, -{fraction_bits}D) + 1D)"
+            f" * power(2D, double({exponent} - {bias}L)) END"
         )
-        .when(exponent == 0, part * F.lit(2.0 ** (1 - bias - fraction_bits)))
-        .otherwise(
-            (part * F.lit(2.0**-fraction_bits) + 1.0) * F.pow(F.lit(2.0), exponent - bias)
-        )
-    )
-    value = F.when(negative, -size_of).otherwise(size_of)
-    return value if size == 8 else value.cast("float")
-
-
-def _wide(payload, offset, signed: bool) -> Column:
-    """128 bits as base-10**19 limbs: v = a * 2**96 + b * 2**64 + c."""
-    c = unsigned(payload, offset, 8).try_cast("decimal(20,0)")
-    b = unsigned(payload, offset + 8, 4).try_cast("decimal(20,0)")
-    a_bits = _signed(payload, offset + 12, 4) if signed else _long(payload, offset + 12, 4)
-    a = a_bits.cast("decimal(20,0)")
-    # A negative top word is shifted up by 2**32 so every low part stays positive.
-    top = F.when(a < 0, a + wide.dec(2**32)).otherwise(a)
-    low = top * wide.dec(2**96 % wide.BASE) + b * wide.dec(2**64 % wide.BASE) + c
-    high = top * wide.dec(2**96 // wide.BASE) + b * wide.dec(2**64 // wide.BASE)
-    hi, lo = wide.carry(high, low)
-    if signed:
-        minus = wide.literal(-(2**128))
-        moved_hi, moved_lo = wide.carry(hi + minus["hi"], lo.cast("decimal(38,0)") + minus["lo"])
-        hi, lo = F.when(a < 0, moved_hi).otherwise(hi), F.when(a < 0, moved_lo).otherwise(lo)
-    return wide.limbs(hi, lo)
-
-
-def _key_text(data: Column) -> Column:
-    """Base58 of 32 bytes with built-ins, for keys inside lambdas where no UDF may go.
+        negative = f"(shiftrightunsigned({bits}, {fraction_bits + exponent_bits}) & 1L) = 1"
+        return let(size_of, lambda x: f"IF({negative}, -{x}, {x})")
 
-    Eight 32-bit words are divided nine times by 58**5; each remainder gives five
-    digits, and each leading zero byte gives one leading "1".
+    text = let(_signed(p, at, 8) if size == 8 else _unsigned(p, at, 4), value)
+    return text if size == 8 else f"float({text})"
+
+
+def _wide(p: str, at: At, signed: bool) -> str:
+    """128 bits as base-10**19 limbs: v = a * 2**96 + b * 2**64 + c.
+
+    The sums stay below 38 digits. A negative value is read as unsigned and moved
+    down by 2**128, whose limbs are constants.
     """
-    words = F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: F.conv(F.hex(_slice(data, i * 4, 4)), 16, 10).try_cast("bigint"),
-    )
-    start = F.struct(words.alias("w"), F.array().cast("array<bigint>").alias("r"))
-
-    def divide(state, _):
-        begin = F.struct(
-            F.array().cast("array<bigint>").alias("q"), F.lit(0).cast("bigint").alias("m")
-        )
+    base = wide.BASE
+    number = lambda n: f"CAST({n} AS DECIMAL(38,0))"
 
-        def word(acc, w):
-            current = acc["m"] * (1 << 32) + w
-            return F.struct(
-                F.concat(acc["q"], F.array(_quotient(current, 58**5))).alias("q"),
-                (current % 58**5).alias("m"),
-            )
+    def limbs(high: str, low: str) -> str:
+        carry = f"CAST(({low} - {low} % {base}BD) / {base}BD AS DECIMAL(38,0))"
+        return (f"named_struct('hi', try_cast({high} + {carry} AS DECIMAL(20,0)),"
+                f" 'lo', try_cast({low} % {base}BD AS DECIMAL(19,0)))")
 
-        return let(
-            F.aggregate(state["w"], begin, word),
-            lambda d: F.struct(d["q"].alias("w"), F.concat(F.array(d["m"]), state["r"]).alias("r")),
-        )
+    def parts(s: str) -> str:
+        a, b, c = f"{s}.a", f"{s}.b", f"{s}.c"
+        low = number(f"{a} * {2**96 % base}BD + {b} * {2**64 % base}BD + {c}")
+        high = number(f"{a} * {2**96 // base}BD + {b} * {2**64 // base}BD")
+        if signed:
+            down = -(2**128)
+            low = f"({low} + IF({a} >= {2**31}BD, {down % base}BD, 0BD))"
+            high = f"({high} + IF({a} >= {2**31}BD, {down // base}BD, 0BD))"
+        return let(f"named_struct('h', {number(high)}, 'l', {number(low)})",
+                   lambda t: limbs(f"{t}.h", f"{t}.l"))
 
-    rests = F.aggregate(F.sequence(F.lit(1), F.lit(9)), start, divide, lambda s: s["r"])
-    digits = F.flatten(
-        F.transform(
-            rests,
-            lambda r: F.array(*(_quotient(r, 58**k) % 58 for k in (4, 3, 2, 1, 0))),
-        )
-    )
-    text = F.array_join(
-        F.transform(digits, lambda d: F.substring(F.lit(ALPHABET), (d + 1).cast("int"), F.lit(1))), ""
-    )
-    zero_hex = F.regexp_extract(F.hex(data), "^(00)*", 0)
-    return F.concat(
-        F.repeat(F.lit(ALPHABET[0]), (F.length(zero_hex) / 2).cast("int")),
-        F.regexp_replace(text, f"^{ALPHABET[0]}+", ""),
-    )
+    words = [f"try_cast({_conv(p, at + o, n)} AS DECIMAL(20,0))" for o, n in ((12, 4), (8, 4), (0, 8))]
+    return let(f"named_struct('a', {words[0]}, 'b', {words[1]}, 'c', {words[2]})", parts)
+
+
+def _wide_text(value: str) -> str:
+    """Decimal text of limbs, see `wide.pair_text`."""
+    base = wide.BASE
+
+    def shown(v: str) -> str:
+        digits = lambda hi, lo: (
+            f"IF({hi} = 0, string({lo}), concat(string({hi}), lpad(string({lo}), 19, '0')))")
+        borrowed = digits(f"(-{v}.hi - 1)", f"({base}BD - {v}.lo)")
+        return (f"CASE WHEN {v}.hi >= 0 THEN {digits(f'{v}.hi', f'{v}.lo')}"
+                f" WHEN {v}.lo > 0 THEN concat('-', {borrowed})"
+                f" ELSE concat('-', {digits(f'(-{v}.hi)', f'{v}.lo')}) END")
+
+    return let(value, shown)
+
+
+def key_text(data: str) -> str:
+    """Base58 of 32 bytes with built-ins, for keys inside lambdas where no UDF may go.
+
+    Eight 32-bit words are divided nine times by 58**5; each remainder gives five
+    digits, and each leading zero byte gives one leading "1".
+    """
+    words = (f"transform(sequence(0, 7), i -> "
+             f"try_cast(conv(hex(substring({data}, i * 4 + 1, 4)), 16, 10) AS BIGINT))")
+    current = f"(acc.m * {1 << 32}L + w)"
+    word = (f"named_struct('q', concat(acc.q, array({current} div {58**5}L)), 'm', {current} % {58**5}L)")
+    divided = ("aggregate(s.w, named_struct('q', cast(array() AS array<bigint>), 'm', 0L), "
+               f"(acc, w) -> {word})")
+    step = let(divided, lambda d: f"named_struct('w', {d}.q, 'r', concat(array({d}.m), s.r))")
+    rests = (f"aggregate(sequence(1, 9), named_struct('w', {words}, 'r', cast(array() AS array<bigint>)), "
+             f"(s, n) -> {step}, s -> s.r)")
+    powers = ", ".join(f"(r div {58**i}L) % 58" for i in (4, 3, 2, 1, 0))
+    digits = f"flatten(transform({rests}, r -> array({powers})))"
+    text = f"array_join(transform({digits}, d -> substring('{ALPHABET}', int(d) + 1, 1)), '')"
+    zeros = f"length(regexp_extract(hex({data}), '^(00)*', 0)) div 2"
+    first = ALPHABET[0]
+    return f"concat(repeat('{first}', int({zeros})), regexp_replace({text}, '^{first}+', ''))"
+
+
+# -- layouts -------------------------------------------------------------
 
 
 class Layout:
-    """Compiler from interface types to Columns, given the named type definitions."""
+    """Compiler from interface types to SQL, given the named type definitions."""
 
     def __init__(self, types: dict[str, dict]):
         self.types = types
 
-    # -- shape -----------------------------------------------------------
+    # shape
 
     def _definition(self, kind: dict) -> dict:
+        if "defined" not in kind:
+            raise ValueError(f"Type {kind} cannot be decoded")
         name = defined_name(kind)
         if name not in self.types:
             raise ValueError(f"Type '{name}' has no definition and cannot be decoded")
@@ -203,9 +232,7 @@ class Layout:
             return 1 if kind == "bool" else WIDTH.get(kind, LENGTH_BYTES)
         if "option" in kind:
             return 1
-        if "coption" in kind:
-            return LENGTH_BYTES
-        if "vec" in kind:
+        if "coption" in kind or "vec" in kind:
             return LENGTH_BYTES
         if "array" in kind:
             return self.smallest(kind["array"][0]) * int(kind["array"][1])
@@ -216,190 +243,185 @@ class Layout:
             return 1
         return sum(self.smallest(t) for _, t in self._members(body.get("fields")))
 
-    # -- offsets ---------------------------------------------------------
+    def _count(self, inner, p: str, at: At) -> str:
+        """Vector length, null when the payload cannot hold that many elements."""
+        least = self.smallest(inner)
+        if least == 0:
+            raise ValueError("Vectors of empty values cannot be decoded")
+        return let(_unsigned(p, at, LENGTH_BYTES), lambda n: f"IF({n} * {least} <= length({p}), {n}, NULL)")
+
+    # offsets
 
-    def advance(self, kind, p: Column, o: Column) -> Column:
+    def advance(self, kind, p: str, at: At) -> str:
         fixed = self.width(kind)
         if fixed is not None:
-            return o + fixed
+            return str(at + fixed)
         if kind == "bool":
-            return F.when(_long(p, o, 1) <= 1, o + 1)
+            return f"IF({_unsigned(p, at, 1)} <= 1, {at + 1}, NULL)"
         if kind in ("string", "bytes"):
-            return o + LENGTH_BYTES + _long(p, o, LENGTH_BYTES)
+            return f"({at + LENGTH_BYTES} + {_unsigned(p, at, LENGTH_BYTES)})"
         if isinstance(kind, str):
             raise ValueError(f"Type '{kind}' cannot be decoded")
         if "option" in kind:
-            tag = _long(p, o, 1)
-            return F.when(tag == 0, o + 1).when(tag == 1, self.advance(kind["option"], p, o + 1))
+            return (f"CASE {_unsigned(p, at, 1)} WHEN 0 THEN {at + 1}"
+                    f" WHEN 1 THEN {self.advance(kind['option'], p, at + 1)} END")
         if "coption" in kind:
-            return self.advance(kind["coption"], p, o + LENGTH_BYTES)
+            return self.advance(kind["coption"], p, at + LENGTH_BYTES)
         if "vec" in kind:
-            count = self._count(kind["vec"], p, o)
-            return self._advance_many(kind["vec"], count, p, o + LENGTH_BYTES)
+            inner = kind["vec"]
+            return let(self._count(inner, p, at),
+                       lambda n: self._advance_many(inner, n, p, at + LENGTH_BYTES))
         if "array" in kind:
-            return self._advance_many(kind["array"][0], F.lit(int(kind["array"][1])), p, o)
-        if "defined" not in kind:
-            raise ValueError(f"Type {kind} cannot be decoded")
+            return self._advance_many(kind["array"][0], f"{int(kind['array'][1])}L", p, at)
         body = self._definition(kind)
         if body["kind"] == "type":
-            return self.advance(body["alias"], p, o)
+            return self.advance(body["alias"], p, at)
         if body["kind"] == "struct":
-            return self._advance_members(self._members(body.get("fields")), p, o)
-        tag = _long(p, o, 1)
-        out = F.when(F.lit(False), o)
-        for i, variant in enumerate(body["variants"]):
-            out = out.when(
-                tag == i, self._advance_members(self._members(variant.get("fields")), p, o + 1)
-            )
-        return out
-
-    def _count(self, inner, p, o) -> Column:
-        """Vector length, null when the payload cannot hold that many elements."""
-        least = self.smallest(inner)
-        if least == 0:
-            raise ValueError("Vectors of empty values cannot be decoded")
-        count = _long(p, o, LENGTH_BYTES)
-        return F.when(count * least <= F.length(p), count)
+            return self._advance_members(self._members(body.get("fields")), p, at)
+        cases = " ".join(
+            f"WHEN {i} THEN {self._advance_members(self._members(v.get('fields')), p, at + 1)}"
+            for i, v in enumerate(body["variants"])
+        )
+        return f"CASE {_unsigned(p, at, 1)} {cases} END"
 
-    def _advance_many(self, inner, count, p, o) -> Column:
+    def _advance_many(self, inner, count: str, p: str, at: At) -> str:
         size = self.width(inner)
         if size is not None:
-            return o + count * size
-        steps = F.when(count > 0, F.sequence(F.lit(1).cast("bigint"), count.cast("bigint")))
-        loop = F.aggregate(
-            steps, o.cast("bigint"), lambda at, _: self.advance(inner, p, at).cast("bigint")
-        )
-        return F.when(count == 0, o.cast("bigint")).when(count > 0, loop)
+            return f"({at} + {count} * {size}L)"
+        step, name = f"v{next(_names)}", f"v{next(_names)}"
+        loop = (f"aggregate(sequence(1L, {count}), {at}, "
+                f"({name}, {step}) -> {self.advance(inner, p, At(name))})")
+        return f"CASE WHEN {count} = 0 THEN {at} WHEN {count} > 0 THEN {loop} END"
 
-    def _advance_members(self, members, p, o) -> Column:
+    def _advance_members(self, members, p: str, at: At) -> str:
         if not members:
-            return o.cast("bigint")
+            return str(at)
         (_, kind), rest = members[0], members[1:]
-        if not rest:
-            return self.advance(kind, p, o).cast("bigint")
-        return let(
-            self.advance(kind, p, o).cast("bigint"), lambda at: self._advance_members(rest, p, at)
-        )
-
-    # -- values ----------------------------------------------------------
-
-    def scalar(self, kind, p: Column, o: Column) -> Column:
-        """A primitive, or an option of one, with its own Spark type."""
+        size = self.width(kind)
+        if size is not None:
+            return self._advance_members(rest, p, at + size)
+        here = self.advance(kind, p, at)
+        return let(here, lambda n: self._advance_members(rest, p, At(n))) if rest else here
+
+    # values
+
+    def column(self, kind, p: str, at: At) -> Column:
+        """The value a table column holds. Keys go through the Arrow UDF."""
+        inner, held = kind, []
+        while isinstance(inner, dict) and "option" in inner:
+            held.append(f"{_unsigned(p, at, 1)} = 1")
+            inner, at = inner["option"], at + 1
+        if inner == "pubkey":
+            raw = _slice(p, at, KEY_BYTES)
+            return bytes_to_base58(F.expr(f"IF({' AND '.join(held)}, {raw}, NULL)" if held else raw))
+        value = self.scalar(inner, p, at)
+        return F.expr(f"IF({' AND '.join(held)}, {value}, NULL)" if held else value)
+
+    def scalar(self, kind, p: str, at: At) -> str:
+        """A primitive with its own Spark type; anything else as JSON text."""
         if isinstance(kind, dict):
-            if "option" in kind:
-                return F.when(_long(p, o, 1) == 1, self.scalar(kind["option"], p, o + 1))
-            return self.json_text(kind, p, o)
+            return self.json_text(kind, p, at)
         if kind == "bool":
-            return _long(p, o, 1) == 1
+            return f"({_unsigned(p, at, 1)} = 1)"
         if kind in ("u8", "i8", "i16"):
-            read = _long if kind == "u8" else _signed
-            return read(p, o, WIDTH[kind]).try_cast("smallint")
+            read = _unsigned if kind == "u8" else _signed
+            return f"try_cast({read(p, at, WIDTH[kind])} AS SMALLINT)"
         if kind in ("u16", "i32"):
-            read = _long if kind == "u16" else _signed
-            return read(p, o, WIDTH[kind]).try_cast("int")
+            read = _unsigned if kind == "u16" else _signed
+            return f"try_cast({read(p, at, WIDTH[kind])} AS INT)"
         if kind == "u32":
-            return _long(p, o, 4)
+            return _unsigned(p, at, 4)
         if kind == "i64":
-            return _signed(p, o, 8)
+            return _signed(p, at, 8)
         if kind == "u64":
-            return unsigned(p, o, 8).try_cast("decimal(20,0)")
+            return f"try_cast({_conv(p, at, 8)} AS DECIMAL(20,0))"
         if kind in ("u128", "i128"):
-            return _wide(p, o, kind == "i128")
+            return _wide(p, at, kind == "i128")
         if kind in ("f32", "f64"):
-            return _float(p, o, WIDTH[kind])
+            return _float(p, at, WIDTH[kind])
         if kind == "pubkey":
-            return bytes_to_base58(_slice(p, o, KEY_BYTES))
-        data = _slice(p, o + LENGTH_BYTES, _long(p, o, LENGTH_BYTES))
+            return key_text(_slice(p, at, KEY_BYTES))
+        data = _slice(p, at + LENGTH_BYTES, _unsigned(p, at, LENGTH_BYTES))
         if kind == "string":
-            return F.make_valid_utf8(data.cast("string"))
+            return f"make_valid_utf8(string({data}))"
         if kind == "bytes":
             return data
         raise ValueError(f"Type '{kind}' cannot be decoded")
 
-    def json_text(self, kind, p: Column, o: Column) -> Column:
+    def json_text(self, kind, p: str, at: At) -> str:
         """JSON text of a value; every value yields text, absent options the word null."""
         if isinstance(kind, str):
-            return self._json_primitive(kind, p, o)
+            return self._json_primitive(kind, p, at)
         if "option" in kind or "coption" in kind:
             inner = kind.get("option", kind.get("coption"))
             size = 1 if "option" in kind else LENGTH_BYTES
-            held = _long(p, o, size) == 1
-            return F.when(held, self.json_text(inner, p, o + size)).otherwise(F.lit("null"))
+            return f"IF({_unsigned(p, at, size)} = 1, {self.json_text(inner, p, at + size)}, 'null')"
         if "vec" in kind:
-            count = self._count(kind["vec"], p, o)
-            return self._json_many(kind["vec"], count, p, o + LENGTH_BYTES)
+            return self._json_vector(kind["vec"], p, at)
         if "array" in kind:
-            return self._json_many(kind["array"][0], F.lit(int(kind["array"][1])), p, o)
+            return self._json_many(kind["array"][0], f"{int(kind['array'][1])}L", p, at)
         body = self._definition(kind)
         if body["kind"] == "type":
-            return self.json_text(body["alias"], p, o)
+            return self.json_text(body["alias"], p, at)
         if body["kind"] == "struct":
-            return self._json_members(self._members(body.get("fields")), p, o)
-        tag = _long(p, o, 1)
-        out = F.when(F.lit(False), F.lit(""))
+            return self._json_members(self._members(body.get("fields")), p, at)
+        cases = []
         for i, variant in enumerate(body["variants"]):
-            inner = self._json_members(self._members(variant.get("fields")), p, o + 1)
-            name = camel_name(variant["name"])
-            out = out.when(tag == i, F.concat(F.lit('{"' + name + '":'), inner, F.lit("}")))
-        return out
+            key = quote('{"' + camel_name(variant["name"]) + '":')
+            inner = self._json_members(self._members(variant.get("fields")), p, at + 1)
+            cases.append(f"WHEN {i} THEN concat({key}, {inner}, '}}')")
+        return f"CASE {_unsigned(p, at, 1)} {' '.join(cases)} END"
 
-    def _json_primitive(self, kind: str, p, o) -> Column:
-        quoted = lambda text: F.concat(F.lit('"'), text, F.lit('"'))
-        if kind == "pubkey":
-            return quoted(_key_text(_slice(p, o, KEY_BYTES)))
+    def _json_primitive(self, kind: str, p: str, at: At) -> str:
         if kind == "bytes":
-            count = self._count("u8", p, o)
-            return self._json_many("u8", count, p, o + LENGTH_BYTES)
-        value = self.scalar(kind, p, o)
+            return self._json_vector("u8", p, at)
+        value = self.scalar(kind, p, at)
+        if kind == "pubkey":
+            return f"concat('\"', {value}, '\"')"
         if kind in ("u64", "i64"):
-            return quoted(value.cast("string"))
+            return f"concat('\"', string({value}), '\"')"
         if kind in ("u128", "i128"):
-            return quoted(let(value, wide.text))
+            return f"concat('\"', {_wide_text(value)}, '\"')"
         if kind == "string":
-            listed = F.to_json(F.array(value))
-            return F.substring(listed, F.lit(2), F.length(listed) - 2)
+            return let(f"to_json(array({value}))", lambda t: f"substring({t}, 2, length({t}) - 2)")
         if kind in ("f32", "f64"):
-            finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
-            return F.when(finite, value.cast("string")).otherwise(F.lit("null"))
-        return value.cast("string")
+            infinite = "double('Infinity')"
+            return let(value, lambda x: f"IF(isnan({x}) OR abs({x}) = {infinite}, 'null', string({x}))")
+        return f"string({value})"
 
-    def _json_many(self, inner, count, p, o) -> Column:
-        size = self.width(inner)
-        total = count.cast("bigint")
-        steps = F.when(total > 0, F.sequence(F.lit(0).cast("bigint"), total - 1))
+    def _json_vector(self, inner, p: str, at: At) -> str:
+        return let(self._count(inner, p, at), lambda n: self._json_many(inner, n, p, at + LENGTH_BYTES))
+
+    def _json_many(self, inner, count: str, p: str, at: At) -> str:
+        size, step = self.width(inner), f"v{next(_names)}"
         if size is not None:
-            texts = F.transform(steps, lambda i: self.json_text(inner, p, o + i * size))
+            here = At(f"({at} + {step} * {size}L)")
+            texts = f"transform(sequence(0L, {count} - 1L), {step} -> {self.json_text(inner, p, here)})"
         else:
-            start = F.struct(
-                o.cast("bigint").alias("at"), F.array().cast("array<string>").alias("texts")
+            acc = f"v{next(_names)}"
+            here = At(f"{acc}.at")
+            texts = (
+                f"aggregate(sequence(1L, {count}), "
+                f"named_struct('at', {at}, 'texts', cast(array() AS array<string>)), "
+                f"({acc}, {step}) -> named_struct('at', {self.advance(inner, p, here)}, "
+                f"'texts', concat({acc}.texts, array({self.json_text(inner, p, here)}))), "
+                f"{acc} -> {acc}.texts)"
             )
+        return (f"CASE WHEN {count} = 0 THEN '[]'"
+                f" WHEN {count} > 0 THEN concat('[', array_join({texts}, ','), ']') END")
 
-            def step(acc, _):
-                return F.struct(
-                    self.advance(inner, p, acc["at"]).cast("bigint").alias("at"),
-                    F.concat(acc["texts"], F.array(self.json_text(inner, p, acc["at"]))).alias("texts"),
-                )
+    def _json_members(self, members, p: str, at: At) -> str:
+        return f"concat('{{', {self._json_rest(members, p, at, '')}, '}}')"
 
-            texts = F.aggregate(steps, start, step, lambda acc: acc["texts"])
-        listed = F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
-        return F.when(total == 0, F.lit("[]")).otherwise(listed)
-
-    def _json_members(self, members, p, o) -> Column:
-        return F.concat(F.lit("{"), self._json_rest(members, p, o, ""), F.lit("}"))
-
-    def _json_rest(self, members, p, o, comma) -> Column:
+    def _json_rest(self, members, p: str, at: At, comma: str) -> str:
         if not members:
-            return F.lit("")
+            return "''"
         (name, kind), rest = members[0], members[1:]
-        head = F.concat(F.lit(f'{comma}"{name}":'), self.json_text(kind, p, o))
+        head = f"{quote(comma + chr(34) + name + chr(34) + ':')}, {self.json_text(kind, p, at)}"
         if not rest:
-            return head
+            return f"concat({head})"
         size = self.width(kind)
         if size is not None:
-            tail = self._json_rest(rest, p, o + size, ",")
-        else:
-            tail = let(
-                self.advance(kind, p, o).cast("bigint"),
-                lambda at: self._json_rest(rest, p, at, ","),
-            )
-        return F.concat(head, tail)
+            return f"concat({head}, {self._json_rest(rest, p, at + size, ',')})"
+        tail = let(self.advance(kind, p, at), lambda n: self._json_rest(rest, p, At(n), ","))
+        return f"concat({head}, {tail})"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.base58 import base58_to_bytes
+from ledgerloom.functions.borsh import At
 from ledgerloom.functions.text import DISCRIMINATOR_BYTES
 from ledgerloom.operators.catalog import Field, Program
 
@@ -38,33 +39,32 @@ def decode_fields(
 ) -> tuple[DataFrame, list[Column], Column]:
     """Values of a record that follows the discriminator.
 
-    Returns the frame with helper offset columns, one value Column per field, and
-    the condition that the payload held all of them. Offsets of variable-size
-    fields become columns, so later fields refer to them instead of repeating them.
-    Bytes after the last field are ignored.
+    Returns the frame with helper columns, one value Column per field, and the
+    condition that the payload held all of them. Offsets of variable-size fields
+    become columns, so later fields refer to them instead of repeating them. Bytes
+    after the last field are ignored.
     """
     layout = program.layout
-    p = F.col(payload)
-    offset, values = F.lit(DISCRIMINATOR_BYTES).cast("bigint"), []
+    at, values = At(plus=DISCRIMINATOR_BYTES), []
     for i, field in enumerate(fields):
-        values.append(_value(layout, field, p, offset, enum_text).alias(field.column))
+        values.append(_value(layout, field, payload, at, enum_text).alias(field.column))
         size = layout.width(field.kind)
         if size is not None:
-            offset = offset + size
+            at = at + size
         else:
-            frame = frame.withColumn(f"_end{i}", layout.advance(field.kind, p, offset))
-            offset = F.col(f"_end{i}")
-    whole = F.coalesce(offset <= F.length(p), F.lit(False))
-    return frame, values, whole
+            frame = frame.withColumn(f"_end{i}", F.expr(layout.advance(field.kind, payload, at)))
+            at = At(f"_end{i}")
+    # A filter on the offsets would be pushed below them and repeat every one; the
+    # outer explode of one or no element lets nothing through.
+    whole = F.expr(f"explode_outer(IF(coalesce({at} <= length({payload}), false), array(true), array()))")
+    return frame.select("*", whole.alias("_whole")), values, F.col("_whole").isNotNull()
 
 
-def _value(layout, field: Field, p, offset, enum_text) -> Column:
-    value = layout.scalar(field.kind, p, offset)
+def _value(layout, field: Field, payload: str, at: At, enum_text: str) -> Column:
+    value = layout.column(field.kind, payload, at)
     if field.sql_type == "TEXT" and isinstance(field.kind, dict) and enum_text == "name":
-        plain = F.get(F.json_object_keys(value), F.lit(0))
-        return F.when(value != "null", plain)
-    if field.nullable and field.sql_type == "JSONB":
-        return F.when(value != "null", value)
+        # A text column of another kind holds no object and keeps its value.
+        return F.coalesce(F.get(F.json_object_keys(value), F.lit(0)), value)
     return value
 
 

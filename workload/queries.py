@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, wide
 from ledgerloom.functions.base58 import base58_to_bytes
+from ledgerloom.functions.borsh import At, Layout
 from ledgerloom.operators import accounts as acc
 from ledgerloom.operators import catalog as cat
 from ledgerloom.operators import instructions as ins
@@ -499,7 +500,7 @@ def q_ingest(spark, sf_dir):
   || CASE WHEN k % 2 = 0 THEN '0,255' ELSE '' END || ']}}' AS json FROM e""")
 def q_json_form(spark, sf_dir):
     """Nested values as JSON: large integers as strings, bytes as numbers, null kept."""
-    layout = cat.Layout({"Doc": {"kind": "struct", "fields": [
+    layout = Layout({"Doc": {"kind": "struct", "fields": [
         {"name": "label", "type": "string"}, {"name": "k", "type": "u64"}, {"name": "small", "type": "u8"},
         {"name": "note", "type": {"option": "string"}}, {"name": "raw", "type": "bytes"}]}})
     number = inp.k()
@@ -509,8 +510,7 @@ def q_json_form(spark, sf_dir):
         F.when(number % 2 == 0, F.lit("0200000000FF")).otherwise(F.lit("00000000")),
     ))
     rows = inp.table(spark, sf_dir, "events").select(F.col("event_id").alias("slot"), payload.alias("p"))
-    value = layout.json_text({"defined": "Doc"}, F.col("p"), F.lit(0).cast("bigint"))
-    return rows.select("slot", value.alias("json"))
+    return rows.select("slot", F.expr(layout.json_text({"defined": "Doc"}, "p", At())).alias("json"))
 
 
 @register("""WITH v AS (SELECT l_orderkey AS key, (l_partkey::HUGEINT - l_suppkey * 3) * 100000000000000000000 - l_orderkey AS n FROM lineitem)
