@@ -69,9 +69,9 @@ def select_signatures(feed: DataFrame, wanted: DataFrame) -> DataFrame:
     """Entries named in `wanted`, once each however often a name is listed.
 
     The list may come from a file of any size, so the join side is left to the
-    planner's size check.
+    planner's size check. Repeated names are folded before they are exchanged.
     """
-    names = wanted.select(F.trim("signature").alias("signature")).where("signature <> ''")
+    names = wanted.select(F.trim("signature").alias("signature")).where("signature <> ''").distinct()
     return feed.join(names, "signature", "left_semi")
 
 

@@ -105,10 +105,14 @@ def with_program_instructions(
 
 
 def flatten_instructions(prepared: DataFrame) -> DataFrame:
-    """One row per instruction of the program, with its place in the transaction."""
+    """One row per instruction of the program, with its place in the transaction.
+
+    A plain explode would also be planned as a filter on the list's size below it,
+    and the list worked out twice; the outer form is filtered after the fact.
+    """
     return prepared.select(
-        "slot", "tx_pos", "tx_signature", "signer", F.explode("placed").alias("p")
-    ).select(
+        "slot", "tx_pos", "tx_signature", "signer", F.explode_outer("placed").alias("p")
+    ).where("p IS NOT NULL").select(
         "slot", "tx_pos", "tx_signature", "signer",
         F.col("p.ordinal").alias("ix_ordinal"), "p.ix.accounts", "p.ix.data",
     )
@@ -121,8 +125,8 @@ def flatten_all_instructions(transactions: DataFrame) -> DataFrame:
         F.col("signature").alias("tx_signature"),
         signer().alias("signer"),
         account_keys().alias("keys"),
-        F.posexplode(all_instructions()).alias("ix_ordinal", "ix"),
-    ).select(
+        F.posexplode_outer(all_instructions()).alias("ix_ordinal", "ix"),
+    ).where("ix IS NOT NULL").select(
         "slot", "tx_signature", "signer", "ix_ordinal",
         F.get("keys", F.col("ix.programIdIndex")).alias("program_id"),
         F.col("ix.accounts").alias("accounts"), F.col("ix.data").alias("data"),
@@ -145,8 +149,8 @@ def writable_keys() -> Column:
 def writable_accounts(prepared: DataFrame) -> DataFrame:
     """One row per transaction and writable account, numbered in first-seen order."""
     return prepared.select(
-        "slot", "tx_signature", F.posexplode(writable_keys()).alias("account_pos", "pubkey")
-    )
+        "slot", "tx_signature", F.posexplode_outer(writable_keys()).alias("account_pos", "pubkey")
+    ).where("pubkey IS NOT NULL")
 
 
 def missing_signers(transactions: DataFrame) -> DataFrame:

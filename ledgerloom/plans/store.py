@@ -212,13 +212,25 @@ class Attempt:
         """Write an intermediate table of this attempt and read it back.
 
         Later steps start from these files: the raw rows are not read again, and a
-        lost executor costs no more than its own tasks.
+        lost executor costs no more than its own tasks. With `by`, rows are clustered
+        by that column and by slot. This is the one exchange on the way to the final
+        tables; the rebalance hint splits a value that holds most of the rows and
+        packs rare ones together, so files get an even size.
         """
         path = self._staging(name)
-        writer = frame.write.mode("errorifexists")
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        if by is None:
+            frame.write.mode("errorifexists").parquet(path)
+        else:
+            clustered = self._bucketed(frame).hint("rebalance", by, "slot_bucket").sortWithinPartitions(
+                by, "slot_bucket", "slot"
+            )
+            clustered.drop("slot_bucket").write.mode("errorifexists").partitionBy(by).parquet(path)
         return self.store.spark.read.schema(frame.schema).parquet(path)
 
+    def _bucketed(self, frame: DataFrame) -> DataFrame:
+        bucket = F.floor(F.col("slot") / self.store.slots_per_bucket).cast("bigint")
+        return frame.withColumn("slot_bucket", bucket)
+
     def staged_values(self, name: str, by: str) -> list[str]:
         """Partition values of a staged table."""
         folders = subfolders(self.store.spark, self._staging(name))
@@ -227,25 +239,24 @@ class Attempt:
     def _staging(self, name: str) -> str:
         return f"{self.store.home}/_staging/{self.batch}/{name}"
 
-    def write(self, table: str, frame: DataFrame) -> None:
-        """Write rows of a table, clustered by slot.
-
-        The rebalance hint sizes files at run time: it splits a bucket that holds
-        most of the rows and packs small ones together.
-        """
-        bucketed = frame.withColumn(
-            "slot_bucket", F.floor(F.col("slot") / self.store.slots_per_bucket).cast("bigint")
-        )
-        clustered = bucketed.hint("rebalance", "slot_bucket").sortWithinPartitions("slot_bucket", "slot")
-        clustered.write.mode("errorifexists").partitionBy("slot_bucket").parquet(
-            f"{self.store.home}/{table}/batch={self.batch}"
-        )
+    def write(self, table: str, frame: DataFrame, clustered: bool = False) -> None:
+        """Write rows of a table by slot bucket. Rows read from a clustered staging
+        table are in place already; others are brought together first."""
+        rows = self._bucketed(frame)
+        if not clustered:
+            rows = rows.hint("rebalance", "slot_bucket")
+        rows.sortWithinPartitions("slot_bucket", "slot").write.mode("errorifexists").partitionBy(
+            "slot_bucket"
+        ).parquet(f"{self.store.home}/{table}/batch={self.batch}")
 
     def write_all(self, frames: dict[str, DataFrame]) -> None:
         """Write several tables; their jobs are independent and share the cluster."""
         with ThreadPoolExecutor(max_workers=8) as pool:
             jobs = [
-                pool.submit(inheritable_thread_target(self.store.spark)(self.write), name, frame)
+                pool.submit(
+                    inheritable_thread_target(self.store.spark)(self.write), name, frame,
+                    not name.startswith("_"),
+                )
                 for name, frame in frames.items()
             ]
             for job in jobs:

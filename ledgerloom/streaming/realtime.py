@@ -37,13 +37,20 @@ def malformed(notifications: DataFrame) -> DataFrame:
     )
 
 
-def dedupe(notices: DataFrame, window: str = "1 hour") -> DataFrame:
+def dedupe(notices: DataFrame, window: str = "1 hour", salts: int = 16) -> DataFrame:
     """The first notification of each signature within a time window.
 
-    State is bounded by time, not by count, and is spread over tasks by signature.
-    A row later than the watermark is dropped here and found by the next catch-up.
+    State is bounded by time, not by count. A signature repeated very often is first
+    thinned out in `salts` separate groups, so that no single task gets all of its
+    rows; the second pass sees at most one row per group. A row later than the
+    watermark is dropped here and found by the next catch-up.
     """
-    return notices.withWatermark("received_at", window).dropDuplicatesWithinWatermark(["signature"])
+    timed = notices.withWatermark("received_at", window)
+    if salts > 1:
+        salt = F.pmod(F.xxhash64("slot", "received_at"), F.lit(salts))
+        timed = timed.withColumn("_salt", salt).dropDuplicatesWithinWatermark(["signature", "_salt"])
+        timed = timed.drop("_salt")
+    return timed.dropDuplicatesWithinWatermark(["signature"])
 
 
 def resolve(transactions: DataFrame, selected: DataFrame) -> DataFrame:
@@ -82,6 +89,8 @@ def process_batch(
             return
         batch = batch.persist()
         try:
+            if batch.isEmpty():
+                return
             # Later arrivals are newer, and feed positions count from the newest.
             selected = batch.select("signature", "slot", (-F.unix_micros("received_at")).alias("feed_pos"))
             low, high = selected.agg(F.min("slot"), F.max("slot")).first()

@@ -333,9 +333,16 @@ def q_match_instructions(spark, sf_dir):
     return _matched(spark, sf_dir).select("slot", "tx_signature", "disc", "instruction")
 
 
+def _staged(spark, sf_dir) -> DataFrame:
+    """Matched payloads written by instruction, so each decoder reads its own rows only."""
+    matched, path = _matched(spark, sf_dir), shared_folder(spark, "payloads")
+    matched.write.partitionBy("instruction").parquet(path)
+    return spark.read.schema(matched.schema).parquet(path)
+
+
 @register(_LEDGER_SQL)
 def q_decode_instructions(spark, sf_dir):
-    program, matched = inp.ledger_program(), _matched(spark, sf_dir)
+    program, matched = inp.ledger_program(), _staged(spark, sf_dir)
     decoded = [
         _ledger_columns(ins.decode_instructions(matched, program, name, on_error="quarantine"), name)
         for name in program.instructions
@@ -346,7 +353,7 @@ def q_decode_instructions(spark, sf_dir):
 @register(f"""{EVENTS_SQL} SELECT slot, tx_signature, 'unknown_discriminator' AS reason, 'deadbeefdeadbeef' AS detail
 FROM e WHERE k = 0 UNION ALL SELECT slot, tx_signature, 'decode_error', instruction FROM e WHERE k = 1""")
 def q_rejects(spark, sf_dir):
-    program, matched = inp.ledger_program(), _matched(spark, sf_dir)
+    program, matched = inp.ledger_program(), _staged(spark, sf_dir)
     rejects = [ins.decode_rejects(matched, program, name) for name in program.instructions]
     return reduce(DataFrame.unionByName, rejects, ins.unknown_instructions(matched))
 
