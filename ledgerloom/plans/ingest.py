@@ -21,16 +21,9 @@ def compact(
     """What later steps need of each transaction, from one pass over the raw rows."""
     if "feed_slot" not in transactions.columns:
         transactions = transactions.withColumn("feed_slot", F.col("slot"))
-    prepared = tx.with_program_instructions(
+    return tx.explode_program_instructions(
         transactions, program_id, include_failed, on_error, keep=("feed_slot",)
     )
-    return prepared.select(
-        "slot", "feed_slot", "tx_pos", "tx_signature", "signer",
-        F.transform(
-            "placed", lambda p: F.struct(p["ordinal"].alias("ordinal"), p["ix"]["data"].alias("data"))
-        ).alias("placed"),
-        tx.writable_keys().alias("writable"),
-    )
 
 
 def landed(transactions: DataFrame, selected: DataFrame) -> DataFrame:
@@ -81,13 +74,14 @@ def ingest(
     rows = attempt.stage(
         "transactions", compact(transactions, program.program_id, include_failed, on_error)
     )
+    seen = rows.where("first")
     frames: dict[str, DataFrame] = {
-        "_processed": rows.select(
+        "_processed": seen.select(
             F.lit(program.program_id).alias("program_id"), "tx_signature", F.col("feed_slot").alias("slot")
         )
     }
     rejects = [
-        rows.where("signer IS NULL").select(
+        seen.where("signer IS NULL").select(
             "slot", "tx_signature", F.lit("missing_signer").alias("reason"),
             F.lit(None).cast("string").alias("detail"),
         )
@@ -98,7 +92,7 @@ def ingest(
     frames["_rejects"] = reduce(DataFrame.unionByName, rejects)
     if selected is not None:
         frames["_unresolved"] = tx.unresolved_signatures(
-            selected, rows.select(F.col("tx_signature").alias("signature"))
+            selected, seen.select(F.col("tx_signature").alias("signature"))
         )
     attempt.write_all(frames)
 
@@ -109,9 +103,7 @@ def ingest(
 
 
 def _instruction_frames(program, attempt: Attempt, rows, frames, rejects, on_error, enum_text) -> None:
-    flat = rows.select(
-        "slot", "tx_pos", "tx_signature", "signer", F.explode("placed").alias("p")
-    ).select("slot", "tx_pos", "tx_signature", "signer", F.col("p.ordinal").alias("ix_ordinal"), "p.data")
+    flat = rows.where("own").select("slot", "tx_pos", "tx_signature", "signer", "ix_ordinal", "data")
     matched = ins.match_instructions(flat, program).drop("data")
     staged = attempt.stage("instructions", matched, by="instruction")
     found = attempt.staged_values("instructions", "instruction")
@@ -126,9 +118,13 @@ def _instruction_frames(program, attempt: Attempt, rows, frames, rejects, on_err
 
 
 def _account_frames(program, attempt: Attempt, rows, infos, frames, rejects, enum_text) -> None:
-    writable = rows.select("slot", "tx_signature", F.explode("writable").alias("pubkey"))
+    # Distinct on the join's own keys: one exchange serves both.
+    writable = (
+        rows.where("own").select("slot", "tx_signature", F.explode("writable").alias("pubkey"))
+        .where("pubkey <> ''").groupBy("tx_signature", "pubkey").agg(F.min("slot").alias("slot"))
+    )
     states = acc.owned_accounts(acc.account_states(infos), program.program_id)
-    touched = acc.touched_states(writable, states).dropDuplicates(["tx_signature", "pubkey"])
+    touched = acc.touched_states(writable, states.dropDuplicates(["tx_signature", "pubkey"]))
     matched = acc.match_accounts(acc.account_bytes(touched), program).drop("data", "owner")
     staged = attempt.stage("accounts", matched, by="account")
     found = attempt.staged_values("accounts", "account")

@@ -274,8 +274,19 @@ def q_flatten_instructions(spark, sf_dir):
 
 @register(f"{_LINES_SQL} SELECT slot, tx_signature, signer, ix_ordinal, data FROM f WHERE program_id = 'progA'")
 def q_filter_program(spark, sf_dir):
-    prepared = tx.with_program_instructions(inp.line_transactions(spark, sf_dir), "progA")
-    return tx.flatten_instructions(prepared).select("slot", "tx_signature", "signer", "ix_ordinal", "data")
+    flat = tx.flatten_all_instructions(inp.line_transactions(spark, sf_dir))
+    own = flat.where(F.col("program_id") == "progA")
+    return own.select("slot", "tx_signature", "signer", "ix_ordinal", "data")
+
+
+@register(f"""{_LINES_SQL} SELECT program_id, slot, tx_signature, ix_ordinal FROM f
+WHERE program_id IN (SELECT 'prog' || l_returnflag FROM lineitem WHERE l_returnflag <> 'N')""")
+def q_filter_programs(spark, sf_dir):
+    """Several programs at once; the list of programs comes from a table."""
+    named = inp.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select(
+        F.concat(F.lit("prog"), "l_returnflag").alias("program_id"))
+    flat = tx.flatten_all_instructions(inp.line_transactions(spark, sf_dir))
+    return tx.filter_programs(flat, named).select("program_id", "slot", "tx_signature", "ix_ordinal")
 
 
 @register(f"{_LINES_SQL} SELECT slot, tx_signature, ix_ordinal, data FROM f WHERE program_id = 'progR' AND l_tax <> 0")
