@@ -22,7 +22,8 @@ def tables(spark, program):
         (30, "sig-3", "bob", 2, "hi", True, "{}"),
     ]
     deposit = spark.createDataFrame(
-        rows, "slot bigint, tx_signature string, signer string, amount decimal(20,0), memo string, flag boolean, metadata string")
+        rows, "slot bigint, tx_signature string, signer string, amount bigint, memo string, flag boolean, metadata string"
+    ).withColumn("amount", F.col("amount").cast("decimal(20,0)"))
     withdraw = spark.sql(
         "SELECT * FROM VALUES (100L, 'sig-9', 'alice', 18446744073709551615BD), (99L, 'sig-8', 'carol', 9BD),"
         " (98L, 'sig-7', 'dave', 10BD) AS t(slot, tx_signature, signer, amount)"
@@ -150,6 +151,7 @@ def test_wide_values(spark):
 
 
 def test_plans(spark, tmp_path, program):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     path = str(tmp_path / "rows")
     spark.range(1000).selectExpr(
         "id AS slot", "string(id) AS tx_signature", "string(id % 7) AS signer",
