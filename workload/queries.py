@@ -74,8 +74,10 @@ LIST_CASES = {
         "instruction = 'click' AND slot BETWEEN 100 AND 900000 AND k BETWEEN 10 AND 90 "
         "AND k % 2 = 0 AND value <= 60.25 AND cents >= 100", "DESC LIMIT 120",
     ),
-    "q_list_by_signer": ("error", {"signer": "7", "arg.label": "error-9"},
-                         "instruction = 'error' AND signer = '7' AND k = 9", "DESC LIMIT 50"),
+    "q_list_by_signer": ("error", {"signer": "7", "arg.isEven": "false"},
+                         "instruction = 'error' AND signer = '7' AND k % 2 = 1", "DESC LIMIT 50"),
+    "q_list_by_label": ("error", {"arg.label": "error-9", "order": "asc", "limit": "200"},
+                        "instruction = 'error' AND k = 9", "ASC LIMIT 200"),
     "q_list_by_tx_signature": ("error", {"tx_signature": "tx0"},
                                "instruction = 'error' AND tx_signature = 'tx0'", "DESC LIMIT 50"),
     "q_list_wide_filter": (
@@ -133,7 +135,8 @@ register(
     "AND slot >= 50 AND k >= 10 AND value <= 75.5", "q_count_filtered",
 )(_aggregated("click", {"metric": "COUNT", "from_slot": "50", "arg.k.gte": "10", "arg.value.lte": "75.5"}))
 register(
-    "SELECT '0' AS value", "q_sum_of_nothing",
+    f"{EVENTS_SQL} SELECT CAST(coalesce(sum(CAST(cents AS HUGEINT)), 0) AS VARCHAR) AS value FROM e "
+    "WHERE instruction = 'refund'", "q_sum_of_nothing",
 )(_aggregated("refund", {"metric": "sum", "field": "cents"}))
 
 
