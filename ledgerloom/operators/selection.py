@@ -102,9 +102,16 @@ def resume_range(
 
 
 def exclude_done(selected: DataFrame, processed: DataFrame, program_id: str) -> DataFrame:
-    """Entries not yet committed for the program, also those that gave no row."""
-    done = processed.where(F.col("program_id") == program_id).select(
-        F.col("tx_signature").alias("signature")
+    """Entries not yet committed for the program, also those that gave no row.
+
+    The committed side is cut down to the selection first: a short selection is
+    broadcast to it after the planner's size check, and the long history is not
+    exchanged. For a long one both joins share the same exchanges.
+    """
+    done = (
+        processed.where(F.col("program_id") == program_id)
+        .select(F.col("tx_signature").alias("signature"))
+        .join(selected.select("signature"), "signature", "left_semi")
     )
     return selected.join(done, "signature", "left_anti")
 

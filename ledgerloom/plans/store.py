@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.catalog import Program
+from ledgerloom.operators.selection import exclude_done
 from ledgerloom.sources.tables import union_signers
 
 COMMITS = (
@@ -135,8 +136,8 @@ class Store:
     def open(self, idl: str, reset: bool = False) -> None:
         """Register the interface and make its tables.
 
-        When another program is registered, the reference behaviour is to start
-        over; that deletes data, so it happens only with reset=True.
+        A folder serves one program at a time. Starting over with another one deletes
+        data, so it happens only with reset=True.
         """
         other = programs(self.spark, self.root).where(F.col("program_id") != self.program.program_id)
         if not other.isEmpty():
@@ -183,11 +184,10 @@ class Store:
 
     def unresolved(self) -> DataFrame:
         """Signatures of earlier runs whose transactions had not landed then."""
-        done = self.table("_processed").select(F.col("tx_signature").alias("signature"))
         waiting = self.table("_unresolved").groupBy("signature").agg(
             F.max("slot").alias("slot"), F.max("feed_pos").alias("feed_pos")
         )
-        return waiting.join(done, "signature", "left_anti")
+        return exclude_done(waiting, self.table("_processed"), self.program.program_id)
 
     # writing
 
