@@ -228,7 +228,10 @@ class Attempt:
         return self.store.spark.read.schema(frame.schema).parquet(path)
 
     def _bucketed(self, frame: DataFrame) -> DataFrame:
-        bucket = F.floor(F.col("slot") / self.store.slots_per_bucket).cast("bigint")
+        # Whole-number division: a double would round the largest slots.
+        size = F.lit(self.store.slots_per_bucket).cast("bigint")
+        slot = F.col("slot").cast("bigint")
+        bucket = F.call_function("div", slot - F.pmod(slot, size), size)
         return frame.withColumn("slot_bucket", bucket)
 
     def staged_values(self, name: str, by: str) -> list[str]:

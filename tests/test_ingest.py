@@ -181,3 +181,16 @@ def test_another_program_needs_an_explicit_reset(spark, store, tmp_path):
     new.open(json.dumps(other), reset=True)
     assert stored_program(spark, store.root).first().program_id == "Other"
     assert new.instruction("deposit").isEmpty()
+
+
+def test_slot_bounds_prune_whole_buckets_only(spark, store):
+    slots = [0, 9, 10, 19, 25, 2**53 + 3]
+    replies = [sample.transaction(f"s{n}", n, [(1, [], sample.withdraw(1))]) for n in slots]
+    ing.ingest(store, frame(spark, replies), None, "run")
+    for low, high in [(0, 9), (9, 10), (10, 25), (20, 2**53 + 3), (2**53 + 3, 2**53 + 3)]:
+        request = {"from_slot": str(low), "to_slot": str(high), "order": "asc"}
+        rows = q.list_instructions(store, store.program, "withdraw", request).collect()
+        assert [r.slot for r in rows] == [n for n in slots if low <= n <= high]
+    bounded = q.list_instructions(store, store.program, "withdraw", {"from_slot": "10", "to_slot": "25"})
+    plan = bounded._jdf.queryExecution().executedPlan().toString()
+    assert "slot_bucket" in plan and "PartitionFilters" in plan
