@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate
+from ledgerloom.llm import bpe, decontaminate, rules
 from ledgerloom.llm.tables import read
 
 
@@ -14,10 +15,20 @@ def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op4_decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.op6_rules(read(spark, sf_dir, "documents"))
+
+
+def op9_word_shuffle_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) -> DataFrame:
+    return bpe.op9_bpe(read(spark, sf_dir, "documents"), bpe.load_ranks(path), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_suffix_decontamination,
+        op6_adaptive_rules,
+        op9_word_shuffle_bpe,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -150,3 +150,27 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     np.add.at(steps, starts, 1)
     np.add.at(steps, ends, -1)
     return np.cumsum(steps[:-1]) > 0
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Flags of the keys that occur at least twice."""
+    n = len(keys)
+    out = np.zeros(n, bool)
+    if n < 2:
+        return out
+    bits = np.uint64(max(n - 1, 1).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    packed = np.sort((keys & ~low) | np.arange(n, dtype=np.uint64))
+    same = (packed[1:] ^ packed[:-1]) <= low
+    near = np.zeros(n, bool)
+    near[1:] = same
+    near[:-1] |= same
+    at = (packed[near] & low).astype(np.int64)  # equal in their high bits: few
+    _, inverse, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
+    out[at] = counts[inverse] > 1
+    return out
+
+
+def keyed(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashes that also tell the owner (a document) apart."""
+    return mix(values ^ mix(owner.astype(np.uint64) + np.uint64(1)))
