@@ -7,14 +7,26 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, decontaminate, rules
+from ledgerloom.llm import bpe, decontaminate, licenses, rules, secrets, sharding
 from ledgerloom.llm.tables import read
 
 
+def op2_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op2_secrets(read(spark, sf_dir, "documents"))
+
+
+def op3_fuzzy_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op3_licenses(read(spark, sf_dir, "documents"))
+
+
 def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op4_decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_permutation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op5_shards(read(spark, sf_dir, "documents"))
+
+
 def op6_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.op6_rules(read(spark, sf_dir, "documents"))
 
@@ -26,7 +38,10 @@ def op9_word_shuffle_bpe(spark: SparkSession, sf_dir: str, path: str = public_to
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_zstd_secrets,
+        op3_fuzzy_licenses,
         op4_suffix_decontamination,
+        op5_permutation_shards,
         op6_adaptive_rules,
         op9_word_shuffle_bpe,
     )
