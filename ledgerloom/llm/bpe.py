@@ -24,7 +24,7 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.textarrays import _BYTE_CODES, BYTE_BASE, blocks, column_bytes, ranges, spans_hash
+from ledgerloom.llm.textarrays import NONSPACE, Words, blocks, column_bytes, long_spans_hash, ranges
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 OUT_BYTES = 8 << 20
-WORDS_CACHED = 1_000_000
+WORDS_CACHED = 300_000
+SHORT_WORD = 64
 # White space as the pattern's \s has it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces at whose edges every pattern with ` ?` before a word and `\s+(?!\S)|\s+` cuts too.
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
+ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank on each line."""
@@ -55,11 +58,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: merge the adjacent pair of lowest rank, leftmost first.
 
-    Pairs wait in a heap, so a word of n bytes takes O(n log n).
+    The ranks of a short word's pairs are a list; a long word's wait in a heap, so
+    that n bytes take O(n log n).
     """
     if word in ranks:
         return [ranks[word]]
     n = len(word)
+    if n <= SHORT_WORD:
+        get, none = ranks.get, 1 << 60
+        cuts = list(range(n + 1))
+        pairs = [get(word[i : i + 2], none) for i in range(n - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            del cuts[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = get(word[cuts[i - 1] : cuts[i + 1]], none)
+            if i < len(pairs):
+                pairs[i] = get(word[cuts[i] : cuts[i + 2]], none)
+        return [ranks[word[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
     ends = list(range(1, n + 1))  # a part is word[start:ends[start]]
     before = list(range(-1, n - 1))
     heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
@@ -82,37 +98,77 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte positions (starts, ends) of the pieces of all texts of a block, in order."""
+    words = Words(data, offsets, NONSPACE, lower=False, hashed=False)
+    doc = words.documents()
+    # white space before each word, and behind the last word of each text
+    before = offsets[:-1][doc]
+    follows = np.zeros(len(doc), bool)
+    follows[1:] = doc[1:] == doc[:-1]
+    before[follows] = words.ends[:-1][follows[1:]]
+    gap = words.starts - before
+    spaced = (gap > 0) & (data[words.starts - 1] == 32) if len(doc) else np.empty(0, bool)
+    word_starts = words.starts - spaced
+    run_end = words.starts - (gap > 0)  # all but the last white space, if not empty
+    lone = (gap > 0) & ~spaced
+    last = words.first[1:] - 1
+    tail = offsets[:-1].copy()
+    full = words.counts > 0
+    tail[full] = words.ends[last[full]]
+    starts = np.concatenate([word_starts, before[run_end > before], run_end[lone], tail[tail < offsets[1:]]])
+    ends = np.concatenate([words.ends, run_end[run_end > before], words.starts[lone], offsets[1:][tail < offsets[1:]]])
+    odd = _odd_texts(data, offsets)
+    if len(odd):  # other white space than ASCII: cut these texts by the pattern
+        keep = ~np.isin(np.searchsorted(offsets, starts, side="right") - 1, odd)
+        parts = [(starts[keep], ends[keep])]
+        for d in odd:
+            text = data[offsets[d] : offsets[d + 1]].tobytes().decode()
+            sizes = np.fromiter((len(p.encode()) for p in PIECES.findall(text)), np.int64)
+            stop = offsets[d] + np.cumsum(sizes)
+            parts.append((stop - sizes, stop))
+        starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order]
+
+
+def _odd_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    at = np.fromiter((m.start() for m in ODD_SPACE.finditer(data.tobytes())), np.int64)
+    return np.unique(np.searchsorted(offsets, at, side="right") - 1)
+
+
 class Block:
     """Pre-tokens of a block of texts. words: the distinct ones, the most frequent first."""
 
     def __init__(self, column: pa.Array, pattern: str, positions: bool):
-        pieces: defaultdict[str, int] = defaultdict(count().__next__)
-        find, place = PIECES.findall, pieces.__getitem__
-        documents = []
-        for text in column.to_pylist():
-            documents.append(np.fromiter(map(place, find(text or "")), np.int32))
+        data, offsets = column_bytes(column)
+        raw = data.tobytes()
+        self.name = xxhash.xxh64_intdigest(raw, seed=len(column)) - (1 << 63)
+        starts, ends = piece_spans(data, offsets)
+        hashes = long_spans_hash(data, starts, ends)
+        _, first, which, uses = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         words: defaultdict[str, int] = defaultdict(count().__next__)
-        split = regex.compile(pattern).findall
-        parts = [list(map(words.__getitem__, split(p))) for p in pieces]
+        split, place = regex.compile(pattern).findall, words.__getitem__
+        parts = []
+        for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
+            piece = raw[a:b].decode()
+            # a space and letters, or letters alone, are one pre-token
+            parts.append((place(piece),) if piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()) else tuple(map(place, split(piece))))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((i for p in parts for i in p), np.int64, int(sizes.sum()))
-        del parts
-        uses = np.zeros(len(pieces), np.int64)
-        for d in documents:
-            np.add.at(uses, d, 1)
+        flat = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
         order = np.argsort(-np.bincount(flat, np.repeat(uses, sizes), len(words)), kind="stable")
         names = list(words)
-        self.words = [names[i] for i in order]
-        data, _ = column_bytes(column)
-        self.name = xxhash.xxh64_intdigest(data.tobytes(), seed=len(column)) - (1 << 63)
+        self.words = [names[i] for i in order.tolist()]
         self.positions = []
         if positions:
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            flat = rank[flat].astype(np.uint32)
-            starts = np.cumsum(sizes) - sizes
-            for d in documents:
-                self.positions.append(flat[ranges(starts[d], sizes[d])])
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            flat = rank[flat]
+            begins = np.cumsum(sizes) - sizes
+            edges = np.searchsorted(starts, offsets)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = which[a:b]
+                self.positions.append(flat[ranges(begins[own], sizes[own])])
 
 
 def _pack(places: np.ndarray, n_words: int, zip_: zstandard.ZstdCompressor) -> bytes:
@@ -139,7 +195,7 @@ def _ask(pattern: str, text: str, buckets: int):
                 raw = [w.encode() for w in block.words]
                 lengths = np.fromiter(map(len, raw), np.int64, len(raw))
                 ends = np.cumsum(lengths)
-                hashes = spans_hash(_BYTE_CODES[np.frombuffer(b"".join(raw), np.uint8)], ends - lengths, ends, BYTE_BASE)
+                hashes = long_spans_hash(np.frombuffer(b"".join(raw), np.uint8), ends - lengths, ends)
                 bucket = (hashes % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -147,7 +203,7 @@ def _ask(pattern: str, text: str, buckets: int):
                 for b in np.flatnonzero(np.diff(edges)):
                     own = order[edges[b] : edges[b + 1]]
                     head = np.array([len(own)], "<u4").tobytes() + np.diff(own, prepend=0).astype("<u4").tobytes() + lengths[own].astype("<u4").tobytes()
-                    rows.append((int(b), zip_.compress(head + b"".join([raw[i] for i in own]))))
+                    rows.append((int(b), zip_.compress(head + b"".join([raw[i] for i in own.tolist()]))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([block.name] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
                     names=["bucket", "block", "payload"],

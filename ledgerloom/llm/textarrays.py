@@ -113,7 +113,7 @@ class Words:
             after[:-1] = inside[1:] & before[1:]
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = spans_hash(_BYTE_CODES[self.data], self.starts, self.ends, BYTE_BASE) if hashed else None
+        self.hashes = long_spans_hash(self.data, self.starts, self.ends) if hashed else None
 
     @property
     def counts(self) -> np.ndarray:
@@ -174,3 +174,15 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 def keyed(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Hashes that also tell the owner (a document) apart."""
     return mix(values ^ mix(owner.astype(np.uint64) + np.uint64(1)))
+
+
+def long_spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """spans_hash of bytes for sorted spans that don't overlap, in steps of bounded memory."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, side="right")))
+        a = starts[i]
+        out[i:j] = spans_hash(_BYTE_CODES[data[a : ends[j - 1]]], starts[i:j] - a, ends[i:j] - a, BYTE_BASE)
+        i = j
+    return out
