@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, decontaminate, licenses, rules, secrets, sharding
+from ledgerloom.llm import bpe, crf, decontaminate, licenses, rules, secrets, sharding
 from ledgerloom.llm.tables import read
 
 
+def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.op1_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op2_secrets(read(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op9_word_shuffle_bpe(spark: SparkSession, sf_dir: str, path: str = public_to
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_crf_quality,
         op2_zstd_secrets,
         op3_fuzzy_licenses,
         op4_suffix_decontamination,
