@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, crf, decontaminate, licenses, rules, secrets, sharding
+from ledgerloom.llm import bpe, crf, decontaminate, licenses, passages, rules, secrets, sharding
 from ledgerloom.llm.tables import read
 
 
@@ -39,6 +39,10 @@ def op9_word_shuffle_bpe(spark: SparkSession, sf_dir: str, path: str = public_to
     return bpe.op9_bpe(read(spark, sf_dir, "documents"), bpe.load_ranks(path), public_tokenizers.PATTERN)
 
 
+def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.op10_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_permutation_shards,
         op6_adaptive_rules,
         op9_word_shuffle_bpe,
+        op10_phrase_automata,
     )
 }
 ORACLES: dict[str, str] = {}
