@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, crf, decontaminate, licenses, passages, rules, secrets, sharding
+from ledgerloom.llm import bpe, chosenpath, crf, decontaminate, licenses, passages, rules, secrets, sharding
 from ledgerloom.llm.tables import read
 
 
@@ -35,6 +35,10 @@ def op6_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.op6_rules(read(spark, sf_dir, "documents"))
 
 
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.op7_near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_word_shuffle_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) -> DataFrame:
     return bpe.op9_bpe(read(spark, sf_dir, "documents"), bpe.load_ranks(path), public_tokenizers.PATTERN)
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_suffix_decontamination,
         op5_permutation_shards,
         op6_adaptive_rules,
+        op7_chosen_path,
         op9_word_shuffle_bpe,
         op10_phrase_automata,
     )
