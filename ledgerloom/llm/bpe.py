@@ -20,10 +20,11 @@ and equal blocks get equal ids; columns to keep may have any name.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, count
 
 import numpy as np
@@ -31,13 +32,13 @@ import pyarrow as pa
 import regex
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.textarrays import NONSPACE, Words, blocks, column_bytes, long_spans_hash, ranges
+from ledgerloom.llm.textarrays import NONSPACE, Words, blocks, column_bytes, give_back, long_spans_hash, ranges
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 OUT_BYTES = 8 << 20
 WORDS_CACHED = 300_000
 SHORT_WORD = 64
@@ -148,6 +149,7 @@ class Block:
         hashes = long_spans_hash(data, starts, ends)
         _, first, which, uses = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         words: defaultdict[str, int] = defaultdict(count().__next__)
+        del hashes
         split, place = regex.compile(pattern).findall, words.__getitem__
         parts = []
         for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
@@ -157,7 +159,9 @@ class Block:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
         order = np.argsort(-np.bincount(flat, np.repeat(uses, sizes), len(words)), kind="stable")
+        del parts
         names = list(words)
+        words.clear()
         self.words = [names[i] for i in order.tolist()]
         self.positions = []
         if positions:
@@ -208,6 +212,8 @@ def _ask(pattern: str, text: str, buckets: int):
                     [pa.array([r[0] for r in rows], pa.int32()), pa.array([block.name] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
                     names=["bucket", "block", "payload"],
                 )
+                del block, raw, rows
+        give_back()
 
     return run
 
@@ -240,6 +246,8 @@ def _answer(ranks):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("block").slice(k, 1), pa.array([payload], pa.binary())], names=["block", "payload"]
                 )
+        known.clear()
+        give_back()
 
     return run
 
@@ -258,6 +266,8 @@ def _place(pattern: str, text: str, keep: list[str], row_type: pa.DataType):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block.name] * len(part), pa.int64()), row, pa.array(payload, pa.binary())], names=["block", "row", "payload"]
                 )
+                del block, payload
+        give_back()
 
     return run
 
@@ -295,7 +305,7 @@ class _Dictionary:
         return flat[ranges(starts[places], sizes[places])], sizes[places]
 
 
-def _assemble(schema: pa.Schema, names: list[str]):
+def _assemble(schema: pa.Schema, then):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, words = zstandard.ZstdDecompressor(), _Dictionary()
 
@@ -303,7 +313,8 @@ def _assemble(schema: pa.Schema, names: list[str]):
             part = batch.column("row").slice(begin, len(ids))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = pa.array(np.concatenate(ids), pa.int32())
-            return pa.RecordBatch.from_arrays([*part.flatten(), pa.ListArray.from_arrays(pa.array(offsets), flat)], schema=schema)
+            found = pa.RecordBatch.from_arrays([*part.flatten(), pa.ListArray.from_arrays(pa.array(offsets), flat)], schema=schema)
+            return then(found) if then else found
 
         for batch in batches:
             kinds, blocks_ = batch.column("kind").to_pylist(), batch.column("block").to_pylist()
@@ -326,12 +337,17 @@ def _assemble(schema: pa.Schema, names: list[str]):
                     out, size = [], 0
             if out:
                 yield rows(batch, begin, out)
+        give_back()
 
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] | None = None, out: str = "ids") -> DataFrame:
-    """The columns `keep` (default: all but the text) and `out`, the token ids of each text."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] | None = None, out: str = "ids",
+           then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, then_schema: T.StructType | None = None) -> DataFrame:
+    """The columns `keep` (default: all but the text) and `out`, the token ids of each text.
+
+    `then` may turn each batch of them into rows of `then_schema` where it is made.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
@@ -359,9 +375,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     )
     result = (
         answers.unionByName(places).repartition("block").sortWithinPartitions("block", "kind")
-        .mapInArrow(_assemble(to_arrow_schema(schema), keep), schema)
+        .mapInArrow(_assemble(to_arrow_schema(schema), then), then_schema or schema)
     )
-    return result.drop("none") if keep == ["none"] else result
+    return result.drop("none") if keep == ["none"] and not then else result
 
 
 class TokenTable:
@@ -410,17 +426,24 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
     return df.mapInArrow(run, schema)
 
 
-def op9_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """The contract's row for each document."""
-    encoded = encode(docs.select("doc_id", "text"), ranks, pattern)
-    decimals = docs.sparkSession.sparkContext.broadcast(TokenTable({i: b"%d," % i for i in ranks.values()}))
+def digests(ranks: dict[bytes, int], spark: SparkSession) -> tuple[Callable[[pa.RecordBatch], pa.RecordBatch], T.StructType]:
+    """(doc_id, ids) to the contract's row: hashes of the ids' decimals and of the decoded bytes."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    decimals = spark.sparkContext.broadcast(TokenTable({i: b"%d," % i for i in ranks.values()}))
+    tokens = spark.sparkContext.broadcast(TokenTable({i: b for b, i in ranks.items()}))
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [decimals.value.join(x)[:-1] for x in _lists(batch.column("ids"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=["doc_id", "ids", "decoded", "spelled"])
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = list(_lists(batch.column("ids")))
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()),
+            pa.array([hashlib.sha256(decimals.value.join(x)[:-1]).hexdigest() for x in lists], pa.string()),
+            pa.array([hashlib.sha256(tokens.value.join(x)).hexdigest() for x in lists], pa.string()),
+        ], names=schema.names)
 
-    decoded = decode(encoded, ranks)
-    return decoded.mapInArrow(spell, "doc_id long, ids array<int>, decoded binary, spelled binary").select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("spelled", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return digest, schema
+
+
+def op9_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """The contract's row for each document."""
+    then, schema = digests(ranks, docs.sparkSession)
+    return encode(docs.select("doc_id", "text"), ranks, pattern, then=then, then_schema=schema)

@@ -7,6 +7,8 @@ points are all >= 0x80), and word and window hashes from prefix sums modulo 2**6
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -186,3 +188,12 @@ def long_spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step
         out[i:j] = spans_hash(_BYTE_CODES[data[a : ends[j - 1]]], starts[i:j] - a, ends[i:j] - a, BYTE_BASE)
         i = j
     return out
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
