@@ -25,6 +25,7 @@ are kept whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -99,7 +100,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, once = np.unique(keyed(hashes, doc), return_index=True)
             take = pa.array(doc[once])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[once].view(np.int64)), part.column("id").take(take), part.column("row").take(take)], names=["window", "id", "row"]
+                [pa.array(hashes[once].view(np.int64)), part.column("id").take(take)], names=["window", "id"]
             )
 
 
@@ -182,8 +183,8 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, spans): the word spans to remove, for each row_key that has any."""
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(row, spans), the word spans to remove for each row_key that has any, and (row, text) of all such rows and others."""
     source = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(
         F.col(doc_id).cast("long").alias("id"), row_key(doc_id, text).alias("row"), F.col(text).alias("text")
     )
@@ -193,30 +194,27 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         marks("id").groupBy("mark").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("mark"), "marks"
     )
     rows = marks("row").join(recurring, "mark").groupBy("row").agg(F.collect_set("mark").alias("marks"))
-    suspects = written(source.join(rows, "row"), "suspects")
-    windows = suspects.mapInArrow(_windows, "window long, id long, row long")
-    first = windows.groupBy("window").agg(F.min("id").alias("home"), F.max("id").alias("high")).where("home < high").select("window", "home")
-    pairs = written(windows.join(first, "window").where("home < id").select("row", "home").distinct(), "pairs")
-
-    # 2. first documents by shard
-    homes = suspects.join(pairs.select(F.col("home").alias("id")).distinct(), "id", "left_semi")
-    total = homes.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-total // SHARD_BYTES)))).cast("int").alias("shard")
-    visits = suspects.join(pairs.select("row", shard("home")).distinct(), "row")
-    # equal rows of a table visit once
-    visits = visits.groupBy("row", "shard").agg(F.first("id").alias("id"), F.first("text").alias("text"))
-    sizes = suspects.select("row", F.octet_length("text").alias("size")).distinct()
-    copies = (
-        pairs.select("row", shard("home")).distinct().join(sizes, "row").groupBy("shard").agg(F.sum("size").alias("size"))
-        .select("shard", F.ceil(F.col("size") / VISIT_BYTES).cast("int").alias("copies"))
+    suspects = written(source.join(rows, "row").dropDuplicates(["row"]), "suspects")
+    windows = suspects.mapInArrow(_windows, "window long, id long")
+    first = windows.groupBy("window").agg(F.min("id").alias("home"))
+    pairs = written(windows.join(first, "window").where("home < id").select("id", "home").distinct(), "pairs")
+
+    # 2. first documents by shard, visitors by shard and copy: ids only
+    sizes = suspects.groupBy("id").agg(F.sum(F.octet_length("text")).alias("size"))
+    homes = pairs.select("home").distinct()
+    total = homes.join(sizes, F.col("id") == F.col("home")).agg(F.sum("size")).first()[0] or 0
+    shard = F.pmod(F.xxhash64("home"), F.lit(max(1, -(-total // SHARD_BYTES)))).cast("int").alias("shard")
+    visits = pairs.select("id", shard).distinct()
+    copies = visits.join(sizes, "id").groupBy("shard").agg(F.ceil(F.sum("size") / VISIT_BYTES).cast("int").alias("copies"))
+    dealt = visits.join(copies, "shard").select("id", "shard", F.pmod(F.xxhash64("id"), "copies").cast("int").alias("copy"), F.lit(1).alias("kind"))
+    compiled = homes.select(F.col("home").alias("id"), shard).join(copies, "shard").select(
+        "id", "shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind")
     )
-    # 3. visitors by shard and copy
-    dealt = visits.join(copies, "shard").select("shard", F.pmod("row", "copies").cast("int").alias("copy"), F.lit(1).alias("kind"), "id", "row", "text")
-    compiled = homes.select(shard("id"), "id", "row", "text").dropDuplicates(["id", "row"]).join(copies, "shard").select(
-        "shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "id", "row", "text"
-    )
-    found = compiled.unionByName(dealt).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind", "id", "row").mapInArrow(_stream, f"row long, spans {SPANS}")
-    return written(found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    # 3. the texts go where their ids go
+    tasks = written(dealt.unionByName(compiled), "tasks").join(suspects.select("id", "row", "text"), "id")
+    found = tasks.select("shard", "copy", "kind", "id", "row", "text").repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind", "id", "row").mapInArrow(_stream, f"row long, spans {SPANS}")
+    spans = written(found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    return spans, suspects.select("row", "text")
 
 
 def remaining(text: str | None, spans: list[dict] | None) -> tuple[int, int, str]:
@@ -228,31 +226,48 @@ def remaining(text: str | None, spans: list[dict] | None) -> tuple[int, int, str
     return len(words), int(gone.sum()), " ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_words__, n_removed__ and kept__, the words that stay joined by one space."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words__", T.LongType()), T.StructField("n_removed__", T.LongType()), T.StructField("kept__", T.StringType())])
-    arrow = to_arrow_schema(schema)
-    spans = repeated_spans(docs, doc_id, text).withColumnsRenamed({"row": "row__", "spans": "spans__"})
-    joined = docs.withColumn("row__", row_key(doc_id, text)).join(spans, "row__", "left").drop("row__")
-
+def _rest(keep: list[str], text: str, schema: pa.Schema, summary: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = batch.column(text), batch.column("spans__")
-            rest = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "spans__"]
+            texts = batch.column(text)
+            found = batch.column("spans__") if "spans__" in batch.schema.names else None
             for begin, end in blocks(texts, BLOCK_BYTES):
-                out = [remaining(texts[k].as_py(), found[k].as_py()) for k in range(begin, end)]
+                out = [remaining(texts[k].as_py(), found[k].as_py() if found is not None else None) for k in range(begin, end)]
+                kept = [hashlib.sha256(x[2].encode()).hexdigest() for x in out] if summary else [x[2] for x in out]
                 yield pa.RecordBatch.from_arrays([
-                    *(c.slice(begin, end - begin) for c in rest),
-                    pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string()),
-                ], schema=arrow)
+                    *(batch.column(c).slice(begin, end - begin) for c in keep),
+                    pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array(kept, pa.string()),
+                ], schema=schema)
+
+    return run
 
-    return joined.mapInArrow(run, schema)
+
+def _summed(df: DataFrame, keep: list[str], text: str, summary: bool) -> DataFrame:
+    """keep, n_words__, n_removed__ and kept__: the words that stay (or, for a summary, their hash)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("n_words__", T.LongType()), T.StructField("n_removed__", T.LongType()), T.StructField("kept__", T.StringType())])
+    return df.mapInArrow(_rest(keep, text, to_arrow_schema(schema), summary), schema)
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with n_words__, n_removed__ and kept__, the words that stay joined by one space."""
+    spans, _ = repeated_spans(docs, doc_id, text)
+    spans = spans.withColumnsRenamed({"row": "row__", "spans": "spans__"})
+    joined = docs.withColumn("row__", row_key(doc_id, text)).join(spans, "row__", "left").drop("row__")
+    return _summed(joined, docs.columns, text, summary=False)
 
 
 def op10_repeats(docs: DataFrame) -> DataFrame:
-    """The contract's row for each document."""
-    return remove_repeats(docs.select("doc_id", "text")).select(
-        "doc_id", F.col("n_words__").alias("n_words"), F.col("n_removed__").alias("n_removed"), F.sha2("kept__", 256).alias("kept_sha256")
+    """The contract's row for each document.
+
+    Only texts with something to remove move; all others are hashed where they are read.
+    """
+    docs = docs.select("doc_id", "text")
+    spans, texts = repeated_spans(docs)
+    changed = _summed(texts.join(spans.withColumnRenamed("spans", "spans__"), "row"), ["row"], "text", summary=True)
+    changed = changed.select("row", F.col("n_removed__").alias("n_removed"), F.col("kept__").alias("changed_sha256"))
+    whole = _summed(docs.withColumn("row", row_key("doc_id", "text")), ["doc_id", "row"], "text", summary=True)
+    return whole.join(changed, "row", "left").select(
+        "doc_id", F.col("n_words__").alias("n_words"), F.coalesce("n_removed", "n_removed__").alias("n_removed"), F.coalesce("changed_sha256", "kept__").alias("kept_sha256")
     )
