@@ -38,7 +38,7 @@ RECALL = 0.9995
 RUNS = math.ceil(-math.log(1 - RECALL))
 LIMIT = 400
 LEVELS = 4
-SAMPLE = 64
+SAMPLE = 32
 DENSE = 0.5  # share of a path that is similar to its pivot
 BLOCK_BYTES = 2 << 20
 TOP = float(1 << 64)
@@ -74,7 +74,8 @@ def _below(sizes: np.ndarray, factor: float) -> np.ndarray:
 def _lists(values: np.ndarray, doc: np.ndarray, n: int) -> pa.Array:
     order = np.argsort(doc, kind="stable")
     offsets = np.searchsorted(doc[order], np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order].view(np.int64)))
+    values = values[order]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64) if values.dtype == np.uint64 else values))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +100,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([
                 part.column("row"), part.column("id"),
                 pa.array(key.view(np.int64), mask=size == 0), pa.array(size, pa.int32()),
-                _lists(np.concatenate(paths), np.concatenate(owners), n), _lists(tokens[shared], doc[shared], n),
+                _lists(np.concatenate(paths), np.concatenate(owners), n),
+                _lists(mix(tokens[shared]).astype(np.uint32).view(np.int32), doc[shared], n),
             ], names=["row", "id", "set", "size", "paths", "sample"])
 
 
@@ -108,7 +110,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("sample")
         counts = np.asarray(lists.value_lengths(), np.int64)
-        tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        tokens = mix(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32))
         owner = np.repeat(np.arange(len(batch)), counts)
         path = batch.column("path").to_numpy().view(np.uint64)
         chance = mix(tokens ^ mix(path)[owner])
@@ -147,20 +149,22 @@ def _buckets(records: DataFrame) -> DataFrame:
     return found.join(same.groupBy("n", "sum", "least").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
 
 
-def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row with the whole set for each bucket, or pair of blocks, that a record visits."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, visits, tokens): whole sets, each token as 6 bytes of its hash."""
     for batch in batches:
         for begin, end in blocks(batch.column("text"), BLOCK_BYTES):
             part = batch.slice(begin, end - begin)
             tokens, _, first = shingle_sets(part.column("text"))
-            rows = []
-            for k, (key, visits) in enumerate(zip(part.column("set").to_pylist(), part.column("visits").to_pylist(), strict=True)):
-                own = np.sort(tokens[first[k] : first[k + 1]]).tobytes()
-                paths = np.unique(np.array([v["path"] for v in visits], np.int64)).tobytes()
-                rows += [(v["path"], v["i"], v["j"], v["b"], key, paths, own) for v in visits]
-            names = ["path", "i", "j", "b", "set", "paths", "tokens"]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
+            short = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            own = [np.ascontiguousarray(short[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("set"), part.column("visits"), pa.array(own, pa.binary())], names=["set", "visits", "tokens"])
+
+
+def _unpack(tokens: bytes) -> np.ndarray:
+    short = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, :6] = short
+    return out.view("<u8").ravel()
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -243,7 +247,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if now is None or len(held) < 2:
             return []
         rows = list(held.values())
-        return brute_force(*now, np.array([r[0] for r in rows]), np.array(list(held)), [np.frombuffer(r[1], np.int64) for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows])
+        return brute_force(*now, np.array([r[0] for r in rows]), np.array(list(held)), [np.array(r[1], np.int64) for r in rows], [_unpack(r[2]) for r in rows])
 
     def table(rows: list) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [[], [], []]
@@ -269,7 +273,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     with a similarity of 0.8 or more.
     """
     source = docs.select(row_key(doc_id, text).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = written(source.mapInArrow(_sign, "row long, id long, set long, size int, paths array<long>, sample array<long>"), "signed")
+    signed = written(source.mapInArrow(_sign, "row long, id long, set long, size int, paths array<long>, sample array<int>"), "signed")
     records = written(
         signed.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("row"), F.first("paths").alias("paths"), F.first("sample").alias("sample")), "records"
     )
@@ -281,9 +285,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .groupBy("set").agg(F.collect_list("visit").alias("visits"))
     )
     wanted = visits.join(records.select("set", "row"), "set")
-    shipped = source.select("row", "text").join(wanted, "row").select("set", "visits", "text").mapInArrow(
-        _ship, "path long, i int, j int, b int, set long, paths binary, tokens binary"
+    kind = wanted.schema["visits"].dataType.simpleString()
+    sets = written(
+        source.select("row", "text").join(wanted, "row").select("set", "visits", "text").mapInArrow(_sets, f"set long, visits {kind}, tokens binary"), "sets"
     )
+    shipped = sets.select("set", F.expr("array_sort(array_distinct(transform(visits, v -> v.path)))").alias("paths"), "tokens", F.explode("visits").alias("v")).select("v.*", "set", "paths", "tokens")
     compared = written(
         shipped.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_compare, "u long, v long, links long"), "compared"
     )
