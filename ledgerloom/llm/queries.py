@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, chosenpath, crf, decontaminate, licenses, passages, rules, secrets, sharding
+from ledgerloom.llm import bpe, chosenpath, crf, decontaminate, licenses, passages, pii, rules, secrets, sharding
 from ledgerloom.llm.tables import read
 
 
@@ -39,6 +39,10 @@ def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.op7_near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str, key: bytes = pii.DEFAULT_KEY) -> DataFrame:
+    return pii.op8_pseudonyms(read(spark, sf_dir, "documents"), key)
+
+
 def op9_word_shuffle_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) -> DataFrame:
     return bpe.op9_bpe(read(spark, sf_dir, "documents"), bpe.load_ranks(path), public_tokenizers.PATTERN)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_permutation_shards,
         op6_adaptive_rules,
         op7_chosen_path,
+        op8_feistel_pseudonyms,
         op9_word_shuffle_bpe,
         op10_phrase_automata,
     )
