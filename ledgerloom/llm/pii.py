@@ -38,7 +38,7 @@ SHAPES = {
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ipv4": re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
     "date": re.compile(r"(?<![\d/.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d/-]|\.\d)"),
-    "card": re.compile(r"(?<![\d])\d(?:[ -]?\d){12,18}(?!\d)"),
+    "card": re.compile(r"(?<![A-Za-z0-9])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])"),
     "phone": re.compile(r"(?<![\w+])\+\d(?:[ .-]?[(]?\d[)]?){7,14}(?!\d)"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
 }
