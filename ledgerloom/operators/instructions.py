@@ -18,14 +18,22 @@ def payload_discriminator(payload: Column) -> Column:
     return F.lower(F.hex(F.substring(payload, 1, DISCRIMINATOR_BYTES)))
 
 
-def match_instructions(flat: DataFrame, program: Program) -> DataFrame:
+def match_instructions(flat: DataFrame, program: Program, on_error: str = "quarantine") -> DataFrame:
     """Add `payload`, `disc` and `instruction` (null when no discriminator matches).
 
+    Text that is no base58 fails the job with on_error='fail'; else its payload is
+    null, and `unknown_instructions` tells it from an unknown discriminator.
+
     The base58 step is the only Python in the path. The lookup table has one row
     per instruction of a single interface, which bounds the broadcast.
     """
     names = program.discriminators(flat.sparkSession).withColumnRenamed("name", "instruction")
-    decoded = flat.withColumn("payload", base58_to_bytes("data"))
+    payload = base58_to_bytes("data")
+    decoded = flat.withColumn("payload", payload)
+    if on_error == "fail":
+        message = F.concat(F.lit("Instruction data is not base58 in transaction "), F.col("tx_signature"))
+        bad = F.col("data").isNotNull() & F.col("payload").isNull()
+        decoded = decoded.withColumn("payload", F.when(bad, F.raise_error(message)).otherwise(F.col("payload")))
     keyed = decoded.withColumn("disc", payload_discriminator(F.col("payload")))
     return keyed.join(F.broadcast(names), "disc", "left")
 
@@ -97,8 +105,9 @@ def decode_instructions(
 
 def unknown_instructions(matched: DataFrame) -> DataFrame:
     """Instructions of the program whose payload matches no discriminator."""
+    reason = F.when(F.col("payload").isNull(), "bad_encoding").otherwise("unknown_discriminator")
     return matched.where("instruction IS NULL").select(
-        "slot", "tx_signature", F.lit("unknown_discriminator").alias("reason"),
+        "slot", "tx_signature", reason.alias("reason"),
         F.col("disc").alias("detail"),
     )
 

@@ -65,13 +65,15 @@ def signature_list(spark: SparkSession, signatures: Iterable[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(found)), "position bigint, signature string")
 
 
-def select_signatures(feed: DataFrame, wanted: DataFrame) -> DataFrame:
+def select_signatures(feed: DataFrame, wanted: DataFrame, absent: bool = False) -> DataFrame:
     """Entries named in `wanted`, once each however often a name is listed.
 
-    The list may come from a file of any size, so the join side is left to the
+    With `absent`, a name that the feed lacks stays too, without slot and position. The list may come from a file of any size, so the join side is left to the
     planner's size check. Repeated names are folded before they are exchanged.
     """
     names = wanted.select(F.trim("signature").alias("signature")).where("signature <> ''").distinct()
+    if absent:
+        return names.join(feed, "signature", "left")
     return feed.join(names, "signature", "left_semi")
 
 
@@ -85,13 +87,14 @@ def resume_range(
 ) -> DataFrame:
     """One row (from_slot, to_slot): the explicit ends, else checkpoint (0 if none) and tip.
 
-    `checkpoint` has a column last_processed_slot. A range that ends before it
-    starts fails the job.
+    `checkpoint` has a column last_processed_slot. A feed may have landed less than
+    what live batches committed: its tip then counts as the checkpoint. An explicit
+    range that ends before it starts fails the job.
     """
     tip = feed.agg(F.max("slot").alias("tip"))
     stored = checkpoint.agg(F.max("last_processed_slot").alias("stored"))
     low = F.coalesce(F.lit(slot_from).cast("bigint"), stored.scalar(), F.lit(0).cast("bigint"))
-    high = F.coalesce(F.lit(slot_to).cast("bigint"), F.col("tip"))
+    high = F.coalesce(F.lit(slot_to).cast("bigint"), F.greatest(F.col("tip"), stored.scalar()))
     bounds = tip.select(low.alias("low"), high.alias("high"))
     message = F.concat(
         F.lit("Invalid slot range: slot-from ("), F.col("low").cast("string"),

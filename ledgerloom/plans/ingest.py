@@ -33,12 +33,33 @@ def landed(transactions: DataFrame, selected: DataFrame) -> DataFrame:
     same partition and need no further exchange.
     """
     wanted = selected.groupBy("signature").agg(
-        F.max("slot").alias("feed_slot"), F.max("feed_pos").alias("_feed_pos")
+        F.max("slot").alias("_feed_slot"), F.max("feed_pos").alias("_feed_pos")
     )
     joined = transactions.join(wanted, "signature")
-    return joined.withColumn("feed_pos", F.coalesce("_feed_pos", "feed_pos")).drop(
-        "_feed_pos"
-    ).dropDuplicates(["signature"])
+    return joined.withColumns({
+        "feed_slot": F.coalesce("_feed_slot", "slot"), "feed_pos": F.coalesce("_feed_pos", "feed_pos"),
+    }).drop("_feed_slot", "_feed_pos").dropDuplicates(["signature"])
+
+
+def resolve(
+    transactions: DataFrame, selected: DataFrame, low: int | None, high: int | None, wider: bool = True
+) -> DataFrame:
+    """Landed transactions of a selection whose own slots are low to high.
+
+    A transaction carries the slot it was announced with, so the range prunes the
+    scan. What it misses (signatures that waited, or have no known slot) is looked
+    for without bounds, unless `wider` is off: then it stays unresolved.
+    """
+    if low is None or high is None:
+        return landed(transactions, selected) if wider else landed(transactions.where("false"), selected)
+    near = transactions.where(F.col("slot").between(low, high))
+    found = landed(near, selected)
+    if not wider:
+        return found
+    missing = tx.unresolved_signatures(selected, near)
+    if missing.isEmpty():
+        return found
+    return found.unionByName(landed(transactions, missing))
 
 
 def ingest(
@@ -51,6 +72,8 @@ def ingest(
     find: Callable[[DataFrame, DataFrame], DataFrame] = landed,
     contiguous: bool = True,
     hold_last_slot: bool = False,
+    upto: int | None = None,
+    more_rejects: DataFrame | None = None,
     on_error: str = "fail",
     include_failed: bool = True,
     enum_text: str = "object",
@@ -63,6 +86,10 @@ def ingest(
     from its own rows only. With on_error='fail' an instruction that cannot be
     decoded, or a transaction without signer, stops the batch before anything is
     visible; an account state never does.
+
+    `upto` is the end of the range that the run covers without gaps: later slots,
+    of signatures tried again, never count for the checkpoint. `more_rejects` are
+    committed with the batch's own.
     """
     if store.is_committed(run, batch_id):
         return False
@@ -86,6 +113,8 @@ def ingest(
             F.lit(None).cast("string").alias("detail"),
         )
     ]
+    if more_rejects is not None:
+        rejects.append(more_rejects.select("slot", "tx_signature", "reason", "detail"))
     _instruction_frames(program, attempt, rows, frames, rejects, on_error, enum_text)
     if infos is not None:
         _account_frames(program, attempt, rows, infos, frames, rejects, enum_text)
@@ -96,23 +125,37 @@ def ingest(
         )
     attempt.write_all(frames)
 
-    newest = rows.agg(F.max("slot")).first()[0]
+    covered = rows if upto is None else rows.where(F.col("slot") <= upto)
+    newest = covered.agg(F.max("slot")).first()[0]
     attempt.commit(contiguous, newest if newest is None or not hold_last_slot else newest - 1)
     attempt.clean()
     return True
 
 
+def _add(frames: dict[str, DataFrame], rejects: list[DataFrame], table: str, name: str, rows: DataFrame) -> None:
+    """Two names may derive the same table: rows of one shape share it, others are rejects."""
+    held = frames.get(table)
+    if held is None:
+        frames[table] = rows
+    elif held.dtypes == rows.dtypes:
+        frames[table] = held.unionByName(rows)
+    else:
+        signature = F.col("tx_signature" if "tx_signature" in rows.columns else "_tx_signature")
+        rejects.append(rows.select(
+            "slot", signature.alias("tx_signature"), F.lit("table_name_clash").alias("reason"), F.lit(name).alias("detail")
+        ))
+
+
 def _instruction_frames(program, attempt: Attempt, rows, frames, rejects, on_error, enum_text) -> None:
     flat = rows.where("own").select("slot", "tx_pos", "tx_signature", "signer", "ix_ordinal", "data")
-    matched = ins.match_instructions(flat, program).drop("data")
+    matched = ins.match_instructions(flat, program, on_error).drop("data")
     staged = attempt.stage("instructions", matched, by="instruction")
     found = attempt.staged_values("instructions", "instruction")
     rejects.append(ins.unknown_instructions(staged))
     for name in program.instructions:
         if name in found:
-            frames[program.instruction_table(name)] = ins.decode_instructions(
-                staged, program, name, on_error, enum_text
-            )
+            decoded = ins.decode_instructions(staged, program, name, on_error, enum_text)
+            _add(frames, rejects, program.instruction_table(name), name, decoded)
             if on_error == "quarantine":
                 rejects.append(ins.decode_rejects(staged, program, name))
 
@@ -124,7 +167,12 @@ def _account_frames(program, attempt: Attempt, rows, infos, frames, rejects, enu
         .where("pubkey <> ''").groupBy("tx_signature", "pubkey").agg(F.min("slot").alias("slot"))
     )
     states = acc.owned_accounts(acc.account_states(infos), program.program_id)
-    touched = acc.touched_states(writable, states.dropDuplicates(["tx_signature", "pubkey"]))
+    # Of several replies for one account the least (owner, data) counts; the join comes
+    # first, so a small batch never exchanges the history of states.
+    touched = (
+        acc.touched_states(writable, states).groupBy("tx_signature", "pubkey", "slot")
+        .agg(F.min(F.struct("owner", "data")).alias("state")).select("tx_signature", "pubkey", "slot", "state.*")
+    )
     matched = acc.match_accounts(acc.account_bytes(touched), program).drop("data", "owner")
     staged = attempt.stage("accounts", matched, by="account")
     found = attempt.staged_values("accounts", "account")
@@ -133,7 +181,8 @@ def _account_frames(program, attempt: Attempt, rows, infos, frames, rejects, enu
         if name in found:
             rejects.append(acc.account_rejects(staged, program, name))
             if name in program.accounts:
-                frames[program.account_table(name)] = acc.decode_accounts(staged, program, name, enum_text)
+                decoded = acc.decode_accounts(staged, program, name, enum_text)
+                _add(frames, rejects, program.account_table(name), name, decoded)
 
 
 def backfill(
@@ -164,14 +213,17 @@ def backfill(
         wanted = sel.signature_list(store.spark, signatures)
         if wanted.isEmpty():
             return False
-        selected = sel.select_signatures(feed, wanted)
+        selected = sel.select_signatures(feed, wanted, absent=True)
     selected = selected.select("signature", "slot", "feed_pos")
-    processed = store.table("_processed", low, high)
+    processed = store.table("_processed", low, high) if mode == "slots" else store.processed(selected)
     selected = sel.exclude_done(selected, processed, store.program.program_id)
+    if mode != "slots":
+        low, high = selected.agg(F.min("slot"), F.max("slot")).first()
     if retry_unresolved:
         selected = selected.unionByName(store.unresolved())
     return ingest(
-        store, transactions, infos, run, selected=selected, contiguous=mode == "slots", **options
+        store, transactions, infos, run, selected=selected, contiguous=mode == "slots", upto=high,
+        find=lambda landed_rows, wanted_rows: resolve(landed_rows, wanted_rows, low, high), **options
     )
 
 

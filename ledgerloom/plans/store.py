@@ -12,9 +12,11 @@ so nothing is overwritten and a retry is safe.
 
 from __future__ import annotations
 
+import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import suppress
+from urllib.parse import unquote
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,7 @@ from ledgerloom.operators.catalog import Program
 from ledgerloom.operators.selection import exclude_done
 from ledgerloom.sources.tables import union_signers
 
+SLOTS_PER_BUCKET = 100_000
 COMMITS = (
     "program_id string, run string, batch_id bigint, batch string, contiguous boolean, "
     "last_whole_slot bigint, committed_at timestamp"
@@ -111,25 +114,30 @@ def visible(frame: DataFrame, commits: DataFrame) -> DataFrame:
 class Store:
     """Reads and writes the tables of one program; the queries take it as their tables."""
 
-    def __init__(self, spark: SparkSession, root: str, program: Program, slots_per_bucket: int = 100_000):
+    def __init__(self, spark: SparkSession, root: str, program: Program, slots_per_bucket: int | None = None):
         self.spark = spark
         self.root = root
         self.program = program
-        self.slots_per_bucket = slots_per_bucket
         self.home = f"{root}/{program.program_id}"
+        kept = self._kept_width()
+        if kept is not None and slots_per_bucket not in (None, kept):
+            raise ValueError(f"These tables have {kept} slots per bucket, not {slots_per_bucket}")
+        self.slots_per_bucket = kept or slots_per_bucket or SLOTS_PER_BUCKET
+
+    def _kept_width(self) -> int | None:
+        """Bucket width of existing tables; it is part of their folder."""
+        found = [f for f in subfolders(self.spark, f"{self.home}/_layout") if f.startswith("slots_per_bucket=")]
+        return int(found[0].split("=", 1)[1]) if found else None
 
     # schemas
 
     def schemas(self) -> dict[str, T.StructType]:
         """Every table with its derived schema."""
-        p = self.program
-        out = {p.instruction_table(n): p.instruction_schema(n) for n in p.instructions}
-        out |= {p.account_table(n): p.account_schema(n) for n in p.accounts}
-        return out | {n: T._parse_datatype_string(ddl) for n, ddl in SERVICE_TABLES.items()}
+        return self.derived(self.program) | {n: T._parse_datatype_string(ddl) for n, ddl in SERVICE_TABLES.items()}
 
     def ensure_tables(self) -> None:
         """Create what is missing; running it again changes nothing."""
-        for name in [*self.schemas(), "_commits"]:
+        for name in [*self.schemas(), "_commits", f"_layout/slots_per_bucket={self.slots_per_bucket}"]:
             files, target = _files(self.spark, f"{self.home}/{name}")
             files.mkdirs(target)
 
@@ -137,16 +145,50 @@ class Store:
         """Register the interface and make its tables.
 
         A folder serves one program at a time. Starting over with another one deletes
-        data, so it happens only with reset=True.
+        the old programs' tables and the registry, nothing else that lies there, and
+        only with reset=True. A new interface of the same program must leave the
+        columns of existing tables as they are.
         """
-        other = programs(self.spark, self.root).where(F.col("program_id") != self.program.program_id)
-        if not other.isEmpty():
+        known = programs(self.spark, self.root)
+        other = [r.program_id for r in known.where(F.col("program_id") != self.program.program_id).select("program_id").collect()]
+        if other:
             if not reset:
                 raise ValueError("Another program is registered here; pass reset=True to replace it")
-            self._drop(self.root)
+            for name in [*other, "_programs"]:
+                self._drop(f"{self.root}/{name}")
+        elif not reset:
+            self._check_drift(known)
         upsert_program(self.spark, self.root, self.program.program_id, idl)
         self.ensure_tables()
 
+    def _check_drift(self, known: DataFrame) -> None:
+        stored = known.where(F.col("program_id") == self.program.program_id).select("idl").first()
+        try:
+            old = Program.from_idl(json.loads(stored.idl)) if stored else None
+        except (ValueError, KeyError, TypeError):
+            return  # what is registered is no interface: there is nothing to compare
+        if old is None:
+            return
+        was = Store.derived(old)
+        changed = []
+        for table, schema in Store.derived(self.program).items():
+            before = {f.name: f.dataType.simpleString() for f in was[table].fields} if table in was else None
+            now = {f.name: f.dataType.simpleString() for f in schema.fields}
+            if before is not None and before != now and not self._is_new(table):
+                names = [c for c in dict.fromkeys([*before, *now]) if before.get(c) != now.get(c)]
+                changed += [f"{table}.{c}: {before.get(c, 'absent')} -> {now.get(c, 'absent')}" for c in names]
+        if changed:
+            raise ValueError("The interface changed stored columns: " + "; ".join(changed))
+
+    def _is_new(self, table: str) -> bool:
+        return not subfolders(self.spark, f"{self.home}/{table}")
+
+    @staticmethod
+    def derived(p: Program) -> dict[str, T.StructType]:
+        """Tables of the interface with their schemas."""
+        out = {p.instruction_table(n): p.instruction_schema(n) for n in p.instructions}
+        return out | {p.account_table(n): p.account_schema(n) for n in p.accounts}
+
     def _drop(self, path: str) -> None:
         files, target = _files(self.spark, path)
         files.delete(target, True)
@@ -182,12 +224,23 @@ class Store:
     def checkpoint(self) -> DataFrame:
         return checkpoints(self.commits())
 
-    def unresolved(self) -> DataFrame:
-        """Signatures of earlier runs whose transactions had not landed then."""
-        waiting = self.table("_unresolved").groupBy("signature").agg(
+    def unresolved(self, low: int | None = None, high: int | None = None) -> DataFrame:
+        """Signatures of earlier runs whose transactions had not landed then.
+
+        Slot bounds prune both tables. Without them the committed side is still cut
+        down to the slots that wait.
+        """
+        waiting = self.table("_unresolved", low, high).groupBy("signature").agg(
             F.max("slot").alias("slot"), F.max("feed_pos").alias("feed_pos")
         )
-        return exclude_done(waiting, self.table("_processed"), self.program.program_id)
+        return exclude_done(waiting, self.processed(waiting), self.program.program_id)
+
+    def processed(self, selected: DataFrame) -> DataFrame:
+        """Committed transactions in the slots of a selection; all if a slot is unknown."""
+        low, high, unknown = selected.agg(
+            F.min("slot"), F.max("slot"), F.count_if(F.col("slot").isNull())
+        ).first()
+        return self.table("_processed") if unknown else self.table("_processed", low, high)
 
     # writing
 
@@ -235,9 +288,9 @@ class Attempt:
         return frame.withColumn("slot_bucket", bucket)
 
     def staged_values(self, name: str, by: str) -> list[str]:
-        """Partition values of a staged table."""
+        """Partition values of a staged table, as they were before they became folder names."""
         folders = subfolders(self.store.spark, self._staging(name))
-        return [f.split("=", 1)[1] for f in folders if f.startswith(f"{by}=")]
+        return [unquote(f.split("=", 1)[1]) for f in folders if f.startswith(f"{by}=")]
 
     def _staging(self, name: str) -> str:
         return f"{self.store.home}/_staging/{self.batch}/{name}"

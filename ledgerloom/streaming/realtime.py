@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators import selection as sel
-from ledgerloom.operators import transactions as tx
-from ledgerloom.plans.ingest import catch_up, ingest, landed
+from ledgerloom.plans.ingest import catch_up, ingest, resolve
 from ledgerloom.plans.store import Store
 
 
@@ -43,45 +42,34 @@ def dedupe(notices: DataFrame, window: str = "1 hour", salts: int = 16) -> DataF
     State is bounded by time, not by count. A signature repeated very often is first
     thinned out in `salts` separate groups, so that no single task gets all of its
     rows; the second pass sees at most one row per group. A row later than the
-    watermark is dropped here and found by the next catch-up.
+    watermark is dropped, so this is for reports: `follow`, which must lose nothing,
+    leaves repeats out by what is committed.
     """
     timed = notices.withWatermark("received_at", window)
     if salts > 1:
-        salt = F.pmod(F.xxhash64("slot", "received_at"), F.lit(salts))
+        salt = F.pmod(F.spark_partition_id(), F.lit(salts))
         timed = timed.withColumn("_salt", salt).dropDuplicatesWithinWatermark(["signature", "_salt"])
         timed = timed.drop("_salt")
     return timed.dropDuplicatesWithinWatermark(["signature"])
 
 
-def resolve(transactions: DataFrame, selected: DataFrame) -> DataFrame:
-    """Landed transactions of a small batch.
-
-    A transaction carries the slot it was announced with, so the batch's slot range
-    prunes the scan. A second look without bounds is taken only for what the first
-    one missed.
-    """
-    bounds = selected.agg(F.min("slot").alias("low"), F.max("slot").alias("high")).first()
-    if bounds.low is None:
-        return landed(transactions, selected)
-    near = transactions.where(F.col("slot").between(bounds.low, bounds.high))
-    found = landed(near, selected)
-    missing = tx.unresolved_signatures(selected, near)
-    if missing.isEmpty():
-        return found
-    return found.unionByName(landed(transactions, missing))
-
-
 def process_batch(
     store: Store,
     run: str,
     transactions: Callable[[], DataFrame],
     infos: Callable[[], DataFrame] | None,
+    retry_slots: int = 1000,
     **options,
 ) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function. Readers are called per batch, so newly landed files count.
-
-    What a backfill has committed is left out, and a replayed batch finds its own
-    commit and does nothing.
+    """foreachBatch function over raw notifications. Readers are called per batch, so
+    newly landed files count.
+
+    Repeats within a batch are folded here, and those of other batches or of a
+    backfill are left out by what is committed, however late they come. Signatures
+    that had not landed are tried again while their slot is within `retry_slots` of
+    the batch; later backfills try them too. Scans stay within these slots. Malformed
+    notifications become rejects. A replayed batch finds its own commit and does
+    nothing.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -92,13 +80,20 @@ def process_batch(
             if batch.isEmpty():
                 return
             # Later arrivals are newer, and feed positions count from the newest.
-            selected = batch.select("signature", "slot", (-F.unix_micros("received_at")).alias("feed_pos"))
+            selected = well_formed(batch).groupBy("signature").agg(
+                F.min("slot").alias("slot"), (-F.unix_micros(F.min("received_at"))).alias("feed_pos")
+            )
             low, high = selected.agg(F.min("slot"), F.max("slot")).first()
-            processed = store.table("_processed", low, high)
+            waiting, reach = None, low
+            if low is not None:
+                reach = low - retry_slots
+                waiting = store.unresolved(reach, high)
+                selected = sel.exclude_done(selected, store.table("_processed", low, high), store.program.program_id)
+                selected = selected.unionByName(waiting.join(selected, "signature", "left_anti"))
             ingest(
-                store, transactions(), infos() if infos else None, run, batch_id,
-                selected=sel.exclude_done(selected, processed, store.program.program_id),
-                find=resolve, hold_last_slot=True, **options,
+                store, transactions(), infos() if infos else None, run, batch_id, selected=selected,
+                find=lambda rows, wanted: resolve(rows, wanted, reach, high, wider=False),
+                hold_last_slot=True, upto=high, more_rejects=malformed(batch), **options,
             )
         finally:
             batch.unpersist()
@@ -113,14 +108,12 @@ def follow(
     infos: Callable[[], DataFrame] | None,
     run: str,
     checkpoint: str,
-    window: str = "1 hour",
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
     """Start the live query. `run` and `checkpoint` belong together across restarts."""
-    live = dedupe(well_formed(notifications), window)
     return (
-        live.writeStream.queryName(run)
+        notifications.writeStream.queryName(run)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(process_batch(store, run, transactions, infos, **options))
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
@@ -136,13 +129,17 @@ def catch_up_then_follow(
     infos: Callable[[], DataFrame] | None,
     run: str,
     checkpoint: str,
+    trigger: dict | None = None,
+    retry_slots: int = 1000,
     **options,
 ) -> StreamingQuery:
     """Close the gap since the checkpoint, then follow; call again after a drop.
 
-    The catch-up run is named by the range's start, so a restart after a crash
-    repeats it and a later restart begins a new one.
+    The catch-up run is named by the number of commits so far, so a restart after a
+    crash repeats it and a later restart begins a new one. `options` go to both.
     """
     batches = store.commits().count()
-    catch_up(store, feed(), transactions(), infos() if infos else None, f"{run}-gap-{batches}")
-    return follow(store, notifications, transactions, infos, run, checkpoint, **options)
+    catch_up(store, feed(), transactions(), infos() if infos else None, f"{run}-gap-{batches}", **options)
+    return follow(
+        store, notifications, transactions, infos, run, checkpoint, trigger=trigger, retry_slots=retry_slots, **options
+    )

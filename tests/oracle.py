@@ -53,7 +53,7 @@ if __name__ == "__main__":
     from ledgerloom.session import local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    chosen = sys.argv[2:] or list(queries())
+    chosen = sys.argv[2:] or list(oracle_sql())
     session = local_session()
     session.sparkContext.setLogLevel("ERROR")
     duck, bad = connect(sf), []

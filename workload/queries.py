@@ -593,7 +593,7 @@ def q_stream_ingest(spark, sf_dir):
     store = _new_store(spark, "live")
     rt.follow(
         store, _notifications(spark, sf_dir), lambda: inp.event_transactions(spark, sf_dir), None, "live",
-        shared_folder(spark, "live-state"), window="1 day", trigger={"availableNow": True},
+        shared_folder(spark, "live-state"), trigger={"availableNow": True},
         on_error="quarantine",
     ).awaitTermination()
     rows = [_ledger_columns(store.instruction(n), n) for n in store.program.instructions]
