@@ -10,31 +10,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import bpe, chosenpath, crf, decontaminate, secrets
-from ledgerloom.llm.tables import read, written
+from ledgerloom.llm.tables import read, small_batches, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the line classifier rejects."""
+    small_batches(spark)
     return crf.accept(docs, crf.train(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, that of the smallest doc_id."""
+    small_batches(spark)
     return chosenpath.one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a window of a benchmark item."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secret_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace the values of secrets; every document stays."""
+    small_batches(spark)
     return secrets.redacted_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number of tokens, hash of the ids and of the decoded text."""
+    small_batches(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.op9_bpe(docs, ranks, public_tokenizers.PATTERN)
 

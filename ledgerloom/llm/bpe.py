@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.textarrays import NONSPACE, Words, blocks, column_bytes, give_back, long_spans_hash, ranges
+from ledgerloom.llm.textarrays import NONSPACE, Words, column_bytes, gathered, give_back, long_spans_hash, ranges
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
 OUT_BYTES = 8 << 20
 WORDS_CACHED = 300_000
 SHORT_WORD = 64
@@ -191,28 +191,27 @@ def _ask(pattern: str, text: str, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for begin, end in blocks(batch.column(text), BLOCK_BYTES):
-                block = Block(batch.column(text).slice(begin, end - begin), pattern, positions=False)
-                if not block.words:
-                    continue
-                raw = [w.encode() for w in block.words]
-                lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-                ends = np.cumsum(lengths)
-                hashes = long_spans_hash(np.frombuffer(b"".join(raw), np.uint8), ends - lengths, ends)
-                bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = []
-                for b in np.flatnonzero(np.diff(edges)):
-                    own = order[edges[b] : edges[b + 1]]
-                    head = np.array([len(own)], "<u4").tobytes() + np.diff(own, prepend=0).astype("<u4").tobytes() + lengths[own].astype("<u4").tobytes()
-                    rows.append((int(b), zip_.compress(head + b"".join([raw[i] for i in own.tolist()]))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([block.name] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                    names=["bucket", "block", "payload"],
-                )
-                del block, raw, rows
+        for part in gathered(batches, text, BLOCK_BYTES):
+            block = Block(part.column(text), pattern, positions=False)
+            if not block.words:
+                continue
+            raw = [w.encode() for w in block.words]
+            lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+            ends = np.cumsum(lengths)
+            hashes = long_spans_hash(np.frombuffer(b"".join(raw), np.uint8), ends - lengths, ends)
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(edges)):
+                own = order[edges[b] : edges[b + 1]]
+                head = np.array([len(own)], "<u4").tobytes() + np.diff(own, prepend=0).astype("<u4").tobytes() + lengths[own].astype("<u4").tobytes()
+                rows.append((int(b), zip_.compress(head + b"".join([raw[i] for i in own.tolist()]))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([block.name] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
+                names=["bucket", "block", "payload"],
+            )
+            del block, raw, rows
         give_back()
 
     return run
@@ -257,16 +256,14 @@ def _place(pattern: str, text: str, keep: list[str], row_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for begin, end in blocks(batch.column(text), BLOCK_BYTES):
-                part = batch.slice(begin, end - begin)
-                block = Block(part.column(text), pattern, positions=True)
-                row = pa.StructArray.from_arrays([part.column(c) for c in keep], fields=list(row_type))
-                payload = [_pack(p, len(block.words), zip_) for p in block.positions]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block.name] * len(part), pa.int64()), row, pa.array(payload, pa.binary())], names=["block", "row", "payload"]
-                )
-                del block, payload
+        for part in gathered(batches, text, BLOCK_BYTES):
+            block = Block(part.column(text), pattern, positions=True)
+            row = pa.StructArray.from_arrays([part.column(c) for c in keep], fields=list(row_type))
+            payload = [_pack(p, len(block.words), zip_) for p in block.positions]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block.name] * len(part), pa.int64()), row, pa.array(payload, pa.binary())], names=["block", "row", "payload"]
+            )
+            del block, payload
         give_back()
 
     return run

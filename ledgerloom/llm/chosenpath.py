@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
 from ledgerloom.llm.tables import written
-from ledgerloom.llm.textarrays import ALNUM, WORD_BASE, Words, blocks, column_bytes, keyed, mix, spans_hash
+from ledgerloom.llm.textarrays import ALNUM, WORD_BASE, Words, blocks, column_bytes, give_back, keyed, mix, spans_hash
 
 SHINGLE = 5
 LAMBDA = 0.8
@@ -103,6 +103,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _lists(np.concatenate(paths), np.concatenate(owners), n),
                 _lists(mix(tokens[shared]).astype(np.uint32).view(np.int32), doc[shared], n),
             ], names=["row", "id", "set", "size", "paths", "sample"])
+    give_back()
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +264,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[key] = (b, batch.column("paths")[k].as_py(), batch.column("tokens")[k].as_py())
         yield table(out)
     yield table(finish())
+    give_back()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

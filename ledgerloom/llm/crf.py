@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.textarrays import NONSPACE, Words, blocks, column_bytes, keyed, long_spans_hash
+from ledgerloom.llm.textarrays import NONSPACE, Words, blocks, column_bytes, give_back, keyed, long_spans_hash
 
 BLOCK_BYTES = 2 << 20
 PER_CLASS = 1500
@@ -259,6 +259,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
                 part = batch.slice(begin, end - begin)
                 found = model.score(model.share(*line_features(part.column(text))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], schema=arrow)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.tables import written
-from ledgerloom.llm.textarrays import ALNUM, Words, blocks, column_bytes, ranges
+from ledgerloom.llm.textarrays import ALNUM, Words, blocks, column_bytes, give_back, ranges
 
 WINDOW = 10
 SHARD_BYTES = 3 << 20
@@ -202,6 +202,7 @@ def _search(test: TestSet, text: str, out: str, schema: pa.Schema):
                     part = part.drop_columns([out, f"{out}_words"])
                 columns = [*part.columns, pa.array(lists, schema.field(out).type), pa.array(words.counts, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        give_back()
 
     return run
 

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.textarrays import give_back
+
 # The patterns of the base kinds, sensitive words, and identifiers of ordinary code.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -108,6 +110,12 @@ def scan(text: str, novelty: Novelty) -> list[tuple[int, int, int, int, float |
     return sorted(found)
 
 
+def _suspects(column: pa.Array) -> list[int]:
+    """Rows whose text can have a span at all, by one linear pass."""
+    maybe = pc.match_substring_regex(column, SUSPECT + r"|(?-i:AKIA[A-Z0-9]{14}|[0-9a-f]{16})")
+    return [i for i, flag in enumerate(maybe.to_pylist()) if flag]
+
+
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """docs with `out`, the spans of each text."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -120,45 +128,50 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
         for batch in batches:
-            column = batch.column(text)
-            # one linear pass tells which texts can have a span at all
-            maybe = pc.match_substring_regex(column, SUSPECT + r"|(?-i:AKIA[A-Z0-9]{14}|[0-9a-f]{16})")
-            found = [
-                [{"kind": KINDS[k], "start": a, "end": b, "value_start": v, "novelty": x} for a, k, b, v, x in scan(column[i].as_py(), novelty)] if flag else []
-                for i, flag in enumerate(maybe.to_pylist())
-            ]
+            column, found = batch.column(text), [[] for _ in range(len(batch))]
+            for i in _suspects(column):
+                spans = scan(column[i].as_py(), novelty)
+                found[i] = [{"kind": KINDS[k], "start": a, "end": b, "value_start": v, "novelty": x} for a, k, b, v, x in spans]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow.field(out).type)], schema=arrow)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
 
+def _redacted(text: str, found: list[tuple[int, int, int, int, float | None]], mark: str) -> str:
+    parts, reach = [], 0
+    for _, _, end, value, _ in sorted(found, key=lambda f: (f[3], -f[2])):
+        if end <= reach:
+            continue
+        parts += [text[reach : max(reach, value)], mark]
+        reach = end
+    return "".join(parts) + text[reach:]
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with the values of all found secrets replaced by `mark`; columns as they were."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(docs.schema)
-    name = "secrets__"
-    while name in docs.columns:
-        name += "_"
-    place = docs.columns.index(text)
+    arrow, place = to_arrow_schema(docs.schema), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = Novelty()
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            for i, found in enumerate(batch.column(name).to_pylist()):
-                parts, reach = [], 0
-                for f in sorted(found, key=lambda f: (f["value_start"], -f["end"])):
-                    if f["end"] <= reach:
-                        continue
-                    parts += [texts[i][reach : max(reach, f["value_start"])], mark]
-                    reach = f["end"]
-                if found:
-                    texts[i] = "".join(parts) + texts[i][reach:]
-            columns = [c for k, c in enumerate(batch.columns) if batch.schema.names[k] != name]
-            columns[place] = pa.array(texts, arrow.field(place).type)
+            for i in _suspects(batch.column(place)):
+                if found := scan(texts[i], novelty):
+                    texts[i] = _redacted(texts[i], found, mark)
+            columns = [*batch.columns[:place], pa.array(texts, arrow.field(place).type), *batch.columns[place + 1 :]]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        give_back()
+
+    return docs.mapInArrow(run, docs.schema)
 
-    return find_secrets(docs, text, name).mapInArrow(run, docs.schema)
+
+def redacted_documents(docs: DataFrame) -> DataFrame:
+    """documents without secrets; n_chars, where there is one, fits the new texts."""
+    out = redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def _join(found: list[dict]) -> str:

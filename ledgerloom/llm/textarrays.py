@@ -8,6 +8,7 @@ points are all >= 0x80), and word and window hashes from prefix sums modulo 2**6
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +138,22 @@ def blocks(column: pa.Array, limit: int):
         begin = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts of up to `limit` bytes of text each (or one row)."""
+    held, total = [], 0
+    for batch in batches:
+        _, offsets = column_bytes(batch.column(text))
+        for begin, end in blocks(batch.column(text), limit):
+            size = int(offsets[end] - offsets[begin])
+            if held and total + size > limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, total = [], 0
+            held.append(batch.slice(begin, end - begin))
+            total += size
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ... for counts[i] values each, one after the other."""
     total = int(counts.sum())
