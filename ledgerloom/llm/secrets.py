@@ -194,8 +194,3 @@ def op2_secrets(docs: DataFrame) -> DataFrame:
 
     columns = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
     return find_secrets(docs.select("doc_id", "text")).select("doc_id", "secrets").mapInArrow(digest, columns)
-
-
-def redacted_documents(docs: DataFrame) -> DataFrame:
-    """documents without secrets, with n_chars of the new texts."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else F.lit(None)).select(*(F.col(f"`{c}`") for c in docs.columns))
