@@ -185,6 +185,20 @@ def key_text(data: str) -> str:
 # -- layouts -------------------------------------------------------------
 
 
+def _json_number(x: str) -> str:
+    """JSON text of a double: whole numbers without a point, exponents only outside 1e-6 to 1e21."""
+    shown, size = f"string({x})", f"abs({x})"
+    # decimals of different scale would meet in one narrower type, so each is text first
+    fixed = f"IF({size} < 1, string(try_cast({shown} AS DECIMAL(38,30))), string(try_cast({shown} AS DECIMAL(38,16))))"
+    power = f"int(split_part({shown}, 'E', 2))"
+    mantissa = f"regexp_replace(split_part({shown}, 'E', 1), '[.]0$', '')"
+    return (
+        f"CASE WHEN isnan({x}) OR {size} = double('Infinity') THEN 'null' WHEN {x} = 0 THEN '0' "
+        f"WHEN {size} >= 1e-6 AND {size} < 1e21 THEN regexp_replace({fixed}, '[.]?0+$', '') "
+        f"ELSE concat({mantissa}, 'e', IF({power} < 0, '-', '+'), abs({power})) END"
+    )
+
+
 class Layout:
     """Compiler from interface types to SQL, given the named type definitions."""
 
@@ -385,8 +399,7 @@ class Layout:
         if kind == "string":
             return let(f"to_json(array({value}))", lambda t: f"substring({t}, 2, length({t}) - 2)")
         if kind in ("f32", "f64"):
-            infinite = "double('Infinity')"
-            return let(value, lambda x: f"IF(isnan({x}) OR abs({x}) = {infinite}, 'null', string({x}))")
+            return let(f"double({value})", _json_number)
         return f"string({value})"
 
     def _json_vector(self, inner, p: str, at: At) -> str:

@@ -293,8 +293,23 @@ def aggregate(
     value = _metric(metric, fields, query.get("field")).alias("value")
     if not group_by:
         return frame.agg(value)
-    key = F.col("value").cast("double") if numeric_order else F.col("value")
-    return frame.groupBy("signer").agg(value).orderBy(key.desc_nulls_first(), F.asc("signer"))
+    keys = [F.desc_nulls_first("value")]
+    if numeric_order:
+        field = fields.get(query.get("field"))
+        is_float = metric != "count" and field.spark_type in (T.FloatType(), T.DoubleType())
+        keys = [F.col("value").cast("double").desc_nulls_first()] if is_float else _greatest_first(F.col("value"))
+    return frame.groupBy("signer").agg(value).orderBy(*keys, F.asc("signer"))
+
+
+def _greatest_first(value: Column) -> list[Column]:
+    """Order of plain decimal texts by number, exact at any length; null first."""
+    negative = value.startswith("-")
+    digits = F.ltrim(value, F.lit("-"))
+    size = F.length(F.split_part(digits, F.lit("."), F.lit(1)))
+    return [
+        value.isNull().desc(), negative.asc(), F.when(negative, -size).otherwise(size).desc(),
+        F.when(~negative, digits).desc(), F.when(negative, digits).asc(),
+    ]
 
 
 def envelope(result: DataFrame, program: Program, name: str, query: Mapping[str, str]) -> DataFrame:

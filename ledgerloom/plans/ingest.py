@@ -193,14 +193,15 @@ def backfill(
     run: str,
     slots: tuple[int, int] | None = None,
     between: tuple[str, str] | None = None,
-    signatures: list[str] | None = None,
+    signatures: list[str] | DataFrame | None = None,
     retry_unresolved: bool = True,
     **options,
 ) -> bool:
     """Process one selection. Only whole slot ranges move the checkpoint.
 
     Transactions committed before are left out, and signatures that were waiting
-    for their transaction are tried again.
+    for their transaction are tried again. A long list of signatures may come as a
+    frame with a column `signature`.
     """
     mode = sel.check_selector(slots, between, signatures)
     low = high = None
@@ -210,7 +211,7 @@ def backfill(
     elif mode == "between":
         selected = sel.select_between(feed, *between)
     else:
-        wanted = sel.signature_list(store.spark, signatures)
+        wanted = signatures if isinstance(signatures, DataFrame) else sel.signature_list(store.spark, signatures)
         if wanted.isEmpty():
             return False
         selected = sel.select_signatures(feed, wanted, absent=True)

@@ -30,8 +30,11 @@ from ledgerloom.sources.tables import union_signers
 SLOTS_PER_BUCKET = 100_000
 COMMITS = (
     "program_id string, run string, batch_id bigint, batch string, contiguous boolean, "
-    "last_whole_slot bigint, committed_at timestamp"
+    "last_whole_slot bigint, retired array<string>, committed_at timestamp"
 )
+COMPACTION = "_compaction"
+# Columns that requests look single values up by; their files carry bloom filters.
+LOOKUPS = ("tx_signature", "signer")
 PROCESSED = "program_id string, tx_signature string, slot bigint"
 UNRESOLVED = "signature string, slot bigint, feed_pos bigint"
 REJECTS = "slot bigint, tx_signature string, reason string, detail string"
@@ -102,10 +105,18 @@ def first_commits(commits: DataFrame) -> DataFrame:
     )
 
 
+def live_batches(commits: DataFrame) -> DataFrame:
+    """Committed batches that no compaction has replaced."""
+    live = first_commits(commits).select("batch")
+    if "retired" not in commits.columns:
+        return live
+    return live.join(commits.select(F.explode("retired").alias("batch")), "batch", "left_anti")
+
+
 def visible(frame: DataFrame, commits: DataFrame) -> DataFrame:
-    """Rows of committed batches. The commit list joins on the partition column, so
+    """Rows of live batches. The commit list joins on the partition column, so
     unread batches are pruned at run time."""
-    return frame.join(first_commits(commits).select("batch"), "batch", "left_semi")
+    return frame.join(live_batches(commits), "batch", "left_semi")
 
 
 # -- one program's tables ------------------------------------------------
@@ -200,15 +211,18 @@ class Store:
 
     def table(self, name: str, low: int | None = None, high: int | None = None) -> DataFrame:
         """Committed rows of a table; slot bounds prune whole buckets."""
-        schema = self.schemas()[name]
-        stored = T.StructType([*schema.fields, T.StructField("batch", T.StringType()),
-                               T.StructField("slot_bucket", T.LongType())])
-        frame = self.spark.read.schema(stored).parquet(f"{self.home}/{name}")
+        frame = self._stored(name)
         if low is not None:
             frame = frame.where(F.col("slot_bucket") >= low // self.slots_per_bucket)
         if high is not None:
             frame = frame.where(F.col("slot_bucket") <= high // self.slots_per_bucket)
-        return visible(frame, self.commits()).select(*schema.names)
+        return visible(frame, self.commits()).select(*self.schemas()[name].names)
+
+    def _stored(self, name: str) -> DataFrame:
+        """All rows in a table's files, of whatever batch."""
+        stored = T.StructType([*self.schemas()[name].fields, T.StructField("batch", T.StringType()),
+                               T.StructField("slot_bucket", T.LongType())])
+        return self.spark.read.schema(stored).parquet(f"{self.home}/{name}")
 
     def instruction(self, name, low=None, high=None) -> DataFrame:
         return self.table(self.program.instruction_table(name), low, high)
@@ -251,6 +265,50 @@ class Store:
     def attempt(self, run: str, batch_id: int) -> Attempt:
         return Attempt(self, run, batch_id)
 
+    # upkeep
+
+    def compact(self) -> bool:
+        """Rewrite all live batches as one; False if there are fewer than two.
+
+        One commit row shows the new batch and retires the old ones together, so
+        readers see equal rows before, during and after. Batches committed meanwhile
+        stay as they are. Signatures that waited and have been found since are left
+        out. Ingestion may go on, but only one compaction may run at a time. The names
+        of the live batches, one for each batch since the last compaction, are all
+        that comes to the driver.
+        """
+        commits = self.commits()
+        old = sorted(r.batch for r in live_batches(commits).collect())
+        if len(old) < 2:
+            return False
+        attempt = self.attempt(COMPACTION, commits.where(F.col("run") == COMPACTION).count())
+        names = self.spark.createDataFrame([(b,) for b in old], "batch string")
+        frames = {
+            name: self._stored(name).join(names, "batch", "left_semi").drop("slot_bucket").select(*schema.names)
+            for name, schema in self.schemas().items()
+        }
+        # What is committed only grows, so an entry that is done now stays done.
+        waiting = frames["_unresolved"]
+        frames["_unresolved"] = exclude_done(waiting, self.processed(waiting), self.program.program_id)
+        attempt.write_all(frames, clustered=False)
+        attempt.commit(False, None, retired=old)
+        return True
+
+    def vacuum(self, older_than_hours: float = 24) -> int:
+        """Delete the folders of batches retired at least so long ago; their number.
+
+        Queries that began before a compaction may still read the old files, hence
+        the delay.
+        """
+        due = F.col("committed_at") <= F.current_timestamp() - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(older_than_hours * 3600))
+        gone = {f"batch={r.batch}" for r in self.commits().where(due).select(F.explode("retired").alias("batch")).collect()}
+        deleted = 0
+        for name in self.schemas():
+            for folder in gone.intersection(subfolders(self.spark, f"{self.home}/{name}")):
+                self._drop(f"{self.home}/{name}/{folder}")
+                deleted += 1
+        return deleted
+
 
 class Attempt:
     """One try at writing a batch."""
@@ -301,28 +359,32 @@ class Attempt:
         rows = self._bucketed(frame)
         if not clustered:
             rows = rows.hint("rebalance", "slot_bucket")
-        rows.sortWithinPartitions("slot_bucket", "slot").write.mode("errorifexists").partitionBy(
-            "slot_bucket"
-        ).parquet(f"{self.store.home}/{table}/batch={self.batch}")
-
-    def write_all(self, frames: dict[str, DataFrame]) -> None:
-        """Write several tables; their jobs are independent and share the cluster."""
+        writer = rows.sortWithinPartitions("slot_bucket", "slot").write.mode("errorifexists").partitionBy("slot_bucket")
+        for column in set(LOOKUPS).intersection(frame.columns):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        # The smallest filter that fits is kept, so small files stay small.
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+        writer.parquet(f"{self.store.home}/{table}/batch={self.batch}")
+
+    def write_all(self, frames: dict[str, DataFrame], clustered: bool = True) -> None:
+        """Write several tables; their jobs are independent and share the cluster.
+        `clustered` tells whether the program's tables come from a clustered staging."""
         with ThreadPoolExecutor(max_workers=8) as pool:
             jobs = [
                 pool.submit(
                     inheritable_thread_target(self.store.spark)(self.write), name, frame,
-                    not name.startswith("_"),
+                    clustered and not name.startswith("_"),
                 )
                 for name, frame in frames.items()
             ]
             for job in jobs:
                 job.result()
 
-    def commit(self, contiguous: bool, last_whole_slot: int | None) -> None:
+    def commit(self, contiguous: bool, last_whole_slot: int | None, retired: list[str] | None = None) -> None:
         """Make the batch visible. The last write of a batch, one row in one file."""
         row = self.store.spark.createDataFrame(
             [(self.store.program.program_id, self.run, self.batch_id, self.batch, contiguous,
-              last_whole_slot)],
+              last_whole_slot, retired)],
             COMMITS.rsplit(",", 1)[0],
         )
         row.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(

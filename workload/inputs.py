@@ -200,6 +200,14 @@ def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signature feed of the event transactions, newest first."""
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("tx"), F.col("event_id")).alias("signature"),
+        F.col("event_id").alias("slot"), (-F.col("event_id")).alias("feed_pos"),
+    )
+
+
 # -- line items as raw transactions --------------------------------------
 
 
@@ -296,6 +304,18 @@ def customer_writable(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One transaction per customer; its program instruction touches both accounts."""
+    unknown = bytes_to_base58(F.unhex(F.lit("DEADBEEFDEADBEEF")))
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(*_reply(
+        F.concat(F.lit("ctx"), key), -key, key,
+        [F.concat(F.lit("user"), key), F.lit(PROGRAM), F.concat(F.lit("acct"), key), F.concat(F.lit("foreign"), key)],
+        (F.lit(1), F.lit(0), F.lit(0)), [_instruction(1, [2, 3], unknown)], [F.lit("pool")], [F.lit("clock")],
+        [[_instruction(5, [0], F.lit("y"))]],
+    ))
+
+
 # -- customers as interface documents ------------------------------------
 
 ARG_TYPES = [
@@ -338,7 +358,16 @@ def customer_idls(spark: SparkSession, sf_dir: str, revision: int = 0) -> DataFr
 
 def event_notifications(events: DataFrame) -> DataFrame:
     """Three events in a row announce the same signature; k = 0 announces none."""
-    signature = F.when(k() != 0, F.concat(F.lit("tx"), F.col("event_id") - F.col("event_id") % 3))
+    first = F.col("event_id") - F.col("event_id") % 3
+    return _notices(events, F.when(k() != 0, F.concat(F.lit("tx"), first)))
+
+
+def own_notifications(events: DataFrame) -> DataFrame:
+    """Every event announces its own signature; k = 0 announces none."""
+    return _notices(events, F.when(k() != 0, F.concat(F.lit("tx"), F.col("event_id"))))
+
+
+def _notices(events: DataFrame, signature: Column) -> DataFrame:
     return events.select(
         F.struct(F.col("event_id").alias("slot")).alias("context"),
         F.struct(signature.alias("signature")).alias("value"),

@@ -17,9 +17,11 @@ from ledgerloom.operators import instructions as ins
 from ledgerloom.operators import query as q
 from ledgerloom.operators import selection as sel
 from ledgerloom.operators import transactions as tx
+from ledgerloom.plans import ingest as ingestion
 from ledgerloom.plans import store as st
 from ledgerloom.plans.ingest import ingest
 from ledgerloom.session import shared_folder
+from ledgerloom.sources import readers
 from ledgerloom.streaming import realtime as rt
 from workload import inputs as inp
 
@@ -513,22 +515,203 @@ def q_ingest(spark, sf_dir):
     return reduce(DataFrame.unionAll, rows)
 
 
+# -- composed paths ------------------------------------------------------
+
+
+def _store_rows(store: st.Store) -> DataFrame:
+    return reduce(DataFrame.unionAll, [_ledger_columns(store.instruction(n), n) for n in store.program.instructions])
+
+
+def _landed(df: DataFrame, purpose: str) -> str:
+    """A derived input written as files, as a landing job leaves them."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return path
+
+
+def _event_files(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The feed and the transactions of all events, through the readers."""
+    feed = _landed(inp.event_feed(spark, sf_dir), "feed")
+    replies = _landed(inp.event_transactions(spark, sf_dir), "transactions")
+    return readers.read_signatures(spark, feed, "parquet"), readers.read_transactions(spark, replies, "parquet")
+
+
+@register(_LEDGER_SQL)
+def q_backfill_slots(spark, sf_dir):
+    """Two ranges that overlap and cover the whole feed: every row once."""
+    feed, replies = _event_files(spark, sf_dir)
+    store, middle = _new_store(spark, "slots"), feed.agg(F.max("slot")).first()[0] // 2
+    ingestion.backfill(store, feed, replies, None, "low", slots=(0, middle + 100), on_error="quarantine")
+    ingestion.backfill(store, feed, replies, None, "high", slots=(middle - 100, 2 * middle + 1), on_error="quarantine")
+    return _store_rows(store)
+
+
+@register(f"""SELECT * FROM ({_LEDGER_SQL}) WHERE slot < (SELECT max(event_id) FROM events) AND slot > (SELECT min(event_id) FROM events)""")
+def q_backfill_between(spark, sf_dir):
+    """Between the newest and the oldest signature, both left out."""
+    feed, replies = _event_files(spark, sf_dir)
+    store, ends = _new_store(spark, "between"), feed.agg(F.max("slot"), F.min("slot")).first()
+    ingestion.backfill(store, feed, replies, None, "run", between=(f"tx{ends[0]}", f"tx{ends[1]}"), on_error="quarantine")
+    return _store_rows(store)
+
+
+_LISTED_SQL = f"""{EVENTS_SQL} SELECT tx_signature AS signature FROM e WHERE k % 5 = 3
+UNION ALL SELECT 'gone' || o_orderkey FROM orders"""
+
+
+def _listed_store(spark, sf_dir) -> st.Store:
+    """A list of all events and of orders that never landed. The feed lacks the events
+    with k % 5 = 2, and those with k % 5 = 3 have not landed."""
+    events = inp.table(spark, sf_dir, "events").select(F.concat(F.lit("tx"), F.col("event_id")).alias("signature"), (inp.k() % 5).alias("part"))
+    lacks = lambda rows, part: rows.join(events.where(F.col("part") == part), "signature", "left_anti")
+    feed, replies = _event_files(spark, sf_dir)
+    absent = inp.table(spark, sf_dir, "orders").select(F.concat(F.lit("gone"), "o_orderkey"))
+    wanted = events.select(F.concat(F.lit(" "), "signature", F.lit(" ")).alias("signature")).union(absent)
+    store = _new_store(spark, "list")
+    ingestion.backfill(store, lacks(feed, 2), lacks(replies, 3), None, "run", signatures=wanted, on_error="quarantine")
+    return store
+
+
+@register(f"SELECT * FROM ({_LEDGER_SQL} AND k % 5 <> 3)")
+def q_backfill_list(spark, sf_dir):
+    """A listed signature counts also when the feed lacks it."""
+    return _store_rows(_listed_store(spark, sf_dir))
+
+
+@register(_LISTED_SQL)
+def q_backfill_list_unresolved(spark, sf_dir):
+    """What has not landed waits, whether the feed knows it or not."""
+    return _listed_store(spark, sf_dir).unresolved().select("signature")
+
+
+def _caught_up(spark, sf_dir) -> st.Store:
+    """A live batch left what had not landed, then a backfill of the oldest half; catch-up does the rest."""
+    feed, replies = _event_files(spark, sf_dir)
+    store, middle = _new_store(spark, "catch-up"), feed.agg(F.max("slot")).first()[0] // 2
+    early = replies.where(F.col("slot") <= middle // 2)
+    ingestion.backfill(store, feed, early, None, "first", slots=(0, middle), on_error="quarantine")
+    ingestion.catch_up(store, feed, replies, None, "gap", on_error="quarantine")
+    # a feed that has landed less than what is committed leaves everything as it is
+    ingestion.catch_up(store, feed.where(F.col("slot") <= middle), replies, None, "behind", on_error="quarantine")
+    return store
+
+
+@register(_LEDGER_SQL)
+def q_catch_up(spark, sf_dir):
+    """Signatures that waited and slots never read are both there after catch-up."""
+    return _store_rows(_caught_up(spark, sf_dir))
+
+
+@register("SELECT max(event_id) AS last_processed_slot FROM events")
+def q_catch_up_checkpoint(spark, sf_dir):
+    return _caught_up(spark, sf_dir).checkpoint().select("last_processed_slot")
+
+
+@register(f"""{EVENTS_SQL} SELECT slot, tx_signature, 'unknown_discriminator' AS reason, 'deadbeefdeadbeef' AS detail
+FROM e WHERE k = 0 UNION ALL SELECT slot, tx_signature, 'decode_error', instruction FROM e WHERE k = 1""")
+def q_ingest_rejects(spark, sf_dir):
+    """Rejects as committed. With q_ingest: every program instruction is a row or a reject."""
+    store = _new_store(spark, "rejects")
+    ingest(store, inp.event_transactions(spark, sf_dir), None, "all", on_error="quarantine")
+    return store.table("_rejects")
+
+
+def _account_store(spark, sf_dir) -> st.Store:
+    infos = _landed(inp.customer_infos(spark, sf_dir), "infos")
+    store = _new_store(spark, "accounts")
+    ingest(store, inp.customer_transactions(spark, sf_dir), readers.read_account_infos(spark, infos, "parquet"), "all")
+    return store
+
+
+@register(ORACLES["q_decode_accounts"])
+def q_ingest_accounts(spark, sf_dir):
+    """Account states of touched accounts, read back from committed tables."""
+    rows = _account_store(spark, sf_dir).account("Customer")
+    return rows.select(
+        "pubkey", "slot", F.col("cust_key").cast("string").alias("cust_key"), "full_name",
+        F.col("nation").cast("int").alias("nation"), "balance", "segment",
+    )
+
+
+@register(f"""SELECT * FROM ({ORACLES["q_account_rejects"]}) UNION ALL
+SELECT c_custkey, 'ctx' || c_custkey, 'unknown_discriminator', 'deadbeefdeadbeef' FROM customer""")
+def q_ingest_account_rejects(spark, sf_dir):
+    return _account_store(spark, sf_dir).table("_rejects")
+
+
+def _ledger_store(spark, sf_dir) -> st.Store:
+    """All events in many small batches, then compacted, with the old files deleted."""
+    store, replies = _new_store(spark, "ledger"), inp.event_transactions(spark, sf_dir)
+    for k, kind in enumerate(inp.EVENT_TYPES):
+        part = replies.join(inp.table(spark, sf_dir, "events").where(F.col("event_type") == kind).select(
+            F.concat(F.lit("tx"), "event_id").alias("signature")), "signature", "left_semi")
+        ingest(store, part, None, "part", k, on_error="quarantine")
+    store.compact()
+    store.vacuum(older_than_hours=0)
+    return store
+
+
+@register(_LEDGER_SQL)
+def q_store_compacted(spark, sf_dir):
+    """Compaction leaves every row as it was."""
+    return _store_rows(_ledger_store(spark, sf_dir))
+
+
+@register(f"""SELECT CAST(slot AS VARCHAR) AS slot, tx_signature, signer, CAST(delta AS VARCHAR) AS delta, amount
+FROM ({_LEDGER_SQL}) WHERE instruction = 'view' AND delta >= 100 ORDER BY CAST(slot AS BIGINT) DESC LIMIT 50""")
+def q_store_list(spark, sf_dir):
+    """The newest rows of a stored instruction that pass a filter."""
+    store = _ledger_store(spark, sf_dir)
+    rows = q.list_instructions(store, store.program, "view", {"arg.delta.gte": "100"})
+    return q.as_text(rows).select("slot", "tx_signature", "signer", "delta", "amount")
+
+
+@register(f"""SELECT signer, CAST(sum(CAST(delta AS HUGEINT)) AS VARCHAR) AS value
+FROM ({_LEDGER_SQL}) WHERE instruction = 'purchase' GROUP BY signer""")
+def q_store_sum_by_signer(spark, sf_dir):
+    store = _ledger_store(spark, sf_dir)
+    return q.aggregate(store, store.program, "purchase", {"metric": "sum", "field": "delta", "group_by": "signer"}, numeric_order=True)
+
+
+@register(f"""SELECT instruction, CAST(count(*) AS VARCHAR) AS count, CAST(count(DISTINCT signer) AS VARCHAR) AS unique_signers,
+  CAST(max(slot) AS VARCHAR) AS latest_slot FROM ({_LEDGER_SQL}) GROUP BY instruction""")
+def q_store_stats(spark, sf_dir):
+    store = _ledger_store(spark, sf_dir)
+    return q.instruction_stats(store, store.program)
+
+
+@register("""SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 THEN 'Failed to parse IDL JSON'
+  WHEN s_nationkey % 3 = 1 THEN 'IDL has no program address' END AS idl_error FROM supplier""")
+def q_read_idl(spark, sf_dir):
+    """One file for each supplier: cut short, without an address, or whole."""
+    nation = F.col("s_nationkey") % 3
+    doc = F.when(nation == 0, F.lit('{"address":')).when(nation == 1, F.lit('{"instructions":[]}')).otherwise(
+        F.concat(F.lit('{"address":"prog'), "s_suppkey", F.lit('"}')))
+    path = shared_folder(spark, "idl")
+    inp.table(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("value")).write.partitionBy("s_suppkey").text(path)
+    return readers.read_idl(spark, path).select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "idl_error")
+
+
 # -- values --------------------------------------------------------------
 
 
 @register(f"""{EVENTS_SQL} SELECT slot, '{{"label":"' || instruction || '","k":"' || k || '","small":' || k || ',"note":'
   || CASE WHEN k % 3 = 0 THEN 'null' ELSE '"' || replace(props, '"', '\\"') || '"' END || ',"raw":['
-  || CASE WHEN k % 2 = 0 THEN '0,255' ELSE '' END || ']}}' AS json FROM e""")
+  || CASE WHEN k % 2 = 0 THEN '0,255' ELSE '' END || '],"rate":'
+  || CASE k % 4 WHEN 0 THEN '5' WHEN 1 THEN '2.5' WHEN 2 THEN '1e-7' ELSE '1e+21' END || '}}' AS json FROM e""")
 def q_json_form(spark, sf_dir):
-    """Nested values as JSON: large integers as strings, bytes as numbers, null kept."""
+    """Nested values as JSON: large integers as strings, bytes as numbers, null kept, floats without padding."""
     layout = Layout({"Doc": {"kind": "struct", "fields": [
         {"name": "label", "type": "string"}, {"name": "k", "type": "u64"}, {"name": "small", "type": "u8"},
-        {"name": "note", "type": {"option": "string"}}, {"name": "raw", "type": "bytes"}]}})
+        {"name": "note", "type": {"option": "string"}}, {"name": "raw", "type": "bytes"},
+        {"name": "rate", "type": "f64"}]}})
     number = inp.k()
     payload = F.unhex(F.concat(
         inp.le_text(F.col("event_type")), inp.le(number, 8), inp.le(number, 1),
         F.when(number % 3 == 0, F.lit("00")).otherwise(F.concat(F.lit("01"), inp.le_text(F.col("props")))),
         F.when(number % 2 == 0, F.lit("0200000000FF")).otherwise(F.lit("00000000")),
+        # 5, 2.5, 1e-7 and 1e21 as doubles
+        F.get(F.array(F.lit("0000000000001440"), F.lit("0000000000000440"), F.lit("48AFBC9AF2D77A3E"), F.lit("50EFE2D6E41A4B44")), (number % 4).cast("int")),
     ))
     rows = inp.table(spark, sf_dir, "events").select(F.col("event_id").alias("slot"), payload.alias("p"))
     return rows.select("slot", F.expr(layout.json_text({"defined": "Doc"}, "p", At())).alias("json"))
@@ -598,3 +781,37 @@ def q_stream_ingest(spark, sf_dir):
     ).awaitTermination()
     rows = [_ledger_columns(store.instruction(n), n) for n in store.program.instructions]
     return reduce(DataFrame.unionAll, rows)
+
+
+def _late_store(spark, sf_dir) -> st.Store:
+    """Every event announced, the newest half first: the second batch is late as a whole.
+
+    The errors were committed by a backfill before, so live and backfill overlap.
+    """
+    events, landing = inp.table(spark, sf_dir, "events"), shared_folder(spark, "notices")
+    middle = events.agg(F.max("event_id")).first()[0] // 2
+    for part, rows in enumerate((events.where(F.col("event_id") > middle), events.where(F.col("event_id") <= middle))):
+        inp.own_notifications(rows).coalesce(1).write.parquet(f"{landing}/part={part}")
+    store = _new_store(spark, "late")
+    done = events.where("event_type = 'error'").select(F.concat(F.lit("tx"), "event_id").alias("signature"))
+    replies = inp.event_transactions(spark, sf_dir)
+    ingest(store, replies.join(done, "signature", "left_semi"), None, "before", contiguous=False, on_error="quarantine")
+    for part in range(2):
+        notices = readers.stream_notifications(spark, f"{landing}/part={part}", "parquet")
+        rt.follow(
+            store, notices, lambda: replies, None, f"live-{part}", shared_folder(spark, "late-state"),
+            trigger={"availableNow": True}, on_error="quarantine",
+        ).awaitTermination()
+    return store
+
+
+@register(_LEDGER_SQL)
+def q_stream_late(spark, sf_dir):
+    """Late notices are processed, and overlap with a backfill stores no row twice."""
+    return _store_rows(_late_store(spark, sf_dir))
+
+
+@register(f"{EVENTS_SQL} SELECT slot, 'malformed_notification' AS reason FROM e WHERE k = 0")
+def q_stream_malformed(spark, sf_dir):
+    """Malformed notices as committed rejects."""
+    return _late_store(spark, sf_dir).table("_rejects").where("reason = 'malformed_notification'").select("slot", "reason")
