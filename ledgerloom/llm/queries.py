@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: whole tables, production parameters."""
+"""Registered queries of the operators: whole tables, production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, chosenpath, crf, decontaminate, licenses, passages, pii, rules, secrets, sharding
+from ledgerloom.llm import alignment, bpe, chosenpath, collocations, crf, decontaminate, licenses, packing, passages, pii, rules, secrets, sharding
 from ledgerloom.llm.tables import read
 
 
@@ -51,6 +51,22 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.op10_repeats(read(spark, sf_dir, "documents"))
 
 
+def op11_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op11_collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_galloping_alignment(
+    spark: SparkSession, sf_dir: str, a: str = public_tokenizers.path("byte_bpe_50k.json"), b: str = public_tokenizers.path("piece_bpe_32k.model")
+) -> DataFrame:
+    with open(a, encoding="utf-8") as one, open(b, "rb") as two:
+        return alignment.op12_align(read(spark, sf_dir, "documents"), one.read(), two.read())
+
+
+def op13_minimum_slack_packing(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
+    with open(path, encoding="utf-8") as file:
+        return packing.op13_pack(read(spark, sf_dir, "documents"), file.read())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_feistel_pseudonyms,
         op9_word_shuffle_bpe,
         op10_phrase_automata,
+        op11_son_collocations,
+        op12_galloping_alignment,
+        op13_minimum_slack_packing,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_son_collocations": collocations.SQL}
