@@ -25,7 +25,9 @@ table gives no rows; a column to keep must not have the name of a result column
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.spelling import Spelled, json_encoder
+from ledgerloom.llm.spelling import Remembered, Spelled, json_tokenizer
 from ledgerloom.llm.textarrays import LOWER, NONSPACE, Words, column_bytes, gathered, give_back
 
 CAPACITY = 2048
@@ -44,6 +46,8 @@ HELD_TOKENS = 1 << 21
 # Normalizers and pattern of tokenizers whose texts may be cut into pieces.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that these normalizers leave as they are and the pattern takes whole.
+PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+")
 LETTER, DIGIT, OTHER, APOSTROPHE = 1, 2, 3, ord("'")
 KINDS = np.zeros(256, np.uint8)  # of visible ASCII
 KINDS[33:127] = OTHER
@@ -78,10 +82,9 @@ def closest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
 class Held:
     """Pieces (row, start) by length, waiting for a sequence."""
 
-    def __init__(self, slack: int = 0):
+    def __init__(self):
         self.pieces: dict[int, list[tuple[int, int]]] = {}
         self.total = 0
-        self.slack = slack
 
     def add(self, length: int, row: int, start: int) -> None:
         self.pieces.setdefault(length, []).append((row, start))
@@ -101,7 +104,7 @@ class Held:
         self.add(length - size, row, start + size)
         return row, start, size
 
-    def fill(self, capacity: int) -> Iterator[list[tuple[int, int, int]]]:
+    def fill(self, capacity: int, slack: int = 0) -> Iterator[list[tuple[int, int, int]]]:
         """Full sequences, as pieces (row, start, length), while tokens suffice."""
         while self.total >= capacity:
             longest = max(self.pieces)
@@ -115,10 +118,10 @@ class Held:
             for length, count in choice:
                 wanted[length] = wanted.get(length, 0) + count
             missing = capacity - sum(n * c for n, c in wanted.items())
-            repeats = 1 if missing > self.slack else min(len(self.pieces[n]) // c for n, c in wanted.items())
+            repeats = 1 if missing > slack else min(len(self.pieces[n]) // c for n, c in wanted.items())
             for _ in range(repeats):
                 window = [self._take(n) for n, c in wanted.items() for _ in range(c)]
-                if missing > self.slack:
+                if missing > slack:
                     window.append(self._cut(missing))
                 yield window
 
@@ -133,7 +136,7 @@ class _Packer:
 
     def __init__(self, first_sequence: int, capacity: int, schema: pa.Schema, slack: int):
         self.sequence, self.capacity, self.schema = first_sequence, capacity, schema
-        self.held = Held(slack)
+        self.held, self.slack = Held(), slack
         self.rows: list[pa.RecordBatch] = []
         self.ids: list[np.ndarray] = []  # of each row, from `cut` on
         self.cut: list[int] = []
@@ -161,7 +164,7 @@ class _Packer:
         self.sequence += 1
 
     def flush(self, last: bool) -> Iterator[pa.RecordBatch]:
-        for window in self.held.fill(self.capacity):
+        for window in self.held.fill(self.capacity, self.slack):
             self._place(window)
         if last:
             for window in self.held.rest():
@@ -188,6 +191,46 @@ def by_pieces(tokenizer: str) -> bool:
     return normalizers == NORMALIZERS and patterns == [PATTERN]
 
 
+class PieceEncoder:
+    """Ids of pieces. Plain words go through the merges all at once, as one text parted by spaces:
+    a word's last token is marked as an end of a word, and no other one of it."""
+
+    def __init__(self, content: str):
+        self.tokenizer = json_tokenizer(content)
+        said = json.loads(content)
+        said |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.merges = json_tokenizer(json.dumps(said))
+        mark = said["model"].get("end_of_word_suffix")
+        self.is_end = np.zeros(max(said["model"]["vocab"].values()) + 1, bool)
+        self.is_end[[i for t, i in said["model"]["vocab"].items() if mark and t.endswith(mark)]] = True
+
+    def each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        whole = PLAIN_WORD.fullmatch
+        plain = [k for k, t in enumerate(texts) if whole(t)]
+        ids = self.merges.encode_batch_fast([" ".join([texts[k] for k in plain])], add_special_tokens=False)[0].ids
+        ends = (np.flatnonzero(self.is_end[np.array(ids, np.int64)]) + 1).tolist()
+        if len(ends) != len(plain):  # a vocabulary without such marks
+            return self.each(texts)
+        out: list = [None] * len(texts)
+        begin = 0
+        for k, end in zip(plain, ends, strict=True):
+            out[k] = ids[begin:end]
+            begin = end
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self.each([texts[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+
+@lru_cache(2)
+def piece_encoder(content: str) -> Remembered:
+    return Remembered(PieceEncoder(content))
+
+
 def piece_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first piece of each text): at white space, and where letters, digits and
     other signs meet in ASCII. After an apostrophe there is no cut: it may begin a contraction."""
@@ -207,7 +250,7 @@ def id_lists(column: pa.Array, encode: Callable, closing: int | None, pieces: bo
     end = np.array([] if closing is None else [closing], np.int32)
     if not pieces:
         texts = [t or "" for t in column.to_pylist()]
-        return [np.concatenate([np.array(ids, np.int32), end]) for ids in encode.encode(texts)]
+        return [np.concatenate([np.array(ids, np.int32), end]) for ids in encode.encode.each(texts)]
     data, offsets = column_bytes(column)
     data = LOWER[data]  # as the tokenizer itself does
     starts, ends, first = piece_edges(data, offsets)
@@ -240,7 +283,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] |
     pieces = by_pieces(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = json_encoder(content.value)
+        encode = piece_encoder(content.value)
         packer = _Packer(TaskContext.get().partitionId() << 40, capacity, arrow, slack)
         for part in gathered(batches, "_text", BLOCK_BYTES):
             packer.add(part.select(list(range(part.num_columns - 1))), id_lists(part.column("_text"), encode, closing, pieces))

@@ -9,9 +9,9 @@ wrong ids.
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -102,8 +102,13 @@ class Remembered:
             else:
                 found[k] = self.young[texts[k]] = ids
         if asked:
-            for k, ids in zip(asked, self.encode([texts[k] for k in asked]), strict=True):
-                found[k] = self.young[texts[k]] = array("i", ids).tobytes()
+            lists = self.encode([texts[k] for k in asked])
+            ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))) * 4
+            raw = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]) // 4).tobytes()
+            begin = 0
+            for k, end in zip(asked, ends.tolist(), strict=True):
+                found[k] = self.young[texts[k]] = raw[begin:end]
+                begin = end
         return found
 
 
@@ -124,9 +129,3 @@ def piece_tokenizer(content: bytes):
     import sentencepiece
 
     return sentencepiece.SentencePieceProcessor(model_proto=content)
-
-
-@lru_cache(CACHED)
-def json_encoder(content: str) -> Remembered:
-    tokenizer = json_tokenizer(content)
-    return Remembered(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
