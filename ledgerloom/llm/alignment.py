@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.bpe import piece_spans
-from ledgerloom.llm.spelling import Remembered, Spelled, json_encoder, json_tokenizer, piece_tokenizer
+from ledgerloom.llm.spelling import Remembered, Spelled, json_tokenizer, piece_tokenizer
 from ledgerloom.llm.tables import written
 from ledgerloom.llm.textarrays import column_bytes, gathered, give_back, ranges
 
@@ -143,12 +143,18 @@ def unit_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class Spelling:
     """One tokenizer over a block: ids, the bytes of each id, and which texts are spelled wholly."""
 
-    def __init__(self, encode: Remembered, tokens: list[bytes], by_units: bool | None):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes], by_units: bool | None):
         self.tokens = tokens
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.by_units = by_units  # None: pieces of a byte-level pattern
         self.names = np.array([b"%d" % i for i in range(len(tokens))], object)
+        self.plain = encode
+        self.encode = Remembered(self._whole)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each piece; none if their bytes are not the piece's."""
+        lists, table = self.plain(texts), self.tokens
+        return [ids if b"".join([table[i] for i in ids]) == t.encode() else [] for t, ids in zip(texts, lists, strict=True)]
 
     def over(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, ids of each text, whether its tokens' bytes are the text)."""
@@ -157,26 +163,13 @@ class Spelling:
         elif self.by_units:
             starts, ends = unit_spans(data, offsets)
         else:
-            starts, ends = offsets[:-1], offsets[1:]
+            full = offsets[1:] > offsets[:-1]
+            starts, ends = offsets[:-1][full], offsets[1:][full]
         spelled = Spelled(data, starts, ends, self.encode)
-        whole = self._whole(spelled)
-        doc = np.searchsorted(offsets, starts, side="right") - 1
-        n = len(offsets) - 1
-        wrong = np.bincount(doc[~whole[spelled.which]], minlength=n) > 0 if len(doc) else np.zeros(n, bool)
-        count = np.bincount(doc, weights=spelled.sizes, minlength=n).astype(np.int64) if len(doc) else np.zeros(n, np.int64)
-        return spelled.ids(), count, ~wrong
-
-
-    def _whole(self, spelled: Spelled) -> np.ndarray:
-        """Which distinct pieces are the joined bytes of their tokens."""
-        raw = [p.encode() for p in spelled.pieces]
-        tokens = [self.tokens[i] for i in spelled.flat.tolist()]
-        steps = np.concatenate([[0], np.cumsum(spelled.own)])
-        sizes = np.concatenate([[0], np.cumsum(self.lengths[spelled.flat])])
-        same = np.diff(sizes[steps]) == np.fromiter(map(len, raw), np.int64, len(raw))
-        if same.all() and b"".join(tokens) == b"".join(raw):
-            return same
-        return np.fromiter((b"".join(tokens[i:j]) == p for p, i, j in zip(raw, steps[:-1].tolist(), steps[1:].tolist(), strict=True)), bool, len(raw))
+        first = np.searchsorted(starts, offsets)  # pieces of the texts; every piece has a token
+        upto = np.concatenate([[0], np.cumsum(spelled.sizes)])
+        none = np.concatenate([[0], np.cumsum(spelled.sizes == 0)])
+        return spelled.ids(), np.diff(upto[first]), np.diff(none[first]) == 0
 
 
 @lru_cache(2)
@@ -190,7 +183,7 @@ def byte_level(content: str) -> Spelling:
     said = json.loads(content)
     pattern = (said.get("pre_tokenizer") or {}) | {"normalizer": said.get("normalizer")}
     plain = pattern.get("type") == "ByteLevel" and pattern.get("use_regex") and not pattern.get("add_prefix_space") and pattern["normalizer"] is None
-    return Spelling(json_encoder(content), tokens, None if plain else False)
+    return Spelling(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], tokens, None if plain else False)
 
 
 @lru_cache(2)
@@ -206,7 +199,7 @@ def piece_level(content: bytes) -> Spelling:
         found = model.encode([t[1:] for t in texts], num_threads=1)  # the model adds the first space
         return [ids if len(t) > 1 else [lone] for t, ids in zip(texts, found, strict=True)]
 
-    return Spelling(Remembered(encode), [piece_bytes(p) for p in pieces], apart)
+    return Spelling(encode, [piece_bytes(p) for p in pieces], apart)
 
 
 class Aligned:
@@ -233,28 +226,24 @@ class Aligned:
         self.group_first = np.searchsorted(self.at[0], self.first[0])
 
 
-def _codes(side: int, aligned: Aligned, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a document on one side, their group, and whether they end it."""
-    begin, end = aligned.first[side][d], aligned.first[side][d + 1]
-    last = aligned.at[side][aligned.group_first[d] : aligned.group_first[d + 1]] - begin
-    ends_group = np.zeros(end - begin, bool)
-    ends_group[last] = True
-    group = np.cumsum(ends_group) - ends_group
-    return aligned.ids[side][begin:end], group, ends_group
-
-
-def group_text(aligned: Aligned, d: int, names: tuple[np.ndarray, np.ndarray]) -> bytes:
-    """Ids of a document as `a1,a2|b1;a3|b2,b3`."""
-    ids_a, group_a, last_a = _codes(0, aligned, d)
-    ids_b, group_b, last_b = _codes(1, aligned, d)
-    if not len(ids_a):
-        return b""
-    words = np.concatenate([names[0][ids_a], names[1][ids_b]])
-    signs = np.concatenate([np.where(last_a, b"|", b","), np.where(last_b, b";", b",")]).astype(object)
-    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-    both = np.empty(2 * len(order), object)
-    both[0::2], both[1::2] = words[order], signs[order]
-    return b"".join(both[:-1].tolist())
+def group_texts(aligned: Aligned, names: tuple[np.ndarray, np.ndarray]) -> Iterator[bytes]:
+    """The ids of each document as `a1,a2|b1;a3|b2,b3`."""
+    a, b = aligned.ids
+    sizes = [np.diff(at, prepend=-1) for at in aligned.at]  # of each group; documents end with one
+    before = [np.cumsum(n) - n for n in sizes]
+    both = np.empty(2 * (len(a) + len(b)), object)
+    # a group's A ids follow the B ids of all groups before it, its B ids its own A ids as well
+    place_a = np.arange(len(a)) + np.repeat(before[1], sizes[0])
+    place_b = np.arange(len(b)) + np.repeat(before[0] + sizes[0], sizes[1])
+    signs = [np.full(len(ids), b",", object) for ids in (a, b)]
+    signs[0][aligned.at[0]] = b"|"
+    signs[1][aligned.at[1]] = b";"
+    for ids, place, sign, name in zip((a, b), (place_a, place_b), signs, names, strict=True):
+        both[2 * place] = name[ids]
+        both[2 * place + 1] = sign
+    steps = 2 * (aligned.first[0] + aligned.first[1])
+    for begin, end in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+        yield b"".join(both[begin : end - 1].tolist()) if end > begin else b""
 
 
 # -- general interface ---------------------------------------------------------------------
@@ -313,7 +302,7 @@ def _digested(files):
             # distinct places of each document, with their counts
             own, uses = np.unique(np.repeat(np.arange(n), groups) << 32 | place, return_counts=True)
             edges = np.searchsorted(own, np.arange(n + 1) << 32)
-            hashes = [hashlib.sha256(t).hexdigest() if (t := group_text(found, d, (one.names, two.names))) else "" for d in range(n)]
+            hashes = [hashlib.sha256(t).hexdigest() if t else "" for t in group_texts(found, (one.names, two.names))]
             counted = [np.diff(found.first[0]), np.diff(found.first[1]), groups, groups]
 
             def column(values, kind, lists=None, head=n, tail=1):
