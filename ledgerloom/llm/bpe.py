@@ -8,7 +8,7 @@ places in the block's word list, byte plane by byte plane, so that the shuffles
 below the size of the compressed input. Decoding joins the token-byte table, which
 is as large as the vocabulary file and no larger.
 
-A block is named by the hash of its texts. Both passes over the input must cut the
+A block is named by the hash of its texts and of the borders between them. Both passes over the input must cut the
 same blocks: give a table that is read (its scan is split when the query starts) and
 not the unwritten result of a shuffle. The last step checks that a block's word list
 is complete and raises otherwise, so another order of rows never gives wrong ids.
@@ -144,7 +144,8 @@ class Block:
     def __init__(self, column: pa.Array, pattern: str, positions: bool):
         data, offsets = column_bytes(column)
         raw = data.tobytes()
-        self.name = xxhash.xxh64_intdigest(raw, seed=len(column)) - (1 << 63)
+        # equal bytes with other borders between texts hold other words
+        self.name = xxhash.xxh64_intdigest(offsets.astype("<i8").tobytes(), seed=xxhash.xxh64_intdigest(raw)) - (1 << 63)
         starts, ends = piece_spans(data, offsets)
         hashes = long_spans_hash(data, starts, ends)
         _, first, which, uses = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
@@ -177,13 +178,13 @@ class Block:
 
 def _pack(places: np.ndarray, n_words: int, zip_: zstandard.ZstdCompressor) -> bytes:
     """Places in the word list, one byte plane after the other."""
-    planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3] if len(places) else np.empty((3, 0), np.uint8)
+    planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T if len(places) else np.empty((4, 0), np.uint8)
     return np.array([n_words], "<u4").tobytes() + zip_.compress(planes.tobytes())
 
 
 def _unpack(payload: bytes, unzip: zstandard.ZstdDecompressor) -> tuple[np.ndarray, int]:
-    planes = np.frombuffer(unzip.decompress(payload[4:]), np.uint8).reshape(3, -1).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16, int(np.frombuffer(payload[:4], "<u4")[0])
+    planes = np.frombuffer(unzip.decompress(payload[4:]), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64), int(np.frombuffer(payload[:4], "<u4")[0])
 
 
 def _ask(pattern: str, text: str, buckets: int):
