@@ -2,13 +2,19 @@
 
 A sketch is a histogram with 64 buckets for each power of two (exact below 128), so
 merging is adding counts, in any order, and the result never depends on the order.
-Sketches are kept for each (lang, source) and merged upwards; a group of fewer than
-`MIN_ROWS` rows takes the thresholds of its language, or else those of all rows. A
-threshold is the far fence q75 + 3 (q75 - q25), or a floor below which no rule
-fires, so a group of clean documents loses none.
+Sketches are kept for each (lang, source) and merged upwards, to languages and to all
+rows. The fence of a sketch is q75 + 3 (q75 - q25). A group's fence is drawn towards that
+of its language, and a language's towards that of all rows, with a weight of `WEIGHT`
+rows: a group of few rows follows its parent, a large one itself, and no number of rows
+switches from one to the other. A threshold is the group's fence or the `TAIL` quantile
+of all rows, whichever is greater: it lets no rule fire for a text that is ordinary for
+its group, or for the whole corpus. All of these come from the sketches.
 
 Defined results: null or empty texts have no words and fail the base rule; null
-lang or source is a group of its own; repeated rows get equal results.
+lang or source is a group of its own; repeated rows count and are judged each for itself;
+an empty table gives no rows; long texts are blocks of their own; a value equal to its
+threshold passes; of several failed rules the first is named; other columns don't matter,
+but those to keep must not have the name of a count (ValueError), whatever its case.
 """
 
 from __future__ import annotations
@@ -26,10 +32,10 @@ from ledgerloom.llm.textarrays import _BYTE_CODES, BYTE_BASE, NONSPACE, Words, b
 
 BLOCK_BYTES = 2 << 20
 REPEAT_WINDOW = 8
-MIN_ROWS = 100
-# Characters that count as symbols, and the floor of each rule's threshold.
+WEIGHT = 100  # rows of a parent that a group's fence is drawn towards
+TAIL = 0.98
+# Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
-FLOORS = {"symbol_permille": 80, "dup_line_permille": 500, "repeat_permille": 300, "upper_permille": 400, "word_length_tenths": 250}
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
@@ -76,6 +82,9 @@ def count_block(column: pa.Array) -> dict[str, np.ndarray]:
 
 def document_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """The columns `keep` and the counts of each text."""
+    clash = {c.lower() for c in keep} & set(COUNTS)
+    if clash:
+        raise ValueError(f"rename these columns first: {sorted(clash)}")
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,43 +126,38 @@ def sketches(counts: DataFrame) -> DataFrame:
     )
 
 
-def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """n, q25 and q75 of merged sketches; a group has a bounded number of buckets."""
+def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Rows, fence and tail of merged sketches; a group has a bounded number of buckets."""
     merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "metric")
     ranked = merged.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("rows"), F.expr(LEAST).alias("least"))
-    return ranked.groupBy(*by, "metric").agg(
-        F.max("rows").alias("rows"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("rows"), F.col("least"))).alias("q25"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("rows") * 3, F.col("least"))).alias("q75"),
-    )
+    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * round(100 * q), F.col("least")))
+    found = ranked.groupBy(*by, "metric").agg(F.max("rows").alias("rows"), at(0.25).alias("q25"), at(0.75).alias("q75"), at(TAIL).alias("tail"))
+    return found.select(*by, "metric", "rows", (F.col("q75") + 3 * (F.col("q75") - F.col("q25"))).alias("fence"), "tail")
 
 
-def _fences(sketch: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    """One row a group: rows and a threshold for each metric."""
-    found = _quartiles(sketch, by)
-    fence = F.col("q75") + 3 * (F.col("q75") - F.col("q25"))
-    return found.groupBy(*by).agg(
-        F.max("rows").alias(f"{prefix}rows"),
-        *(F.greatest(F.max(F.when(F.col("metric") == k, fence)), F.lit(floor)).alias(f"{prefix}{k}") for k, floor in FLOORS.items()),
-    )
+def _drawn(rows: str, fence: str, parent: str) -> Column:
+    """A fence drawn towards its parent's, in whole numbers."""
+    return F.expr(f"({rows} * {fence} + {WEIGHT} * {parent}) div ({rows} + {WEIGHT})")
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, and a threshold for each metric)."""
-    own = _fences(sketch, ["lang", "source"], "own_")
-    lang = _fences(sketch, ["lang"], "lang_").withColumnRenamed("lang", "of_lang")
-    whole = _fences(sketch.withColumn("one", F.lit(1)), ["one"], "all_")
-    joined = own.join(lang, F.expr("lang <=> of_lang"), "left").withColumn("one", F.lit(1)).join(whole, "one", "left")
-    pick = lambda k: F.when(F.col("own_rows") >= MIN_ROWS, F.col(f"own_{k}")).when(F.col("lang_rows") >= MIN_ROWS, F.col(f"lang_{k}")).otherwise(F.col(f"all_{k}"))
-    return joined.select("lang", "source", *(pick(k).alias(f"max_{k}") for k in FLOORS))
+    own = _fences(sketch, ["lang", "source"]).drop("tail")
+    lang = _fences(sketch, ["lang"]).select(F.col("lang").alias("of_lang"), F.col("metric").alias("of_metric"), F.col("rows").alias("lang_rows"), F.col("fence").alias("lang_fence"))
+    whole = _fences(sketch, []).select("metric", F.col("fence").alias("all_fence"), "tail")  # a row a metric
+    joined = own.join(lang, F.expr("lang <=> of_lang AND metric = of_metric")).join(F.broadcast(whole), "metric")
+    fenced = joined.withColumn("lang_fence", _drawn("lang_rows", "lang_fence", "all_fence"))
+    limit = F.greatest(_drawn("rows", "fence", "lang_fence"), F.col("tail"))
+    limits = fenced.select("lang", "source", "metric", limit.alias("limit"))
+    return limits.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == k, F.col("limit"))).alias(f"max_{k}") for k in _metrics()))
 
 
 def judge(counts: DataFrame) -> DataFrame:
     """counts with base_failed, kept and failed_rule."""
     limits = thresholds(sketches(counts)).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     joined = counts.join(limits, F.expr("lang <=> of_lang AND source <=> of_source"), "left").withColumns(_metrics())
-    over = [F.when(F.col(k) > F.col(f"max_{k}"), F.lit(k)) for k in FLOORS]
+    over = [F.when(F.col(k) > F.col(f"max_{k}"), F.lit(k)) for k in _metrics()]
     base = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
     rule = F.when(base, F.lit("base")).otherwise(F.coalesce(*over))
     return joined.select("doc_id", "lang", "source", *COUNTS, base.alias("base_failed"), rule.isNull().alias("kept"), rule.alias("failed_rule"))
