@@ -3,16 +3,25 @@
 Texts become words joined by single spaces. Each notice, allowed k edits, is split
 into k + 1 pieces, of which one must occur exactly (pigeonhole); one automaton finds
 all pieces of all notices, and the regex library's bounded-error matching verifies
-the surroundings of a piece and tells edits and span. The phrases of the base are
-notices with no edits: their single piece is the phrase itself.
-
-Defined results: null or empty texts have no words, no labels and score 0; repeated
-rows get equal results; of overlapping notices with different labels the one with
-the fewest edits for its length counts (ties: the longer, then the first in the list).
+the surroundings of a piece and tells edits and span. Pieces of a notice whose
+surroundings overlap are verified together, once, and equal surroundings are verified
+once in a block. The phrases of the base are notices with no edits: their single piece
+is the phrase itself.
+
+Edits must not change what a licence is: of a found span the telling words (`TELLING`,
+and all numbers) must be those of the notice, in order. Words count whole that the span
+touches.
+
+Defined results: null or empty texts have no words, no labels and score 0; an empty table
+gives no rows; long texts are blocks of their own; repeated rows get equal results; of
+overlapping notices with different labels the one with the fewest edits for its length
+counts (ties: the longer, then the first in the list); the names of the results must not
+be among the columns, whatever their case (ValueError).
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import ahocorasick
@@ -53,6 +62,13 @@ NOTICES = [
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
 ]
 
+# Words by which one licence differs from another. Numbers do as well.
+TELLING = frozenset((
+    "mit apache gnu general lesser library affero agpl lgpl gpl bsd clause mozilla mpl isc eclipse epl artistic boost "
+    "zlib unlicense cc by nc nd sa attribution commercial noncommercial derivatives sharealike alike creative zero "
+    "not without non"
+).split())
+
 FOUND = T.ArrayType(T.StructType([
     T.StructField("label", T.StringType()),
     T.StructField("base", T.BooleanType()),
@@ -70,6 +86,30 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(cuts[i], notice[cuts[i] : cuts[i + 1]]) for i in range(n)]
 
 
+def telling(words: list[str]) -> list[str]:
+    """The words of a notice that must not be edited."""
+    return [w for w in words if w in TELLING or w.isdigit()]
+
+
+def _windows(starts: list[int], size: int, edits: int, begin: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Parts of a text, begin to stop, where a notice of this size can be, given about where it may
+    begin. The pieces of one notice, moved by its edits at most, share a part."""
+    first = last = None
+    for start in [*starts, None]:
+        if first is not None and (start is None or start > first + 2 * edits):
+            yield max(begin, first - 2 * edits), min(stop, last + size + 2 * edits)
+            first = None
+        if first is None:
+            first = start
+        last = start
+
+
+def _holds(words: list[str], wanted: list[str]) -> bool:
+    """Whether the wanted words are there, in order."""
+    rest = iter(words)
+    return all(w in rest for w in wanted)
+
+
 class Searcher:
     def __init__(self, notices=NOTICES, phrases=PHRASES):
         self.notices = []
@@ -78,8 +118,8 @@ class Searcher:
             seeds.setdefault(f" {text} ", []).append((label, None, 0))
         for label, text in notices:
             edits = len(text) // EDITS_FOR
-            rule = (label, text, edits, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}"))
-            self.notices.append(rule)
+            pattern = regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}")
+            self.notices.append((label, text, edits, pattern, telling(text.split(" "))))
             for at, piece in pieces(text, edits):
                 seeds.setdefault(piece, []).append((label, len(self.notices) - 1, at))
         self.automaton = ahocorasick.Automaton()
@@ -101,48 +141,63 @@ class Searcher:
         flat[ranges(places, lengths - 1)] = words.data[ranges(words.starts, lengths - 1)]
         text = flat.tobytes().decode("latin-1")
         out: list[list[dict]] = [[] for _ in counts]
-        tried: dict[tuple[int, int], int] = {}
+        near: dict[tuple[int, int], list[int]] = {}  # where a notice may begin, by notice and document
         for end, (size, owners) in self.automaton.iter(text):
             start = end - size + 1
             doc = int(np.searchsorted(begins, start, side="right")) - 1
-            stop = int(begins[doc] + sizes[doc])
             for label, rule, at in owners:
-                if rule is None:
-                    if end < stop:
-                        first = int(np.searchsorted(places, start + 1))
-                        last = int(np.searchsorted(places, end))
-                        out[doc].append({"label": label, "base": True, "start": first - int(words.first[doc]), "end": last - int(words.first[doc]), "edits": 0, "score": 1.0})
-                    continue
-                label, notice, edits, pattern = self.notices[rule]
-                low = max(int(begins[doc]), start - at - edits)
-                high = min(stop, start - at + len(notice) + edits)
-                if tried.get((rule, doc), -1) >= high:
-                    continue
-                m = pattern.search(text, low, high)
-                if m is None:
-                    continue
-                tried[rule, doc] = high
-                cost = sum(m.fuzzy_counts)
-                first = max(int(np.searchsorted(places, m.start(), side="right")) - 1, int(words.first[doc]))
-                last = int(np.searchsorted(places, m.end()))
-                out[doc].append({"label": label, "base": False, "start": first - int(words.first[doc]), "end": last - int(words.first[doc]), "edits": cost, "score": 1 - cost / len(notice)})
+                if rule is not None:
+                    near.setdefault((rule, doc), []).append(start - at)
+                elif end < begins[doc] + sizes[doc]:
+                    first = int(np.searchsorted(places, start + 1))
+                    last = int(np.searchsorted(places, end))
+                    out[doc].append({"label": label, "base": True, "start": first - int(words.first[doc]), "end": last - int(words.first[doc]), "edits": 0, "score": 1.0, "rank": -1})
+        verified: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+        for (rule, doc), starts in near.items():
+            label, notice, edits, _, _ = self.notices[rule]
+            begin, stop, spans = int(begins[doc]), int(begins[doc] + sizes[doc]), set()
+            for low, high in _windows(sorted(starts), len(notice), edits, begin, stop):
+                window = text[low:high]
+                if (rule, window) not in verified:
+                    verified[rule, window] = self._verify(rule, window)
+                if span := verified[rule, window]:
+                    spans.add((low + span[0], low + span[1], span[2]))
+            for a, b, cost in sorted(spans):
+                first = max(int(np.searchsorted(places, a, side="right")) - 1, int(words.first[doc]))
+                last = int(np.searchsorted(places, b))
+                out[doc].append({"label": label, "base": False, "start": first - int(words.first[doc]), "end": last - int(words.first[doc]), "edits": cost, "score": 1 - cost / len(notice), "rank": rule})
         return [self._best(found) for found in out]
 
+    def _verify(self, rule: int, window: str) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the best match of a notice in a window."""
+        _, _, _, pattern, wanted = self.notices[rule]
+        if not _holds(window.split(" "), wanted):
+            return None
+        m = pattern.search(window)
+        if m is None:
+            return None
+        left = window.rfind(" ", 0, m.start() + 1) + 1
+        right = window.find(" ", max(m.end() - 1, 0))
+        touched = window[left : right if right >= 0 else len(window)].split(" ")
+        return (m.start(), m.end(), sum(m.fuzzy_counts)) if telling(touched) == wanted else None
+
     @staticmethod
     def _best(found: list[dict]) -> list[dict]:
         """All base places, and of overlapping notices the closest."""
-        kept = []
-        for f in sorted((f for f in found if not f["base"]), key=lambda f: (-f["score"], f["start"] - f["end"])):
-            if all(f["end"] <= k["start"] or k["end"] <= f["start"] for k in kept):
-                kept.append(f)
-        return sorted([f for f in found if f["base"]] + kept, key=lambda f: (f["start"], f["end"], not f["base"]))
+        kept: list[tuple[int, int, dict]] = []  # by start; they don't overlap
+        for f in sorted((f for f in found if not f["base"]), key=lambda f: (-f["score"], f["start"] - f["end"], f["rank"], f["start"])):
+            k = bisect.bisect_left(kept, (f["start"],))
+            if (k == 0 or kept[k - 1][1] <= f["start"]) and (k == len(kept) or f["end"] <= kept[k][0]):
+                kept.insert(k, (f["start"], f["end"], f))
+        all_ = [f for f in found if f["base"]] + [f for _, _, f in kept]
+        return [{k: v for k, v in f.items() if k != "rank"} for f in sorted(all_, key=lambda f: (f["start"], f["end"], not f["base"]))]
 
 
 def find_licenses(docs: DataFrame, text: str = "text", out: str = "licenses") -> DataFrame:
     """docs with `out`, the notices of each text, and `<out>_words`, its number of words."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    if out in docs.columns or f"{out}_words" in docs.columns:
+    if {out.lower(), f"{out}_words".lower()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"choose another name than {out} for the notices")
     schema = T.StructType([*docs.schema.fields, T.StructField(out, FOUND), T.StructField(f"{out}_words", T.LongType())])
     arrow = to_arrow_schema(schema)
