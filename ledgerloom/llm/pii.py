@@ -9,19 +9,24 @@ invert it. Every text is rewritten where it stands: no shuffle.
 Kinds, in order of precedence: email (letters and digits of the local part, each
 within its own class), iban (mod 97), ipv4 (octets), date (calendar days of
 1900-2099, each format on its own), card (13-19 digits, Luhn, first digit and check
-kept valid), phone (+ and 8-15 digits; country code kept), ssn (areas, groups).
-
-Defined results: null texts stay null and have no values, empty texts have none;
-repeated rows get equal results; of overlapping matches the earlier kind wins; other
-columns pass through unread.
+kept valid), phone (+ and 8-15 digits; calling code kept), ssn (areas, groups). Digits are
+the ASCII ones: a value in other digits has another format and is left as it is.
+
+Defined results: null texts stay null and have no values, empty texts have none; an empty
+table gives no rows; very long texts are read whole, in time that grows with their length;
+repeated rows get equal results; of overlapping matches the earlier kind wins, of one kind
+the first; other columns pass through unread; the name of the result must not be among
+them, whatever its case (ValueError).
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,19 +34,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: For tests and checks; production passes a key of its own.
+#: The session setting that holds the key of the registered query.
+KEY_SETTING = "spark.ledgerloom.pii.key"
+#: Known to everyone who can read this: for tests and checks only.
 DEFAULT_KEY = b"ledgerloom pseudonyms"
 ROUNDS = 8
 # Shapes of the kinds, and a cheap test that every match passes.
 SHAPES = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "ipv4": re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"),
-    "date": re.compile(r"(?<![\d/.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d/-]|\.\d)"),
-    "card": re.compile(r"(?<![A-Za-z0-9])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])"),
-    "phone": re.compile(r"(?<![\w+])\+\d(?:[ .-]?[(]?\d[)]?){7,14}(?!\d)"),
-    "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.A),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A),
+    "ipv4": re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", re.A),
+    "date": re.compile(r"(?<![\d/.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d/-]|\.\d)", re.A),
+    "card": re.compile(r"(?<![A-Za-z0-9])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])", re.A),
+    "phone": re.compile(r"(?<![\w+])\+\d(?:[ .-]?[(]?\d[)]?){7,14}(?!\d)", re.A),
+    "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.A),
 }
+# The calling codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+PERMUTATIONS_HELD = 4096
 SUSPECT = r"\d\D{0,2}\d|\d.*@|@"
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
@@ -99,7 +111,8 @@ def _radix(c: str) -> tuple[int, int, str] | None:
 
 class Pseudonyms:
     def __init__(self, key: bytes = DEFAULT_KEY, backward: bool = False):
-        self.key, self.backward, self.held = key, backward, {}
+        self.backward = backward
+        self.permutation = lru_cache(PERMUTATIONS_HELD)(lambda kind, n: Feistel(key, kind, n))
         self.kinds: dict[str, Callable[[str], str | None]] = {
             "email": self._email, "iban": self._iban, "ipv4": self._ipv4, "date": self._date, "card": self._card, "phone": self._phone, "ssn": self._ssn,
         }
@@ -107,9 +120,7 @@ class Pseudonyms:
     def _permute(self, kind: str, x: int, n: int) -> int:
         if n < 2:
             return x
-        f = self.held.get((kind, n))
-        if f is None:
-            f = self.held[kind, n] = Feistel(self.key, kind, n)
+        f = self.permutation(kind, n)
         return f.backward(x) if self.backward else f.forward(x)
 
     def _classes(self, kind: str, text: str) -> str:
@@ -193,7 +204,7 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", text)
         if not 8 <= len(digits) <= 15:
             return None
-        code = 1 if digits[0] in "17" else 2
+        code = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
         n = len(digits) - code
         return self._refill(text, digits[:code] + f"{self._permute(f'phone:{digits[:code]}', int(digits[code:]), 10**n):0{n}d}")
 
@@ -212,15 +223,18 @@ class Pseudonyms:
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of the values of a text, in order."""
-        found: list[tuple[int, int, str, str]] = []
+        found: list[tuple[int, int, str, str]] = []  # in order, without overlaps
         for kind, shape in SHAPES.items():
+            new = []
             for m in shape.finditer(text):
-                if any(a < m.end() and m.start() < b for a, b, _, _ in found):
+                k = bisect.bisect_left(found, (m.start(),))
+                if (k and found[k - 1][1] > m.start()) or (k < len(found) and found[k][0] < m.end()):
                     continue
-                new = self.kinds[kind](m[0])
-                if new is not None:
-                    found.append((m.start(), m.end(), kind, new))
-        return sorted(found)
+                value = self.kinds[kind](m[0])
+                if value is not None:
+                    new.append((m.start(), m.end(), kind, value))
+            found = sorted(found + new)  # two sorted runs
+        return found
 
     def rewrite(self, text: str, found: list[tuple[int, int, str, str]]) -> str:
         parts, reach = [], 0
@@ -237,7 +251,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text",
     """docs with pseudonyms in `text` and `out`, the spans of the replaced values (code points of the input)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    if out in docs.columns:
+    if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"choose another name than {out} for the spans")
     schema = T.StructType([*docs.schema.fields, T.StructField(out, FOUND)])
     arrow, place = to_arrow_schema(schema), docs.columns.index(text)

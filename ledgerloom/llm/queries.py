@@ -39,8 +39,10 @@ def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.op7_near_duplicates(read(spark, sf_dir, "documents"))
 
 
-def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str, key: bytes = pii.DEFAULT_KEY) -> DataFrame:
-    return pii.op8_pseudonyms(read(spark, sf_dir, "documents"), key)
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
+    """The key is the caller's, or that of the session setting; without either the one of tests."""
+    held = spark.conf.get(pii.KEY_SETTING, None)
+    return pii.op8_pseudonyms(read(spark, sf_dir, "documents"), key or (held.encode() if held else pii.DEFAULT_KEY))
 
 
 def op9_word_shuffle_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) -> DataFrame:
