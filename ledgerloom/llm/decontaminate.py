@@ -7,10 +7,15 @@ prefix doubling. Every test suffix is binary-searched in it. Matches are checked
 never cross a document, so no shuffle is needed: the test set, read in blocks of at
 most `BLOCK_BYTES`, visits the shards.
 
-Defined results: null or empty texts have no words and no match; an item without
-words occurs nowhere; an item of fewer than `window` words is one window; repeated
-rows get equal results; item_ids that are null are left out of item lists. Columns
-of the input other than `text` pass through unread, whatever their names.
+A query's places in a shard are looked at in steps of `PAIRS` pairs, and only matches
+that begin there are kept: texts of one word said many times take time, not memory.
+
+Defined results: null or empty texts have no words and no match; an empty table gives no
+rows, and empty items no matches; an item without words occurs nowhere; an item of fewer
+than `window` words is one window; repeated rows get equal results; items whose item_id is
+null count as one item, without a place in item lists; of equally long matches the first
+is the longest. Columns of the input other than `text` pass through unread; the names of
+the results must not be among them, whatever their case (ValueError).
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ WINDOW = 10
 SHARD_BYTES = 3 << 20
 BLOCK_BYTES = 32 << 20
 CODE_BITS = 14
+PAIRS = 1 << 19
 
 MATCHES = T.ArrayType(T.StructType([
     T.StructField("item_id", T.StringType()),
@@ -154,6 +160,20 @@ class TestSet:
             own = np.minimum(counts, window) == length
             self.suffixes[int(length)] = ranges(self.base[own], counts[own] - length + 1)
 
+    def _begun(self, shard: SuffixArray, places: np.ndarray, low: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the shard, place in the items) of the matches of length words that begin there."""
+        upto, found = np.cumsum(counts), []
+        for begin in range(0, int(upto[-1]), PAIRS):
+            pair = np.arange(begin, min(begin + PAIRS, int(upto[-1])))
+            query = np.searchsorted(upto, pair, side="right")
+            at, test = shard.order[low[query] + pair - (upto[query] - counts[query])], places[query]
+            if length == self.window:  # a match that also holds one word earlier is part of a longer one
+                new = (at == 0) | (shard.hashes[at - 1] != self.hashes[test - 1]) | (self.hashes[test - 1] == 0)
+                at, test = at[new], test[new]
+            same = (shard.hashes[at[:, None] + np.arange(length)] == self.hashes[test[:, None] + np.arange(length)]).all(axis=1)
+            found.append((at[same], test[same]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
     def search(self, hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """Longest matches in a shard: (document, start, item, item start, words), one row each."""
         shard = SuffixArray(hashes, first)
@@ -163,12 +183,7 @@ class TestSet:
             alive, low, high = shard.narrowed(queries, length)
             if not len(alive):
                 continue
-            at = shard.order[ranges(low, high - low)]
-            test = np.repeat(places[alive], high - low)
-            same = (shard.hashes[at[:, None] + np.arange(length)] == self.hashes[test[:, None] + np.arange(length)]).all(axis=1)
-            if length == self.window:  # a match that also holds one word earlier is part of a longer one
-                same &= (at == 0) | (shard.hashes[at - 1] != self.hashes[test - 1]) | (self.hashes[test - 1] == 0)
-            at, test = at[same], test[same]
+            at, test = self._begun(shard, places[alive], low, high - low, length)
             size = np.full(len(at), length)
             going = np.arange(len(at)) if length == self.window else np.empty(0, np.int64)
             while len(going):
@@ -262,8 +277,9 @@ def _digest(matches: list[dict]) -> tuple[int, int, str]:
         end = m["start"] + m["n_words"]
         hit += max(0, end - max(reach, m["start"]))
         reach = max(reach, end)
-    ids = sorted({m["item_id"] for m in matches if m["item_id"] is not None})
-    return hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()
+    found = {m["item_id"] for m in matches}
+    ids = sorted(found - {None})
+    return hit, len(found), hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 
 def op4_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
