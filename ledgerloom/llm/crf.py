@@ -2,8 +2,8 @@
 
 Each line with a word is good or bad; its features are shares of its own characters
 and words and those of its neighbours. The field is trained here on a bounded sample
-of labelled documents (at most `PER_CLASS` of each label, the first `TRAIN_LINES`
-lines of each; lines take the label of their document). Forward-backward marginals of
+of labelled documents (at most `PER_CLASS` of each label, all lines of each; lines take
+the label of their document). Forward-backward marginals of
 all lines of a whole text, weighted by length, give the document's share of good
 text, which a logistic curve fitted on the same sample turns into the score. Scoring
 is one narrow pass; the model is a few hundred numbers.
@@ -30,7 +30,7 @@ from ledgerloom.llm.textarrays import NONSPACE, Words, blocks, column_bytes, giv
 
 BLOCK_BYTES = 2 << 20
 PER_CLASS = 1500
-TRAIN_LINES = 60
+CHAIN = 60  # lines of one training chain
 STEPS = 200
 # The byte classes whose shares of a line are features.
 CLASSES = {
@@ -154,14 +154,18 @@ class _Adam:
 
 def fit(lines: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, prior: float, steps: int = STEPS) -> Model:
     """Maximum likelihood with a small penalty; both labels weigh the same, prior is restored by the curve."""
-    counts = np.array([len(x) for x in lines])
-    n, longest = len(lines), max(counts, default=0)
+    # A long document is trained on as several chains, so that short ones aren't padded to its length.
+    chains = [(i, rows[k : k + CHAIN]) for i, rows in enumerate(lines) for k in range(0, len(rows), CHAIN)]
+    counts = np.array([len(rows) for _, rows in chains], np.int64)
+    n, longest = len(chains), max(counts, default=0)
     x = np.zeros((n, longest, len(FEATURES)), np.float32)
-    for i, rows in enumerate(lines):
+    for i, (_, rows) in enumerate(chains):
         x[i, : len(rows)] = rows
     mask = np.arange(longest) < counts[:, None]
-    y = labels.astype(float)
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) / np.maximum(counts, 1)
+    whole = labels.astype(float)
+    each = np.where(whole == 1, 0.5 / max(whole.sum(), 1), 0.5 / max((1 - whole).sum(), 1)) / np.maximum([len(rows) for rows in lines], 1)
+    owner = np.array([i for i, _ in chains], np.int64)
+    y, weight = whole[owner], each[owner]
     state = np.zeros(len(FEATURES) + 4)
     adam = _Adam(len(state), 0.1)
     both = mask[:, 1:]
@@ -190,12 +194,12 @@ def fit(lines: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, pr
         gradient[-4:] += 1e-2 * state[-4:]
         state = adam.step(state, gradient)
     model = Model(state[:-4], state[-4:].reshape(2, 2), np.array([1.0, 0.0]), prior)
-    first = np.concatenate([[0], np.cumsum(counts)])
+    first = np.concatenate([[0], np.cumsum([len(rows) for rows in lines])]).astype(np.int64)
     flat = np.concatenate([np.asarray(r, float) for r in lines]) if n else np.zeros((0, len(FEATURES)))
     share = model.share(flat, np.concatenate(sizes) if n else np.zeros(0), first)
     use = ~np.isnan(share)
     logit = np.log(np.clip(share[use], 1e-4, 1 - 1e-4) / (1 - np.clip(share[use], 1e-4, 1 - 1e-4)))
-    true = y[use]
+    true = whole[use]
     balance = np.where(true == 1, prior / max(true.sum(), 1), (1 - prior) / max((1 - true).sum(), 1))
     curve, adam = np.array([1.0, 0.0]), _Adam(2, 0.05)
     for _ in range(400):
@@ -228,12 +232,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             for begin, end in blocks(batch.column("text"), BLOCK_BYTES):
                 part = batch.slice(begin, end - begin)
                 x, size, first = line_features(part.column("text"))
-                upto = np.minimum(first[1:], first[:-1] + TRAIN_LINES)
+                lines = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"),
                     part.column("label").cast(pa.int32()),
-                    pa.array([x[a:b].astype("<f4").tobytes() for a, b in zip(first, upto, strict=False)], pa.binary()),
-                    pa.array([size[a:b].astype("<f4").tobytes() for a, b in zip(first, upto, strict=False)], pa.binary()),
+                    pa.array([x[a:b].astype("<f4").tobytes() for a, b in lines], pa.binary()),
+                    pa.array([size[a:b].astype("<f4").tobytes() for a, b in lines], pa.binary()),
                 ], names=["doc_id", "label", "x", "size"])
 
     rows = texts.mapInArrow(features, "doc_id long, label int, x binary, size binary").collect()
@@ -248,7 +252,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     """docs with `out`, the quality of each whole text."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    if out in docs.columns:
+    if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"choose another name than {out} for the score")
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     arrow = to_arrow_schema(schema)
@@ -267,7 +271,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents with a score of at least `least`; columns as they were."""
     name = "score__"
-    while name in docs.columns:
+    while name in {c.lower() for c in docs.columns}:
         name += "_"
     return score(docs, model, out=name).where(F.col(name) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -439,3 +439,20 @@ def test_passages_in_many_shards(spark, texts, monkeypatch):
     docs = frame(spark, texts).withColumnRenamed("lang", "row").withColumnRenamed("source", "spans")
     found = passages.remove_repeats(docs)
     assert rows_of(found, "doc_id", "n_words__", "n_removed__") == Counter(r[:3] for r in brute.substring_dedup(texts))
+
+
+def test_every_line_of_a_long_text_is_trained_on(monkeypatch):
+    """What tells the labels apart stands behind hundreds of lines that are alike."""
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    lines, labels = [], np.array([i % 2 for i in range(60)])
+    for label in labels:
+        x = rnd.normal(0, 0.01, (400, len(crf.FEATURES)))
+        x[:, 0] = 1
+        x[300:, 1] += 2 * label - 1
+        lines.append(x)
+    model = crf.fit(lines, [np.ones(400)] * 60, labels, 0.5)
+    first = np.arange(61) * 400
+    score = model.score(model.share(np.concatenate(lines), np.ones(60 * 400), first))
+    assert ((score >= 0.5) == (labels == 1)).all()
