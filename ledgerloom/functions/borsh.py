@@ -14,22 +14,25 @@ keeps plan building cheap: one parse per field, however deep its type.
 from __future__ import annotations
 
 import itertools
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import wide
+from ledgerloom.functions import quad, wide
 from ledgerloom.functions.base58 import ALPHABET, bytes_to_base58
 from ledgerloom.functions.text import camel_name
 
 # Byte width of each fixed-size primitive.
 WIDTH = {
     "u8": 1, "i8": 1, "u16": 2, "i16": 2, "u32": 4, "i32": 4, "u64": 8, "i64": 8,
-    "u128": 16, "i128": 16, "f32": 4, "f64": 8, "pubkey": 32,
+    "u128": 16, "i128": 16, "u256": 32, "i256": 32, "f32": 4, "f64": 8, "pubkey": 32,
 }
 KEY_BYTES = 32
 LENGTH_BYTES = 4
+DEEPEST = 64  # instances of defined types inside each other
 
 
 @dataclass(frozen=True)
@@ -66,6 +69,44 @@ def defined_name(kind: dict) -> str:
     return inner if isinstance(inner, str) else inner["name"]
 
 
+def type_arguments(kind: dict) -> list:
+    """What a defined type is instantiated with: types, and values of constants."""
+    inner = kind["defined"]
+    given = [] if isinstance(inner, str) else inner.get("generics") or []
+    return [(a["type"] if "type" in a else a["value"]) if isinstance(a, dict) and ("type" in a or "value" in a) else a for a in given]
+
+
+def defined_types(kind) -> Iterator[dict]:
+    """The defined types that a type or definition names, but for their arguments."""
+    if isinstance(kind, list):
+        for inner in kind:
+            yield from defined_types(inner)
+    elif isinstance(kind, dict):
+        if "defined" in kind:
+            yield kind
+        else:
+            for key, inner in kind.items():
+                if key != "generics":
+                    yield from defined_types(inner)
+
+
+def filled(kind, names: dict[str, object]):
+    """A type, or a length, with its type parameters replaced. An unfilled one is an error."""
+    if isinstance(kind, list):
+        return [filled(k, names) for k in kind]
+    if not isinstance(kind, dict):
+        return kind
+    if "generic" in kind:
+        if kind["generic"] not in names:
+            raise ValueError(f"Type parameter '{kind['generic']}' is not filled")
+        return names[kind["generic"]]
+    if "defined" in kind and isinstance(kind["defined"], dict):
+        inner = kind["defined"]
+        given = [{"type": filled(a, names)} for a in type_arguments(kind)]
+        return {"defined": {**inner, "generics": given}} if given else kind
+    return {k: v if k in ("name", "kind", "docs", "generics") else filled(v, names) for k, v in kind.items()}
+
+
 # -- primitives ----------------------------------------------------------
 
 
@@ -144,6 +185,67 @@ def _wide(p: str, at: At, signed: bool) -> str:
     return let(f"named_struct('a', {words[0]}, 'b', {words[1]}, 'c', {words[2]})", parts)
 
 
+def _quad(p: str, at: At, signed: bool) -> str:
+    """256 bits as base-10**20 limbs, see `quad`.
+
+    Each 32-bit word is multiplied with the limbs of its power of two, a constant; the
+    sums stay below 38 digits and are carried from the least limb up. A negative value
+    is read as unsigned and moved down by 2**256.
+    """
+    base = quad.BASE
+    number = lambda n: f"CAST({n} AS DECIMAL(38,0))"
+    names = [f"w{i}" for i in range(8)]
+    words = ", ".join(f"'{name}', try_cast({_conv(p, at + 4 * i, 4)} AS DECIMAL(10,0))" for i, name in enumerate(names))
+    powers = [quad.split(2 ** (32 * i)) for i in range(8)]
+    down = quad.split(-(2**256))
+
+    def summed(s: str) -> str:
+        limbs = []
+        for k, limb in enumerate(quad.LIMBS):
+            terms = [number(f"{s}.{name} * {power[k]}BD") for name, power in zip(names, powers, strict=True) if power[k]]
+            if signed:
+                terms.append(f"IF({s}.w7 >= {2**31}BD, {number(f'{down[k]}BD')}, {number('0BD')})")
+            total = terms[0]
+            for term in terms[1:]:
+                total = number(f"{total} + {term}")
+            limbs.append(f"'{limb}', {total}")
+        return let(f"named_struct({', '.join(limbs)})", carried)
+
+    def carried(t: str) -> str:
+        def step(limb: str, above: str, then) -> str:
+            total = number(f"{t}.{limb} + {above}") if above else f"{t}.{limb}"
+            pair = lambda x: f"named_struct('r', {number(f'pmod({x}, {base}BD)')}, 'x', {x})"
+            return let(let(total, pair), lambda y: then(f"{y}.r", number(f"({y}.x - {y}.r) / {base}BD")))
+
+        limb = lambda n: f"try_cast({n} AS DECIMAL({quad.DIGITS},0))"
+        return step("d", "", lambda d, up_d: step("c", up_d, lambda c, up_c: step("b", up_c, lambda b, up_b: (
+            f"named_struct('a', {limb(number(f'{t}.a + {up_b}'))}, 'b', {limb(b)}, 'c', {limb(c)}, 'd', {limb(d)})"))))
+
+    return let(f"named_struct({words})", summed)
+
+
+def _quad_text(value: str) -> str:
+    """Decimal text of limbs, see `quad.text`."""
+    base = quad.BASE
+
+    def padded(limbs: list[str]) -> str:
+        parts = ", ".join(f"lpad(string({n}), {quad.DIGITS}, '0')" for n in limbs)
+        return f"regexp_replace(concat({parts}), '^0+(?=[0-9])', '')"
+
+    def shown(v: str) -> str:
+        # -v: every limb is taken from the base, or from the base less one past the first that isn't 0
+        a, b, c, d = (f"{v}.{name}" for name in quad.LIMBS)
+        turned = (
+            f"CASE WHEN {d} > 0 THEN {padded([f'(-{a} - 1)', f'({base - 1}BD - {b})', f'({base - 1}BD - {c})', f'({base}BD - {d})'])}"
+            f" WHEN {c} > 0 THEN {padded([f'(-{a} - 1)', f'({base - 1}BD - {b})', f'({base}BD - {c})', '0'])}"
+            f" WHEN {b} > 0 THEN {padded([f'(-{a} - 1)', f'({base}BD - {b})', '0', '0'])}"
+            f" ELSE {padded([f'(-{a})', '0', '0', '0'])} END"
+        )
+        return f"IF({a} < 0, concat('-', {turned}), {padded([a, b, c, d])})"
+
+    return let(value, shown)
+
+
 def _wide_text(value: str) -> str:
     """Decimal text of limbs, see `wide.pair_text`."""
     base = wide.BASE
@@ -204,16 +306,48 @@ class Layout:
 
     def __init__(self, types: dict[str, dict]):
         self.types = types
+        self._instances: dict[tuple[str, str], dict] = {}
 
     # shape
 
     def _definition(self, kind: dict) -> dict:
+        """Body of a defined type, with its type parameters filled."""
+        if "generic" in kind:
+            raise ValueError(f"Type parameter '{kind['generic']}' is not filled")
         if "defined" not in kind:
             raise ValueError(f"Type {kind} cannot be decoded")
         name = defined_name(kind)
         if name not in self.types:
             raise ValueError(f"Type '{name}' has no definition and cannot be decoded")
-        return self.types[name]
+        return self._instance(name, json.dumps(type_arguments(kind)))
+
+    def _instance(self, name: str, arguments: str, path: tuple = ()) -> dict:
+        """A definition for given arguments. Types that contain themselves are refused, and so
+        are those that contain ever larger instances of themselves."""
+        key = (name, arguments)
+        if key in path or len(path) > DEEPEST:
+            raise ValueError(f"Type '{name}' contains itself and cannot be decoded")
+        if key in self._instances:
+            return self._instances[key]
+        body, given = self.types[name], json.loads(arguments)
+        wanted = [g["name"] for g in body.get("generics") or []]
+        if len(given) < len(wanted):
+            raise ValueError(f"Type parameter '{wanted[len(given)]}' of '{name}' is not filled")
+        if len(given) > len(wanted):
+            raise ValueError(f"Type '{name}' has {len(wanted)} type parameters, not {len(given)}")
+        whole = filled(body, dict(zip(wanted, given, strict=True))) if wanted else body
+        for inner in defined_types(whole):
+            if defined_name(inner) in self.types:
+                self._instance(defined_name(inner), json.dumps(type_arguments(inner)), (*path, key))
+        self._instances[key] = whole
+        return whole
+
+    @staticmethod
+    def _length(kind: dict) -> int:
+        length = kind["array"][1]
+        if isinstance(length, dict):
+            raise ValueError(f"Length '{length.get('generic', length)}' is not filled")
+        return int(length)
 
     @staticmethod
     def _members(fields) -> list[tuple[str, object]]:
@@ -228,9 +362,8 @@ class Layout:
         if isinstance(kind, str):
             return WIDTH.get(kind)
         if "array" in kind:
-            inner, count = kind["array"]
-            size = self.width(inner)
-            return None if size is None else size * int(count)
+            size = self.width(kind["array"][0])
+            return None if size is None else size * self._length(kind)
         if "defined" in kind:
             body = self._definition(kind)
             if body["kind"] == "type":
@@ -249,7 +382,7 @@ class Layout:
         if "coption" in kind or "vec" in kind:
             return LENGTH_BYTES
         if "array" in kind:
-            return self.smallest(kind["array"][0]) * int(kind["array"][1])
+            return self.smallest(kind["array"][0]) * self._length(kind)
         body = self._definition(kind)
         if body["kind"] == "type":
             return self.smallest(body["alias"])
@@ -286,7 +419,7 @@ class Layout:
             return let(self._count(inner, p, at),
                        lambda n: self._advance_many(inner, n, p, at + LENGTH_BYTES))
         if "array" in kind:
-            return self._advance_many(kind["array"][0], f"{int(kind['array'][1])}L", p, at)
+            return self._advance_many(kind["array"][0], f"{self._length(kind)}L", p, at)
         body = self._definition(kind)
         if body["kind"] == "type":
             return self.advance(body["alias"], p, at)
@@ -351,6 +484,8 @@ class Layout:
             return f"try_cast({_conv(p, at, 8)} AS DECIMAL(20,0))"
         if kind in ("u128", "i128"):
             return _wide(p, at, kind == "i128")
+        if kind in ("u256", "i256"):
+            return _quad(p, at, kind == "i256")
         if kind in ("f32", "f64"):
             return _float(p, at, WIDTH[kind])
         if kind == "pubkey":
@@ -373,7 +508,7 @@ class Layout:
         if "vec" in kind:
             return self._json_vector(kind["vec"], p, at)
         if "array" in kind:
-            return self._json_many(kind["array"][0], f"{int(kind['array'][1])}L", p, at)
+            return self._json_many(kind["array"][0], f"{self._length(kind)}L", p, at)
         body = self._definition(kind)
         if body["kind"] == "type":
             return self.json_text(body["alias"], p, at)
@@ -396,6 +531,8 @@ class Layout:
             return f"concat('\"', string({value}), '\"')"
         if kind in ("u128", "i128"):
             return f"concat('\"', {_wide_text(value)}, '\"')"
+        if kind in ("u256", "i256"):
+            return f"concat('\"', {_quad_text(value)}, '\"')"
         if kind == "string":
             return let(f"to_json(array({value}))", lambda t: f"substring({t}, 2, length({t}) - 2)")
         if kind in ("f32", "f64"):

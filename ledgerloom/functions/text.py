@@ -88,7 +88,24 @@ def quotient_text(negative: Column, high: Column, low: Column, count: Column) ->
     from the leading groups of both operands. All steps are exact.
     """
     n = count.cast("decimal(19,0)")
-    shown = wide.digits(high, low)
+    whole_hi = wide.int_div(high, n)
+    rest = (high % n).cast("decimal(38,0)") * wide.dec(wide.BASE) + low
+    rest = rest.cast("decimal(38,0)")
+    whole_lo = wide.int_div(rest, n)
+    one_more = wide.carry(whole_hi, whole_lo + 1)
+    return rounded_quotient(
+        negative, wide.digits(high, low), n, wide.digits(whole_hi, whole_lo), wide.digits(*one_more),
+        (rest % n).cast("decimal(38,0)"),
+    )
+
+
+def rounded_quotient(
+    negative: Column, shown: Column, n: Column, whole: Column, one_more: Column, rest: Column
+) -> Column:
+    """Text of a quotient from the digits of its dividend, its whole part and what is left over.
+
+    `one_more` holds the digits of the whole part plus one, for decimals that round up to it.
+    """
     weight, first = _leading_group(shown)
     n_weight, n_first = _leading_group(n.cast("string"))
     scale = F.greatest(
@@ -96,14 +113,6 @@ def quotient_text(negative: Column, high: Column, low: Column, count: Column) ->
         MIN_SIGNIFICANT_DIGITS
         - DIGITS_PER_GROUP * (weight - n_weight - F.when(first <= n_first, 1).otherwise(0)),
     )
-
-    whole_hi = wide.int_div(high, n)
-    rest = (high % n).cast("decimal(38,0)") * wide.dec(wide.BASE) + low
-    rest = rest.cast("decimal(38,0)")
-    whole_lo = wide.int_div(rest, n)
-    rest = (rest % n).cast("decimal(38,0)")
-    whole = wide.digits(whole_hi, whole_lo)
-
     parts = []
     for _ in range(_FRACTION_STEPS):
         rest = (rest * wide.dec(10**_FRACTION_STEP)).cast("decimal(38,0)")
@@ -120,14 +129,12 @@ def quotient_text(negative: Column, high: Column, low: Column, count: Column) ->
     grew = up & (
         F.length((F.coalesce(kept.try_cast("decimal(38,0)"), F.lit(0)) + 1).cast("string")) > scale
     )
-    one_more_hi, one_more_lo = wide.carry(whole_hi, whole_lo + 1)
-    whole_shown = F.when(grew, wide.digits(one_more_hi, one_more_lo)).otherwise(whole)
     decimals = (
         F.when(grew, F.repeat(F.lit("0"), scale)).when(up, kept_up).otherwise(kept)
     )
-    sign = F.when(negative & ((whole_hi > 0) | (whole_lo > 0) | (fraction != "0" * 36)), "-")
+    sign = F.when(negative & ((whole != "0") | (fraction != "0" * 36)), "-")
     return F.concat(
         F.coalesce(sign, F.lit("")),
-        whole_shown,
+        F.when(grew, one_more).otherwise(whole),
         F.when(scale > 0, F.concat(F.lit("."), decimals)).otherwise(F.lit("")),
     )

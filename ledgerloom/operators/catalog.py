@@ -8,13 +8,13 @@ program a plan is built for (a document of a few kilobytes).
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions import text, wide
+from ledgerloom.functions import quad, text, wide
 from ledgerloom.functions.borsh import Layout, defined_name
 from ledgerloom.sources import schemas
 from ledgerloom.sources.readers import read_idl
@@ -27,12 +27,13 @@ SQL_TYPES = {
     "u32": "INTEGER", "i32": "INTEGER",
     "u64": "BIGINT", "i64": "BIGINT",
     "u128": "NUMERIC(39,0)", "i128": "NUMERIC(39,0)",
+    "u256": "NUMERIC(78,0)", "i256": "NUMERIC(78,0)",
     "f32": "REAL", "f64": "DOUBLE PRECISION",
     "string": "TEXT", "pubkey": "VARCHAR(44)", "bytes": "BYTEA",
 }
 NESTED_TYPE = "JSONB"
 PLAIN_ENUM_TYPE = "TEXT"
-NUMERIC_TYPES = ["SMALLINT", "INTEGER", "BIGINT", "REAL", "DOUBLE PRECISION", "NUMERIC(39,0)"]
+NUMERIC_TYPES = ["SMALLINT", "INTEGER", "BIGINT", "REAL", "DOUBLE PRECISION", "NUMERIC(39,0)", "NUMERIC(78,0)"]
 SCALAR_TYPES = ["BOOLEAN", "TEXT", "VARCHAR(44)"]
 
 # Spark types wide enough for every value; the unsigned ones are one size up.
@@ -43,6 +44,7 @@ SPARK_TYPES = {
     "u32": T.LongType(), "i64": T.LongType(),
     "u64": T.DecimalType(20, 0),
     "u128": wide.WIDE, "i128": wide.WIDE,
+    "u256": quad.QUAD, "i256": quad.QUAD,
     "f32": T.FloatType(), "f64": T.DoubleType(),
     "string": T.StringType(), "pubkey": T.StringType(), "bytes": T.BinaryType(),
 }
@@ -114,6 +116,37 @@ class Program:
     instructions: dict[str, list[Field]]
     accounts: dict[str, list[Field]]
     account_names: list[str] = field(default_factory=list)
+    #: (first slot, interface) of each version, oldest first; empty if there is but one.
+    versions: list[tuple[int | None, Program]] = field(default_factory=list)
+
+    @classmethod
+    def merged(cls, versions: list[tuple[int | None, Program]]) -> Program:
+        """Several versions of one interface as one, with tables wide enough for all of them.
+
+        A version is in force from its first slot to the next version's; the one without
+        a first slot comes before all others. A column that a version lacks is nullable,
+        and a type may only grow (see `WIDER`).
+        """
+        versions = sorted(versions, key=lambda v: (v[0] is not None, v[0] or 0))
+        parts = [p for _, p in versions]
+        if len({p.program_id for p in parts}) != 1:
+            raise ValueError("Versions must be of one program")
+        if len({first for first, _ in versions}) != len(versions):
+            raise ValueError("Two versions begin at the same slot")
+        names = list(dict.fromkeys(n for p in parts for n in p.account_names))
+        return cls(
+            parts[-1].program_id, parts[-1].types,
+            _merged_tables([p.instructions for p in parts], "ix"), _merged_tables([p.accounts for p in parts], "acct"),
+            names, versions if len(versions) > 1 else [],
+        )
+
+    def in_force(self) -> list[tuple[int | None, int | None, Program]]:
+        """(first slot, slot before which it ends, interface) of each version."""
+        if not self.versions:
+            return [(None, None, self)]
+        ends = [first for first, _ in self.versions[1:]] + [None]
+        # Slots before the first version belong to it.
+        return [(first if k else None, end, p) for k, ((first, p), end) in enumerate(zip(self.versions, ends, strict=True))]
 
     @classmethod
     def from_idl(cls, document: str | dict) -> Program:
@@ -124,7 +157,11 @@ class Program:
                 raise ValueError(f"Failed to parse IDL JSON: {error}") from error
         if not document.get("address"):
             raise ValueError("IDL has no program address")
-        types = {t["name"]: t["type"] for t in document.get("types") or []}
+        # A definition keeps the type parameters that stand beside it.
+        types = {
+            t["name"]: t["type"] | ({"generics": t["generics"]} if t.get("generics") else {})
+            for t in document.get("types") or []
+        }
         accounts = {}
         for account in document.get("accounts") or []:
             body = types.get(account["name"])
@@ -186,6 +223,53 @@ class Program:
         return _discriminators(spark, self.account_names, text.ACCOUNT_SPACE)
 
 
+# Types a column may grow through from one version to the next.
+WIDER = [
+    [T.ShortType(), T.IntegerType(), T.LongType(), T.DecimalType(20, 0)],
+    [T.FloatType(), T.DoubleType()],
+]
+
+
+def _wider(one: Field, other: Field) -> Field | None:
+    """The field whose type holds the values of both."""
+    if one.spark_type == other.spark_type:
+        return other
+    for chain in WIDER:
+        if one.spark_type in chain and other.spark_type in chain:
+            return max(one, other, key=lambda f: chain.index(f.spark_type))
+    return None
+
+
+def _merged_tables(tables: list[dict[str, list[Field]]], prefix: str) -> dict[str, list[Field]]:
+    out = {}
+    for name in dict.fromkeys(n for t in tables for n in t):
+        own = [t[name] for t in tables if name in t]
+        merged: dict[str, Field] = {}
+        for fields in own:
+            for f in fields:
+                held = merged.get(f.column, f)
+                wide_enough = _wider(held, f)
+                if wide_enough is None:
+                    change = f"{held.spark_type.simpleString()} -> {f.spark_type.simpleString()}"
+                    raise ValueError(f"The interface changed stored columns: {prefix}_{text.snake_name(name)}.{f.column}: {change}")
+                merged[f.column] = replace(wide_enough, nullable=held.nullable or f.nullable)
+        everywhere = set.intersection(*({f.column for f in fields} for fields in own))
+        out[name] = [f if f.column in everywhere else replace(f, nullable=True) for f in merged.values()]
+    return out
+
+
+def widened(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of one version in the columns of all: grown types, and nulls for what it lacks."""
+    have = {f.name: f.dataType for f in rows.schema.fields}
+    columns = []
+    for f in schema.fields:
+        if f.name not in have:
+            columns.append(F.lit(None).cast(f.dataType).alias(f.name))
+        else:
+            columns.append(F.col(f.name) if have[f.name] == f.dataType else F.col(f.name).cast(f.dataType).alias(f.name))
+    return rows.select(*columns)
+
+
 def _schema(base, fields) -> T.StructType:
     return T.StructType(base + [T.StructField(f.column, f.spark_type, f.nullable) for f in fields])
 

@@ -27,17 +27,47 @@ def match_instructions(flat: DataFrame, program: Program, on_error: str = "quara
     The base58 step is the only Python in the path. The lookup table has one row
     per instruction of a single interface, which bounds the broadcast.
     """
-    names = program.discriminators(flat.sparkSession).withColumnRenamed("name", "instruction")
-    payload = base58_to_bytes("data")
-    decoded = flat.withColumn("payload", payload)
+    decoded = flat.withColumn("payload", base58_to_bytes("data"))
     if on_error == "fail":
         message = F.concat(F.lit("Instruction data is not base58 in transaction "), F.col("tx_signature"))
         bad = F.col("data").isNotNull() & F.col("payload").isNull()
         decoded = decoded.withColumn("payload", F.when(bad, F.raise_error(message)).otherwise(F.col("payload")))
-    keyed = decoded.withColumn("disc", payload_discriminator(F.col("payload")))
+    return match_payloads(decoded, program)
+
+
+def match_payloads(rows: DataFrame, program: Program) -> DataFrame:
+    """Add `disc` and `instruction` to rows whose payload is decoded already."""
+    names = program.discriminators(rows.sparkSession).withColumnRenamed("name", "instruction")
+    keyed = rows.withColumn("disc", payload_discriminator(F.col("payload")))
     return keyed.join(F.broadcast(names), "disc", "left")
 
 
+PLACED = ("slot", "tx_signature", "tx_pos", "ix_ordinal", "signer")
+
+
+def unknown_payloads(matched: DataFrame) -> DataFrame:
+    """Payloads without a known instruction, with their place, so that they can be tried again."""
+    reason = F.when(F.col("payload").isNull(), "bad_encoding").otherwise("unknown_discriminator")
+    return matched.where("instruction IS NULL").select(
+        *PLACED, reason.alias("reason"), F.col("disc").alias("detail"), "payload"
+    )
+
+
+def short_payloads(matched: DataFrame, program: Program, name: str) -> DataFrame:
+    """Payloads of one instruction that are shorter than its layout, with their place."""
+    frame, whole = whole_payloads(matched, program, name)
+    return frame.where(~whole).select(
+        *PLACED, F.lit("decode_error").alias("reason"), F.lit(name).alias("detail"), "payload"
+    )
+
+
+def whole_payloads(matched: DataFrame, program: Program, name: str) -> tuple[DataFrame, Column]:
+    """Payloads of one instruction, and the condition that they hold all of its arguments."""
+    own = matched.where(F.col("instruction") == name)
+    frame, _, whole = decode_fields(own, program, program.instructions[name])
+    return frame, whole
+
+
 def decode_fields(
     frame: DataFrame,
     program: Program,
@@ -104,18 +134,10 @@ def decode_instructions(
 
 
 def unknown_instructions(matched: DataFrame) -> DataFrame:
-    """Instructions of the program whose payload matches no discriminator."""
-    reason = F.when(F.col("payload").isNull(), "bad_encoding").otherwise("unknown_discriminator")
-    return matched.where("instruction IS NULL").select(
-        "slot", "tx_signature", reason.alias("reason"),
-        F.col("disc").alias("detail"),
-    )
+    """Rejects: instructions of the program whose payload matches no discriminator."""
+    return unknown_payloads(matched).select("slot", "tx_signature", "reason", "detail")
 
 
 def decode_rejects(matched: DataFrame, program: Program, name: str) -> DataFrame:
-    """Payloads of one instruction that are shorter than its layout."""
-    own = matched.where(F.col("instruction") == name)
-    frame, _, whole = decode_fields(own, program, program.instructions[name])
-    return frame.where(~whole).select(
-        "slot", "tx_signature", F.lit("decode_error").alias("reason"), F.lit(name).alias("detail")
-    )
+    """Rejects: payloads of one instruction that are shorter than its layout."""
+    return short_payloads(matched, program, name).select("slot", "tx_signature", "reason", "detail")

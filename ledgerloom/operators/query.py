@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions import text, wide
+from ledgerloom.functions import quad, text, wide
 from ledgerloom.operators.catalog import Field, Program
 from ledgerloom.sources.tables import Tables
 
@@ -36,7 +36,10 @@ _RANGES = {
     T.LongType(): (-(2**63), 2**63 - 1),
     T.DecimalType(20, 0): (0, 10**20 - 1),
     wide.WIDE: (-(2**127), 2**128 - 1),
+    quad.QUAD: (-(2**255), 2**256 - 1),
 }
+# Integers kept in limbs, and how they are written.
+_LIMBS = {wide.WIDE: wide, quad.QUAD: quad}
 
 
 class QueryError(ValueError):
@@ -137,8 +140,8 @@ def _whole_bound(column: Column, spark_type, operator: str, value: Decimal) -> C
         return F.lit(operator == "lte") & column.isNotNull()
     if bound < low:
         return F.lit(operator == "gte") & column.isNotNull()
-    if spark_type == wide.WIDE:
-        return _compare(column, operator, wide.literal(bound))
+    if spark_type in _LIMBS:
+        return _compare(column, operator, _LIMBS[spark_type].literal(bound))
     return _compare(column, operator, F.lit(Decimal(bound)).cast(spark_type))
 
 
@@ -168,9 +171,7 @@ def _slot_condition(operator: str, value: int) -> Column:
     return _whole_bound(F.col("slot"), T.LongType(), operator, Decimal(value))
 
 
-def _filtered(
-    tables: Tables, name: str, fields: dict[str, Field], query, filters, low, high
-) -> DataFrame:
+def _conditions(fields: dict[str, Field], query, filters, low, high) -> list[Column]:
     conditions = []
     if query.get("signer"):
         conditions.append(F.col("signer") == query["signer"])
@@ -180,7 +181,10 @@ def _filtered(
         conditions.append(_slot_condition("gte", low))
     if high is not None:
         conditions.append(_slot_condition("lte", high))
-    conditions += [_arg_condition(fields, f) for f in filters]
+    return conditions + [_arg_condition(fields, f) for f in filters]
+
+
+def _filtered(tables: Tables, name: str, conditions: list[Column], low, high) -> DataFrame:
     frame = tables.instruction(name, low, high)
     for condition in conditions:
         frame = frame.where(condition)
@@ -195,8 +199,8 @@ def as_text(frame: DataFrame) -> DataFrame:
     columns = []
     for field in frame.schema.fields:
         column = F.col(f"`{field.name}`")
-        if field.dataType == wide.WIDE:
-            column = wide.text(column)
+        if field.dataType in _LIMBS:
+            column = _LIMBS[field.dataType].text(column)
         elif isinstance(field.dataType, (T.LongType, T.DecimalType)):
             column = column.cast("string")
         columns.append(column.alias(field.name))
@@ -208,14 +212,17 @@ def list_instructions(
 ) -> DataFrame:
     """The newest (or oldest) rows of an instruction that pass the filters.
 
-    Sort and limit become one top-k per partition and a merge of those.
+    Sort and limit become one top-k per partition and a merge of those, over the part
+    of the slots that the tables find to hold that many rows.
     """
     query = query or {}
     fields = _fields(program, name)
     limit, ascending = _limit(query), _ascending(query)
     filters = _arg_filters(query)
     low, high = _slot(query, "from_slot"), _slot(query, "to_slot")
-    frame = _filtered(tables, name, fields, query, filters, low, high)
+    conditions = _conditions(fields, query, filters, low, high)
+    low, high = tables.nearest(name, low, high, conditions, limit, ascending)
+    frame = _filtered(tables, name, conditions, low, high)
     keys = [c for c in ("slot", "_tx_pos", "_ix_ordinal") if c in frame.columns]
     # Feed positions count from the newest entry, so within a slot they run backwards.
     newest = {"_tx_pos": not ascending}
@@ -243,12 +250,17 @@ def _metric(metric: str, fields: dict[str, Field], name: str | None) -> Column:
         return _float_metric(metric, column, found)
     if metric in ("min", "max"):
         best = F.min(column) if metric == "min" else F.max(column)
-        return wide.text(best) if found.spark_type == wide.WIDE else best.cast("string")
+        return _LIMBS[found.spark_type].text(best) if found.spark_type in _LIMBS else best.cast("string")
     if found.spark_type == wide.WIDE:
         hi, lo = wide.sums(column)
         if metric == "sum":
             return F.coalesce(wide.pair_text(hi, lo), F.lit("0"))
         return text.quotient_text(*wide.magnitude(hi, lo), F.nullif(F.count(column), F.lit(0)))
+    if found.spark_type == quad.QUAD:
+        total = quad.sums(column)
+        if metric == "sum":
+            return F.coalesce(quad.limbs_text(total), F.lit("0"))
+        return quad.quotient_text(total, F.nullif(F.count(column), F.lit(0)))
     # Summed as decimals: a sum of bigints would overflow.
     total = F.sum(column.cast("decimal(20,0)"))
     if metric == "sum":
@@ -289,7 +301,7 @@ def aggregate(
         raise QueryError("group_by must be 'signer'")
     filters = _arg_filters(query)
     low, high = _slot(query, "from_slot"), _slot(query, "to_slot")
-    frame = _filtered(tables, name, fields, query, filters, low, high)
+    frame = _filtered(tables, name, _conditions(fields, query, filters, low, high), low, high)
     value = _metric(metric, fields, query.get("field")).alias("value")
     if not group_by:
         return frame.agg(value)
@@ -326,7 +338,11 @@ def envelope(result: DataFrame, program: Program, name: str, query: Mapping[str,
 
 
 def _per_signer(tables: Tables, program: Program) -> DataFrame:
-    """Counts per (instruction, signer): the one pass both statistics build on."""
+    """Counts per (instruction, signer): the one pass both statistics build on. Tables that
+    keep such counts are not read themselves."""
+    kept = tables.signer_counts(program)
+    if kept is not None:
+        return kept
     return (
         tables.signers(program)
         .groupBy("instruction", "signer")

@@ -16,13 +16,15 @@ import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import suppress
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators import coverage
 from ledgerloom.operators.catalog import Program
 from ledgerloom.operators.selection import exclude_done
 from ledgerloom.sources.tables import union_signers
@@ -30,16 +32,28 @@ from ledgerloom.sources.tables import union_signers
 SLOTS_PER_BUCKET = 100_000
 COMMITS = (
     "program_id string, run string, batch_id bigint, batch string, contiguous boolean, "
-    "last_whole_slot bigint, retired array<string>, committed_at timestamp"
+    "last_whole_slot bigint, from_slot bigint, to_slot bigint, retired array<string>, counted boolean, "
+    "committed_at timestamp"
 )
 COMPACTION = "_compaction"
+SMALL_BYTES = 256 << 20
 # Columns that requests look single values up by; their files carry bloom filters.
 LOOKUPS = ("tx_signature", "signer")
 PROCESSED = "program_id string, tx_signature string, slot bigint"
 UNRESOLVED = "signature string, slot bigint, feed_pos bigint"
 REJECTS = "slot bigint, tx_signature string, reason string, detail string"
-PROGRAMS = "program_id string, idl string, written_at timestamp"
-SERVICE_TABLES = {"_processed": PROCESSED, "_unresolved": UNRESOLVED, "_rejects": REJECTS}
+# Instructions that gave no row, with what a later interface needs to try them again.
+UNDECODED = (
+    "slot bigint, tx_signature string, tx_pos bigint, ix_ordinal int, signer string, reason string, detail string, payload binary"
+)
+REPLAYED = "slot bigint, tx_signature string, ix_ordinal int"
+# Partial statistics: rows and newest slot of each instruction and signer of a batch.
+STATS = "instruction string, signer string, rows bigint, slot bigint"
+PROGRAMS = "program_id string, idl string, from_slot bigint, written_at timestamp"
+SERVICE_TABLES = {
+    "_processed": PROCESSED, "_unresolved": UNRESOLVED, "_rejects": REJECTS, "_undecoded": UNDECODED,
+    "_replayed": REPLAYED, "_stats": STATS,
+}
 
 
 def _files(spark: SparkSession, path: str):
@@ -58,28 +72,51 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
 # -- program registry ----------------------------------------------------
 
 
-def upsert_program(spark: SparkSession, root: str, program_id: str, idl: str) -> None:
-    """Add an interface version to the log; readers see the latest one."""
-    row = spark.createDataFrame([(program_id, idl)], "program_id string, idl string")
+def upsert_program(spark: SparkSession, root: str, program_id: str, idl: str, from_slot: int | None = None) -> None:
+    """Add an interface to the log; readers see the latest one. With from_slot it is a version
+    of its own, in force from that slot on."""
+    row = spark.createDataFrame([(program_id, idl, from_slot)], "program_id string, idl string, from_slot bigint")
     row.withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
         f"{root}/_programs"
     )
 
 
+def forget_programs(spark: SparkSession, root: str, program_ids: list[str]) -> None:
+    """Mark programs as gone, all in one write. What the log says of them before no longer counts."""
+    rows = spark.createDataFrame([(p, None, None) for p in program_ids], "program_id string, idl string, from_slot bigint")
+    rows.withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/_programs")
+
+
+def _held(log: DataFrame) -> DataFrame:
+    """The entries of a log since its program was marked as gone, if it ever was."""
+    gone = F.max(F.when(F.col("idl").isNull(), F.col("written_at"))).over(Window.partitionBy("program_id"))
+    return log.withColumn("_gone", gone).where("idl IS NOT NULL AND (_gone IS NULL OR written_at > _gone)").drop("_gone")
+
+
+def program_versions(log: DataFrame) -> DataFrame:
+    """(program_id, from_slot, idl): the latest interface of each version."""
+    return _held(log).groupBy("program_id", "from_slot").agg(F.max_by("idl", "written_at").alias("idl"))
+
+
 def latest_programs(log: DataFrame) -> DataFrame:
-    """One row per program: newest interface, first and last time it was written."""
-    return log.groupBy("program_id").agg(
+    """One row per program: newest interface, first and last time it was written. A program
+    marked as gone (without an interface) is none until it is written again."""
+    return _held(log).groupBy("program_id").agg(
         F.max_by("idl", "written_at").alias("idl"),
         F.min("written_at").alias("created_at"),
         F.max("written_at").alias("updated_at"),
     )
 
 
-def programs(spark: SparkSession, root: str) -> DataFrame:
+def program_log(spark: SparkSession, root: str) -> DataFrame:
     files, target = _files(spark, f"{root}/_programs")
     if not files.exists(target):
-        return latest_programs(spark.createDataFrame([], PROGRAMS))
-    return latest_programs(spark.read.schema(PROGRAMS).parquet(f"{root}/_programs"))
+        return spark.createDataFrame([], PROGRAMS)
+    return spark.read.schema(PROGRAMS).parquet(f"{root}/_programs")
+
+
+def programs(spark: SparkSession, root: str) -> DataFrame:
+    return latest_programs(program_log(spark, root))
 
 
 def stored_program(spark: SparkSession, root: str) -> DataFrame:
@@ -99,18 +136,22 @@ def checkpoints(commits: DataFrame) -> DataFrame:
 
 
 def first_commits(commits: DataFrame) -> DataFrame:
-    """One attempt per (run, batch_id), should two ever have been committed."""
-    return commits.groupBy("program_id", "run", "batch_id").agg(
-        F.min_by("batch", F.struct("committed_at", "batch")).alias("batch")
+    """One attempt per (run, batch_id), should two ever have been committed. Only what
+    this one says counts: what another one retired was not copied by it."""
+    said = ["batch", *(c for c in ("retired",) if c in commits.columns)]
+    first = F.min_by(F.struct(*said), F.struct("committed_at", "batch")).alias("first")
+    return commits.groupBy("program_id", "run", "batch_id").agg(first).select(
+        "program_id", "run", "batch_id", *(F.col(f"first.{c}").alias(c) for c in said)
     )
 
 
 def live_batches(commits: DataFrame) -> DataFrame:
     """Committed batches that no compaction has replaced."""
-    live = first_commits(commits).select("batch")
+    first = first_commits(commits)
+    live = first.select("batch")
     if "retired" not in commits.columns:
         return live
-    return live.join(commits.select(F.explode("retired").alias("batch")), "batch", "left_anti")
+    return live.join(first.select(F.explode("retired").alias("batch")), "batch", "left_anti")
 
 
 def visible(frame: DataFrame, commits: DataFrame) -> DataFrame:
@@ -119,6 +160,11 @@ def visible(frame: DataFrame, commits: DataFrame) -> DataFrame:
     return frame.join(live_batches(commits), "batch", "left_semi")
 
 
+def merged_stats(partials: DataFrame) -> DataFrame:
+    """Partial statistics of several batches as one row per instruction and signer."""
+    return partials.groupBy("instruction", "signer").agg(F.sum("rows").alias("rows"), F.max("slot").alias("slot"))
+
+
 # -- one program's tables ------------------------------------------------
 
 
@@ -152,26 +198,55 @@ class Store:
             files, target = _files(self.spark, f"{self.home}/{name}")
             files.mkdirs(target)
 
-    def open(self, idl: str, reset: bool = False) -> None:
+    def open(self, idl: str, reset: bool = False, from_slot: int | None = None) -> None:
         """Register the interface and make its tables.
 
+        With `from_slot` it is a version of its own, in force from that slot on: what is
+        older is still decoded by the versions before it, the tables get the columns of
+        all versions, and types may only grow. A store of several versions is opened with
+        any of them.
+
         A folder serves one program at a time. Starting over with another one deletes
-        the old programs' tables and the registry, nothing else that lies there, and
-        only with reset=True. A new interface of the same program must leave the
-        columns of existing tables as they are.
+        the old programs' tables, nothing else that lies there, and only with reset=True.
+        The old programs are marked as gone first, in one write, so a crash leaves either
+        them or nothing of them to readers; the next opening deletes what is left. A new
+        interface of the same program must leave the columns of existing tables as they
+        are.
         """
         known = programs(self.spark, self.root)
-        other = [r.program_id for r in known.where(F.col("program_id") != self.program.program_id).select("program_id").collect()]
+        foreign = F.col("program_id") != self.program.program_id
+        other = [r.program_id for r in known.where(foreign).select("program_id").collect()]
         if other:
             if not reset:
                 raise ValueError("Another program is registered here; pass reset=True to replace it")
-            for name in [*other, "_programs"]:
-                self._drop(f"{self.root}/{name}")
-        elif not reset:
+            forget_programs(self.spark, self.root, other)
+        own = [] if reset else program_versions(program_log(self.spark, self.root)).where(~foreign).collect()
+        versions = {r.from_slot: r.idl for r in own}
+        if from_slot is not None and not versions:
+            raise ValueError("Open the store with the first version, without from_slot, before")
+        versioned = from_slot is not None or len(versions) > 1
+        if versioned and from_slot is None and idl not in versions.values():
+            raise ValueError("This store has several versions; a new one needs from_slot")
+        if versioned:
+            self._open_versions(versions, idl, from_slot)
+        elif not reset and not other:
             self._check_drift(known)
-        upsert_program(self.spark, self.root, self.program.program_id, idl)
+        logged = program_log(self.spark, self.root).where(foreign).select("program_id").distinct().collect()
+        for row in logged:
+            self._drop(f"{self.root}/{row.program_id}")
+        if from_slot is not None or not versioned:
+            upsert_program(self.spark, self.root, self.program.program_id, idl, from_slot)
         self.ensure_tables()
 
+    def _open_versions(self, versions: dict[int | None, str], idl: str, from_slot: int | None) -> None:
+        """Take on the tables of all versions; those that exist keep their columns, or grow."""
+        if from_slot is not None:
+            known = [v for v in versions if v is not None]
+            if from_slot not in versions and any(v >= from_slot for v in known):
+                raise ValueError(f"A version is in force from slot {max(known)} already")
+            versions = {**versions, from_slot: idl}
+        self.program = Program.merged([(first, Program.from_idl(json.loads(text))) for first, text in versions.items()])
+
     def _check_drift(self, known: DataFrame) -> None:
         stored = known.where(F.col("program_id") == self.program.program_id).select("idl").first()
         try:
@@ -218,6 +293,38 @@ class Store:
             frame = frame.where(F.col("slot_bucket") <= high // self.slots_per_bucket)
         return visible(frame, self.commits()).select(*self.schemas()[name].names)
 
+    def nearest(self, name: str, low: int | None, high: int | None, conditions: list[Column], limit: int,
+                ascending: bool) -> tuple[int | None, int | None]:
+        """Slot bounds inside low and high that hold the first `limit` rows of an instruction.
+
+        Buckets are looked at from the wanted end, each step with twice as many as the one
+        before, until enough rows pass the conditions: what is read is at most about twice
+        what is needed, not the whole table.
+        """
+        width, table = self.slots_per_bucket, self.program.instruction_table(name)
+        buckets = [b for b in self.buckets(table) if (low is None or b >= low // width) and (high is None or b <= high // width)]
+        buckets = buckets if ascending else buckets[::-1]
+        passed, taken = 0, 0
+        while taken < len(buckets):
+            step = buckets[taken : 2 * taken + 1]
+            taken += len(step)
+            rows = self.table(table, min(step) * width, max(step) * width + width - 1)
+            for condition in conditions:
+                rows = rows.where(condition)
+            passed += rows.limit(limit - passed).count()
+            if passed >= limit:
+                end = max(step) * width + width - 1 if ascending else min(step) * width
+                return (low, end if high is None else min(high, end)) if ascending else (end if low is None else max(low, end), high)
+        return low, high
+
+    def buckets(self, table: str) -> list[int]:
+        """The slot buckets that files of a table stand for, of whatever batch."""
+        found = set()
+        for batch in subfolders(self.spark, f"{self.home}/{table}"):
+            names = subfolders(self.spark, f"{self.home}/{table}/{batch}") if batch.startswith("batch=") else []
+            found.update(int(n.split("=", 1)[1]) for n in names if n.startswith("slot_bucket=") and n.split("=", 1)[1].lstrip("-").isdigit())
+        return sorted(found)
+
     def _stored(self, name: str) -> DataFrame:
         """All rows in a table's files, of whatever batch."""
         stored = T.StructType([*self.schemas()[name].fields, T.StructField("batch", T.StringType()),
@@ -235,8 +342,27 @@ class Store:
     def signers(self, program) -> DataFrame:
         return union_signers(self, program)
 
-    def checkpoint(self) -> DataFrame:
-        return checkpoints(self.commits())
+    def signer_counts(self, program) -> DataFrame | None:
+        """(instruction, signer, rows, latest) from what each batch counted of itself; None if
+        one of them did not, as in stores of an earlier layout."""
+        commits = self.commits()
+        uncounted = live_batches(commits).join(commits.where("counted"), "batch", "left_anti")
+        if not uncounted.isEmpty():
+            return None
+        partials = self.table("_stats").where(F.col("instruction").isin(list(program.instructions)))
+        return partials.groupBy("instruction", "signer").agg(F.sum("rows").alias("rows"), F.max("slot").alias("latest"))
+
+    def undecoded(self) -> DataFrame:
+        """Instructions that gave no row so far."""
+        return self.table("_undecoded").join(self.table("_replayed"), ["tx_signature", "ix_ordinal"], "left_anti")
+
+    def checkpoint(self, stop_at_gap: bool = False) -> DataFrame:
+        """The last whole slot; with stop_at_gap the last one before any gap is left."""
+        return coverage.whole_checkpoints(self.commits()) if stop_at_gap else checkpoints(self.commits())
+
+    def missing(self) -> DataFrame:
+        """Ranges (from_slot, to_slot] between committed ranges that no commit covers."""
+        return coverage.missing_ranges(coverage.covered_ranges(self.commits()), self.slots_per_bucket)
 
     def unresolved(self, low: int | None = None, high: int | None = None) -> DataFrame:
         """Signatures of earlier runs whose transactions had not landed then.
@@ -267,41 +393,55 @@ class Store:
 
     # upkeep
 
-    def compact(self) -> bool:
-        """Rewrite all live batches as one; False if there are fewer than two.
+    def begin_compaction(self, small_bytes: int = SMALL_BYTES) -> Compaction | None:
+        """The live batches of less than small_bytes, to be written as one; None if there
+        are fewer than two. Larger ones stay, so the store is not rewritten each time.
+
+        The names of the live batches, and the sizes of their folders, are all that
+        comes to the driver.
+        """
+        commits = self.commits()
+        live = sorted(r.batch for r in live_batches(commits).collect())
+        small = [b for b in live if self._bytes(b) < small_bytes]
+        if len(small) < 2:
+            return None
+        number = commits.where(F.col("run") == COMPACTION).select("batch_id").distinct().count()
+        return Compaction(self, number, small)
+
+    def _bytes(self, batch: str) -> int:
+        total = 0
+        for name in self.schemas():
+            files, target = _files(self.spark, f"{self.home}/{name}/batch={batch}")
+            if files.exists(target):
+                total += files.getContentSummary(target).getLength()
+        return total
+
+    def compact(self, small_bytes: int = SMALL_BYTES) -> bool:
+        """Rewrite small live batches as one; False if there are fewer than two.
 
         One commit row shows the new batch and retires the old ones together, so
         readers see equal rows before, during and after. Batches committed meanwhile
         stay as they are. Signatures that waited and have been found since are left
-        out. Ingestion may go on, but only one compaction may run at a time. The names
-        of the live batches, one for each batch since the last compaction, are all
-        that comes to the driver.
+        out. Ingestion may go on. Of compactions that overlap the first to commit
+        counts; the others change nothing.
         """
-        commits = self.commits()
-        old = sorted(r.batch for r in live_batches(commits).collect())
-        if len(old) < 2:
-            return False
-        attempt = self.attempt(COMPACTION, commits.where(F.col("run") == COMPACTION).count())
-        names = self.spark.createDataFrame([(b,) for b in old], "batch string")
-        frames = {
-            name: self._stored(name).join(names, "batch", "left_semi").drop("slot_bucket").select(*schema.names)
-            for name, schema in self.schemas().items()
-        }
-        # What is committed only grows, so an entry that is done now stays done.
-        waiting = frames["_unresolved"]
-        frames["_unresolved"] = exclude_done(waiting, self.processed(waiting), self.program.program_id)
-        attempt.write_all(frames, clustered=False)
-        attempt.commit(False, None, retired=old)
-        return True
+        compaction = self.begin_compaction(small_bytes)
+        return compaction is not None and compaction.finish()
 
     def vacuum(self, older_than_hours: float = 24) -> int:
-        """Delete the folders of batches retired at least so long ago; their number.
+        """Delete the folders of batches retired, or committed in vain, at least so long
+        ago; their number.
 
         Queries that began before a compaction may still read the old files, hence
         the delay.
         """
         due = F.col("committed_at") <= F.current_timestamp() - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(older_than_hours * 3600))
-        gone = {f"batch={r.batch}" for r in self.commits().where(due).select(F.explode("retired").alias("batch")).collect()}
+        commits = self.commits()
+        first = first_commits(commits)
+        old = commits.where(due).select("batch")
+        retired = first.join(old, "batch", "left_semi").select(F.explode("retired").alias("batch"))
+        vain = old.join(first, "batch", "left_anti")
+        gone = {f"batch={r.batch}" for r in retired.union(vain).collect()}
         deleted = 0
         for name in self.schemas():
             for folder in gone.intersection(subfolders(self.spark, f"{self.home}/{name}")):
@@ -310,6 +450,35 @@ class Store:
         return deleted
 
 
+class Compaction:
+    """One try at writing several batches as one."""
+
+    def __init__(self, store: Store, number: int, batches: list[str]):
+        self.store = store
+        self.batches = batches
+        self.attempt = store.attempt(COMPACTION, number)
+
+    def finish(self) -> bool:
+        """Write and commit; False if another compaction did so first."""
+        store = self.store
+        names = store.spark.createDataFrame([(b,) for b in self.batches], "batch string")
+        frames = {
+            name: store._stored(name).join(names, "batch", "left_semi").drop("slot_bucket").select(*schema.names)
+            for name, schema in store.schemas().items()
+        }
+        # What is committed only grows, so an entry that is done now stays done.
+        waiting = frames["_unresolved"]
+        frames["_unresolved"] = exclude_done(waiting, store.processed(waiting), store.program.program_id)
+        frames["_undecoded"] = frames["_undecoded"].join(store.table("_replayed"), ["tx_signature", "ix_ordinal"], "left_anti").select(*store.schemas()["_undecoded"].names)
+        frames["_replayed"] = frames["_replayed"].where("false")
+        frames["_stats"] = merged_stats(frames["_stats"])
+        self.attempt.write_all(frames, clustered=False)
+        uncounted = names.join(store.commits().where("counted"), "batch", "left_anti")
+        self.attempt.commit(False, None, retired=self.batches, counted=uncounted.isEmpty())
+        winner = first_commits(store.commits()).where((F.col("run") == COMPACTION) & (F.col("batch_id") == self.attempt.batch_id))
+        return winner.first().batch == self.attempt.batch
+
+
 class Attempt:
     """One try at writing a batch."""
 
@@ -318,26 +487,39 @@ class Attempt:
         self.run = run
         self.batch_id = batch_id
         self.batch = f"{run}-{batch_id}-{uuid.uuid4().hex[:8]}"
+        self._observations: dict[str, Observation] = {}
 
-    def stage(self, name: str, frame: DataFrame, by: str | None = None) -> DataFrame:
+    def stage(self, name: str, frame: DataFrame, by: str | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
         """Write an intermediate table of this attempt and read it back.
 
         Later steps start from these files: the raw rows are not read again, and a
         lost executor costs no more than its own tasks. With `by`, rows are clustered
         by that column and by slot. This is the one exchange on the way to the final
         tables; the rebalance hint splits a value that holds most of the rows and
-        packs rare ones together, so files get an even size.
+        packs rare ones together, so files get an even size. `counts` are aggregates
+        taken while the rows are written; see `counted`.
         """
         path = self._staging(name)
         if by is None:
-            frame.write.mode("errorifexists").parquet(path)
+            self._observed(name, frame, counts).write.mode("errorifexists").parquet(path)
         else:
             clustered = self._bucketed(frame).hint("rebalance", by, "slot_bucket").sortWithinPartitions(
                 by, "slot_bucket", "slot"
             )
-            clustered.drop("slot_bucket").write.mode("errorifexists").partitionBy(by).parquet(path)
+            clustered = self._observed(name, clustered.drop("slot_bucket"), counts)
+            clustered.write.mode("errorifexists").partitionBy(by).parquet(path)
         return self.store.spark.read.schema(frame.schema).parquet(path)
 
+    def _observed(self, name: str, frame: DataFrame, counts: dict[str, Column] | None) -> DataFrame:
+        if not counts:
+            return frame
+        self._observations[name] = Observation(f"{self.batch}/{name}")
+        return frame.observe(self._observations[name], *(c.alias(n) for n, c in counts.items()))
+
+    def counted(self, name: str) -> dict[str, int]:
+        """What was counted while a table was written; nothing for a table without rows' plan."""
+        return {n: v or 0 for n, v in self._observations[name].get.items()}
+
     def _bucketed(self, frame: DataFrame) -> DataFrame:
         # Whole-number division: a double would round the largest slots.
         size = F.lit(self.store.slots_per_bucket).cast("bigint")
@@ -354,12 +536,13 @@ class Attempt:
         return f"{self.store.home}/_staging/{self.batch}/{name}"
 
     def write(self, table: str, frame: DataFrame, clustered: bool = False) -> None:
-        """Write rows of a table by slot bucket. Rows read from a clustered staging
-        table are in place already; others are brought together first."""
+        """Write rows of a table by slot bucket, and count them. Rows read from a clustered
+        staging table are in place already; others are brought together first."""
         rows = self._bucketed(frame)
         if not clustered:
             rows = rows.hint("rebalance", "slot_bucket")
-        writer = rows.sortWithinPartitions("slot_bucket", "slot").write.mode("errorifexists").partitionBy("slot_bucket")
+        rows = self._observed(table, rows.sortWithinPartitions("slot_bucket", "slot"), {"rows": F.count(F.lit(1))})
+        writer = rows.write.mode("errorifexists").partitionBy("slot_bucket")
         for column in set(LOOKUPS).intersection(frame.columns):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         # The smallest filter that fits is kept, so small files stay small.
@@ -380,11 +563,30 @@ class Attempt:
             for job in jobs:
                 job.result()
 
-    def commit(self, contiguous: bool, last_whole_slot: int | None, retired: list[str] | None = None) -> None:
-        """Make the batch visible. The last write of a batch, one row in one file."""
+    def count_signers(self) -> None:
+        """Write the partial statistics of this batch, from two columns of what it has written."""
+        store, schemas = self.store, self.store.schemas()
+        own = []
+        for name in store.program.instructions:
+            table = store.program.instruction_table(name)
+            path = f"{store.home}/{table}/batch={self.batch}"
+            if self._observations.get(table) is not None and self.counted(table).get("rows"):
+                rows = store.spark.read.schema(schemas[table]).parquet(path)
+                own.append(rows.select(F.lit(name).alias("instruction"), "signer", "slot"))
+        if own:
+            rows = reduce(DataFrame.unionByName, own).groupBy("instruction", "signer")
+            self.write("_stats", rows.agg(F.count(F.lit(1)).alias("rows"), F.max("slot").alias("slot")))
+
+    def commit(self, contiguous: bool, last_whole_slot: int | None, retired: list[str] | None = None,
+               covered: tuple[int | None, int | None] = (None, None), counted: bool = False) -> None:
+        """Make the batch visible. The last write of a batch, one row in one file.
+
+        `covered` is the range (from_slot, to_slot] that a contiguous batch covers, as far
+        as it is known; see `coverage.covered_ranges`.
+        """
         row = self.store.spark.createDataFrame(
             [(self.store.program.program_id, self.run, self.batch_id, self.batch, contiguous,
-              last_whole_slot, retired)],
+              last_whole_slot, *covered, retired, counted)],
             COMMITS.rsplit(",", 1)[0],
         )
         row.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(

@@ -1,15 +1,57 @@
-"""Landed replies, feeds, notifications and interfaces as DataFrames."""
+"""Landed replies, feeds, notifications and interfaces as DataFrames.
+
+A landed line of JSON that can't be read never becomes a row. It is one reject, with its
+file and text: `unreadable_lines` finds those of a folder, and a stream of notifications
+carries them along. Files of other formats have no such lines.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import schemas
 
+CORRUPT = "_corrupt_line"
+LANDED = {
+    "transactions": schemas.TRANSACTIONS,
+    "signatures": schemas.SIGNATURES,
+    "account_infos": schemas.ACCOUNT_INFOS,
+}
+
 
 def _read(spark: SparkSession, path: str, schema: str, fmt: str) -> DataFrame:
-    return spark.read.schema(schema).format(fmt).load(path)
+    if fmt != "json":
+        return spark.read.schema(schema).format(fmt).load(path)
+    return _lines(spark, path, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    reader = spark.read.schema(f"{schema}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT)
+    return reader.json(path)
+
+
+def corrupt_detail() -> Column:
+    """Where a line that can't be read stands, and what it says."""
+    return F.to_json(F.struct(F.col("_metadata.file_path").alias("file"), F.col(CORRUPT).alias("text")))
+
+
+def unreadable_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rejects (slot, tx_signature, reason, detail) of the lines of landed JSON that can't be read.
+
+    `kind` is transactions, signatures or account_infos. Slot and signature are what the
+    line still tells, else null.
+    """
+    if kind not in LANDED:
+        raise ValueError(f"kind must be one of {', '.join(LANDED)}")
+    lines = _lines(spark, path, LANDED[kind])
+    told = {f.name for f in lines.schema}
+    signature = "signature" if "signature" in told else "tx_signature"
+    slot = F.col("slot") if "slot" in told else F.lit(None).cast("bigint")
+    return lines.where(F.col(CORRUPT).isNotNull()).select(
+        slot.alias("slot"), F.col(signature).alias("tx_signature"),
+        F.lit(f"unreadable_{kind}").alias("reason"), corrupt_detail().alias("detail"),
+    )
 
 
 def read_transactions(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -30,11 +72,20 @@ def read_account_infos(spark: SparkSession, path: str, fmt: str = "json") -> Dat
 def stream_notifications(
     spark: SparkSession, path: str, fmt: str = "json", max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Live log notifications as they land in a directory."""
-    reader = spark.readStream.schema(schemas.NOTIFICATIONS).format(fmt)
+    """Live log notifications as they land in a directory.
+
+    Of a line of JSON that can't be read nothing but `corrupt` is there: its file and text.
+    """
+    schema = f"{schemas.NOTIFICATIONS}, {CORRUPT} string" if fmt == "json" else schemas.NOTIFICATIONS
+    reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(path)
+    if fmt != "json":
+        return reader.load(path)
+    bad = F.col(CORRUPT).isNotNull()
+    told = [F.when(~bad, F.col(c)).alias(c) for c in ("context", "value", "received_at")]
+    rows = reader.option("columnNameOfCorruptRecord", CORRUPT).load(path)
+    return rows.select(*told, F.when(bad, corrupt_detail()).alias("corrupt"))
 
 
 def read_idl(spark: SparkSession, path: str) -> DataFrame:

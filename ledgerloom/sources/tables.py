@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,15 @@ class Tables(Protocol):
     def instruction(self, name: str, low: int | None = None, high: int | None = None) -> DataFrame:
         """Rows of one instruction; slot bounds allow pruning and need not be exact."""
 
+    def nearest(self, name, low, high, conditions: list[Column], limit: int, ascending: bool) -> tuple[int | None, int | None]:
+        """Slot bounds inside low and high that hold the first `limit` rows which pass."""
+
     def signers(self, program) -> DataFrame:
         """(instruction, signer, slot) over all instructions of the program."""
 
+    def signer_counts(self, program) -> DataFrame | None:
+        """(instruction, signer, rows, latest), if such counts are kept."""
+
 
 def union_signers(tables: Tables, program) -> DataFrame:
     """One branch per instruction table; each branch reads two columns."""
@@ -45,6 +51,12 @@ class FrameTables:
     def instruction(self, name, low=None, high=None) -> DataFrame:
         return self.frames[name]
 
+    def nearest(self, name, low, high, conditions, limit, ascending) -> tuple[int | None, int | None]:
+        return low, high
+
+    def signer_counts(self, program) -> DataFrame | None:
+        return None
+
     def signers(self, program) -> DataFrame:
         if self.combined is None:
             return union_signers(self, program)

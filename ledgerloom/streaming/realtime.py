@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import logging
+import threading
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ledgerloom.operators import selection as sel
 from ledgerloom.plans.ingest import catch_up, ingest, resolve
 from ledgerloom.plans.store import Store
+from ledgerloom.streaming.recent import first_of_recent
+
+log = logging.getLogger(__name__)
 
 
 def _signature():
@@ -29,10 +35,12 @@ def well_formed(notifications: DataFrame) -> DataFrame:
 
 
 def malformed(notifications: DataFrame) -> DataFrame:
-    """The rest, as rejects."""
+    """The rest, as rejects; lines that could not be read keep their file and text."""
+    corrupt = F.col("corrupt") if "corrupt" in notifications.columns else F.lit(None).cast("string")
+    reason = F.when(corrupt.isNotNull(), "unreadable_notification").otherwise("malformed_notification")
     return notifications.where(~_is_well_formed()).select(
         F.col("context.slot").alias("slot"), _signature().alias("tx_signature"),
-        F.lit("malformed_notification").alias("reason"), F.lit(None).cast("string").alias("detail"),
+        reason.alias("reason"), corrupt.alias("detail"),
     )
 
 
@@ -109,9 +117,17 @@ def follow(
     run: str,
     checkpoint: str,
     trigger: dict | None = None,
+    remember: int | None = None,
+    lanes: int = 1,
     **options,
 ) -> StreamingQuery:
-    """Start the live query. `run` and `checkpoint` belong together across restarts."""
+    """Start the live query. `run` and `checkpoint` belong together across restarts.
+
+    With `remember`, notices of the last so many signatures are dropped before they are
+    looked up (see `recent`); what is committed is left out in any case.
+    """
+    if remember:
+        notifications = first_of_recent(notifications, remember, lanes)
     return (
         notifications.writeStream.queryName(run)
         .option("checkpointLocation", checkpoint)
@@ -131,9 +147,11 @@ def catch_up_then_follow(
     checkpoint: str,
     trigger: dict | None = None,
     retry_slots: int = 1000,
+    remember: int | None = None,
+    lanes: int = 1,
     **options,
 ) -> StreamingQuery:
-    """Close the gap since the checkpoint, then follow; call again after a drop.
+    """Close the gap since the checkpoint, then follow; `keep_following` does so after each drop.
 
     The catch-up run is named by the number of commits so far, so a restart after a
     crash repeats it and a later restart begins a new one. `options` go to both.
@@ -141,5 +159,94 @@ def catch_up_then_follow(
     batches = store.commits().count()
     catch_up(store, feed(), transactions(), infos() if infos else None, f"{run}-gap-{batches}", **options)
     return follow(
-        store, notifications, transactions, infos, run, checkpoint, trigger=trigger, retry_slots=retry_slots, **options
+        store, notifications, transactions, infos, run, checkpoint, trigger=trigger, retry_slots=retry_slots,
+        remember=remember, lanes=lanes, **options
     )
+
+
+@dataclass(frozen=True)
+class Backoff:
+    """Pauses between attempts, in seconds: doubled each time, up to the longest."""
+
+    first: float = 0.25
+    longest: float = 4.0
+
+    def pause(self, failures: int) -> float:
+        # past 2**60 any first pause is beyond the longest one
+        return min(self.longest, self.first * 2 ** min(failures - 1, 60))
+
+
+class _Progress(StreamingQueryListener):
+    """Whether the followed query has finished a batch since it was started last."""
+
+    def __init__(self, name: str):
+        self.name = name
+        self.finished = threading.Event()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        if event.progress.name == self.name and event.progress.numInputRows > 0:
+            self.finished.set()
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+def keep_following(
+    store: Store,
+    feed: Callable[[], DataFrame],
+    notifications: Callable[[], DataFrame],
+    transactions: Callable[[], DataFrame],
+    infos: Callable[[], DataFrame] | None,
+    run: str,
+    checkpoint: str,
+    stop: threading.Event | None = None,
+    attempts: int | None = None,
+    backoff: Backoff = Backoff(),
+    poll_seconds: float = 1.0,
+    **options,
+) -> int:
+    """Catch up and follow, and begin again whenever the stream drops; the number of drops.
+
+    Returns when `stop` is set, or when the query ends by itself, as with the trigger
+    availableNow. Anything that fails, in the stream or in catching up, counts as a
+    drop. After `attempts` drops in a row without a finished batch between them the last
+    error is raised (None: never). A dropped batch had not been committed, so the next
+    catch-up or the replay of the batch processes it, and what is committed is left out.
+    """
+    stop = stop or threading.Event()
+    streams = store.spark.streams
+    progress = _Progress(run)
+    streams.addListener(progress)
+    drops = failures = 0
+    try:
+        while not stop.is_set():
+            progress.finished.clear()
+            try:
+                query = catch_up_then_follow(
+                    store, feed, notifications(), transactions, infos, run, checkpoint, **options
+                )
+                try:
+                    while not query.awaitTermination(poll_seconds):
+                        if stop.is_set():
+                            break
+                    else:
+                        return drops
+                finally:
+                    query.stop()
+            except Exception as error:  # whatever dropped the stream, the next attempt may succeed
+                drops += 1
+                failures = 1 if progress.finished.is_set() else failures + 1
+                if attempts is not None and failures >= attempts:
+                    raise
+                pause = backoff.pause(failures)
+                log.warning("%s dropped (%s), again in %.2f s", run, type(error).__name__, pause)
+                stop.wait(pause)
+        return drops
+    finally:
+        streams.removeListener(progress)

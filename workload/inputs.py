@@ -190,8 +190,12 @@ def _reply(signature, feed_pos, slot, keys, header, top, writable, readonly, inn
 
 def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per event; its program instruction carries the encoded event."""
+    return replies_of(table(spark, sf_dir, "events").withColumn("data", bytes_to_base58(event_payload())))
+
+
+def replies_of(rows: DataFrame) -> DataFrame:
+    """One transaction per event; its program instruction carries the column `data`."""
     user = F.concat(F.lit("user"), F.col("user_id"))
-    rows = table(spark, sf_dir, "events").withColumn("data", bytes_to_base58(event_payload()))
     return rows.select(*_reply(
         F.concat(F.lit("tx"), F.col("event_id")), -F.col("event_id"), F.col("event_id"),
         [user, F.lit(PROGRAM), F.lit("vault")], (F.lit(1), F.lit(0), F.lit(1)),
