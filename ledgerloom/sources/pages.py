@@ -130,8 +130,9 @@ class PageReader(DataSourceReader):
         numbers = [n for n in self.pages.numbers() if (newest is None or n <= newest) and (oldest is None or n >= oldest)]
         return [Page(n, self.after, self.up_to, self.limit) for n in reversed(numbers)]
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        return self.pages.entries(partition)
+    def read(self, partition: Page | None) -> Iterator[pa.RecordBatch]:
+        # without any page Spark reads one partition that is none
+        return iter(()) if partition is None else self.pages.entries(partition)
 
 
 class PageStreamReader(DataSourceStreamReader):

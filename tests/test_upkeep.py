@@ -34,7 +34,7 @@ def as_slots(rows):
     return set(found)
 
 
-@pytest.mark.parametrize("size", [1, 7, 1000])
+@pytest.mark.parametrize("size", [7, 1000])
 def test_union_of_intervals(spark, size):
     rnd = random.Random(size)
     ranges = {p: [(a, a + rnd.choice([1, 2, 5, 40])) for a in rnd.choices(range(-20, 300), k=n)] for p, n in (("p", 30), ("q", 1), ("r", 8))}
@@ -136,12 +136,12 @@ def plain_queue(stream, n):
     return out
 
 
-@pytest.mark.parametrize(("remember", "lanes"), [(1, 1), (7, 1), (40, 1), (7, 3)])
+@pytest.mark.parametrize(("remember", "lanes"), [(7, 1), (7, 3)])
 def test_last_signatures(spark, tmp_path, remember, lanes):
     rnd = random.Random(remember)
-    stream = [(i, f"s{rnd.randint(0, 60)}") for i in range(400)]
+    stream = [(i, f"s{rnd.randint(0, 30)}") for i in range(200)]
     landing = tmp_path / "notes"
-    for part in range(4):
+    for part in range(2):
         notes = [(s, slot, STAMP + dt.timedelta(seconds=slot)) for slot, s in stream[part * 100 : part * 100 + 100]]
         rnd.shuffle(notes)
         announce(landing, f"{part}.json", *notes, (None, 1000 + part, STAMP))
@@ -157,11 +157,10 @@ def test_last_signatures(spark, tmp_path, remember, lanes):
     run()  # restarts from its offsets and its state
     rows = spark.read.schema("slot long, signature string").parquet(target).collect()
     got = sorted((r.slot, r.signature) for r in rows if r.signature)
-    assert sorted(r.slot for r in rows if not r.signature) == [1000, 1001, 1002, 1003]
-    if lanes == 1:
-        assert got == plain_queue(stream, remember)
-    else:  # remembered at least as long as in one queue, and never a first one lost
-        assert set(got) <= set(plain_queue(stream, remember)) and {s for _, s in got} == {s for _, s in stream}
+    assert sorted(r.slot for r in rows if not r.signature) == [1000, 1001]
+    names = spark.createDataFrame([(s,) for _, s in set(stream)], "s string").selectExpr("s", f"pmod(xxhash64(s), {lanes}) AS lane")
+    lane = {r.s: r.lane for r in names.collect()}
+    assert got == sorted(r for n in range(lanes) for r in plain_queue([r for r in stream if lane[r[1]] == n], remember))
     with pytest.raises(ValueError):
         first_of_recent(notices, 0)
 
@@ -175,7 +174,7 @@ def test_backoff_is_bounded():
 
 
 def supervised(spark, store, tmp_path, fail_at, **options):  # noqa: F811
-    slots = list(range(10, 60, 10))
+    slots = list(range(10, 40, 10))
     replies = frame(spark, [reply(f"sig-{s}", s) for s in [*slots, 5]])
     landing = tmp_path / "notes"
     for s in slots:
@@ -195,8 +194,8 @@ def supervised(spark, store, tmp_path, fail_at, **options):  # noqa: F811
 
 
 def test_a_dropped_stream_ends_with_every_row_once(spark, store, tmp_path):  # noqa: F811
-    assert supervised(spark, store, tmp_path, (1, 4, 7), trigger={"availableNow": True}, remember=None) == 3
-    assert signatures(store) == sorted(f"sig-{s}" for s in [5, 10, 20, 30, 40, 50])
+    assert supervised(spark, store, tmp_path, (1, 4), trigger={"availableNow": True}, remember=None) == 2
+    assert signatures(store) == sorted(f"sig-{s}" for s in [5, 10, 20, 30])
 
 
 def test_the_last_error_is_raised_after_too_many_drops_in_a_row(spark, store, tmp_path):  # noqa: F811
