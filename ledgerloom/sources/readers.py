@@ -23,7 +23,8 @@ LANDED = {
 def _read(spark: SparkSession, path: str, schema: str, fmt: str) -> DataFrame:
     if fmt != "json":
         return spark.read.schema(schema).format(fmt).load(path)
-    return _lines(spark, path, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    lines = _lines(spark, path, schema)
+    return lines.where(F.col(CORRUPT).isNull() & _reads(lines.columns[0])).drop(CORRUPT)
 
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -31,6 +32,11 @@ def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return reader.json(path)
 
 
+def _reads(column: str) -> Column:
+    """Always true, but reads a column: Spark refuses plans that read nothing but corrupt lines."""
+    return F.length(F.coalesce(F.col(column).cast("string"), F.lit(""))) >= 0
+
+
 def corrupt_detail() -> Column:
     """Where a line that can't be read stands, and what it says."""
     return F.to_json(F.struct(F.col("_metadata.file_path").alias("file"), F.col(CORRUPT).alias("text")))
@@ -48,7 +54,7 @@ def unreadable_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
     told = {f.name for f in lines.schema}
     signature = "signature" if "signature" in told else "tx_signature"
     slot = F.col("slot") if "slot" in told else F.lit(None).cast("bigint")
-    return lines.where(F.col(CORRUPT).isNotNull()).select(
+    return lines.where(F.col(CORRUPT).isNotNull() & _reads(signature)).select(
         slot.alias("slot"), F.col(signature).alias("tx_signature"),
         F.lit(f"unreadable_{kind}").alias("reason"), corrupt_detail().alias("detail"),
     )

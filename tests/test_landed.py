@@ -108,8 +108,8 @@ def test_unreadable_lines_are_rejects_once(spark, store, tmp_path):  # noqa: F81
     for run in ("a", "b"):
         ing.backfill(store, entries, replies, None, run, slots=(0, 100), unreadable=bad)
     found = rejects(store)
-    assert [f[2] for f in found] == ["unreadable_transactions"] * len(found) and len(found) == 2
-    assert {f[3] for f in found} == {'{"signature":"sig-2","slot":2', '{"signature": "sig-3", "slot": "twenty"}'}
+    assert [f[2] for f in found] == ["unreadable_transactions"] * len(found) and len(found) == 3
+    assert {f[3] for f in found} == {'{"signature":"sig-2","slot":2', "null", '{"signature": "sig-3", "slot": "twenty"}'}
     assert all("1.json" in json.loads(r.detail)["file"] for r in store.table("_rejects").collect())
     assert signatures(store) == ["sig-1"] and [r.signature for r in store.unresolved().collect()] == ["sig-2"]
     with pytest.raises(ValueError):
