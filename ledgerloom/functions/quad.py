@@ -7,6 +7,8 @@ ordering, min, max and comparisons with a literal work on it unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,9 +70,23 @@ def digits(limbs: list[Column]) -> Column:
     return F.regexp_replace(text, "^0+(?=[0-9])", "")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value to a lambda variable; repeating its expression would multiply the plan's size."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _bound_limbs(limbs: list[Column], body: Callable[[list[Column]], Column]) -> Column:
+    held = F.struct(*(limb.alias(name) for limb, name in zip(limbs, LIMBS, strict=True)))
+    return _bound(held, lambda v: body([v[name] for name in LIMBS]))
+
+
+def _sized(limbs: list[Column], body: Callable[[Column, list[Column]], Column]) -> Column:
+    """What body makes of the sign and the size of a value."""
+    return _bound_limbs(limbs, lambda v: _bound_limbs(magnitude(v)[1], lambda size: body(v[0] < 0, size)))
+
+
 def limbs_text(limbs: list[Column]) -> Column:
-    negative, size = magnitude(limbs)
-    return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits(size))
+    return _sized(limbs, lambda negative, size: F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits(size)))
 
 
 def text(value: Column) -> Column:
@@ -80,12 +96,16 @@ def text(value: Column) -> Column:
 
 def quotient_text(limbs: list[Column], count: Column) -> Column:
     """Text of v / count, as `text.quotient_text` shows it; exact for counts below 10**18."""
-    negative, size = magnitude(limbs)
-    n = count.cast("decimal(18,0)")
-    whole, rest = [], None
-    for limb in size:
-        total = _decimal(limb) if rest is None else _decimal(_decimal(rest * wide.dec(BASE)) + limb)
-        whole.append(wide.int_div(total, n))
-        rest = _decimal(total % n)
-    one_more = carried([*whole[:-1], whole[-1] + 1])
-    return shown.rounded_quotient(negative, digits(size), n, digits(whole), digits(one_more), rest)
+
+    def divided(negative: Column, size: list[Column], n: Column) -> Column:
+        def step(whole: list[Column], rest: Column | None) -> Column:
+            if len(whole) == len(size):
+                return _bound_limbs(carried([*whole[:-1], whole[-1] + 1]), lambda more: shown.rounded_quotient(
+                    negative, digits(size), n, digits(whole), digits(more), rest))
+            limb = size[len(whole)]
+            total = _decimal(limb) if rest is None else _decimal(_decimal(rest * wide.dec(BASE)) + limb)
+            return _bound(total, lambda t: _bound(wide.int_div(t, n), lambda q: _bound(_decimal(t % n), lambda r: step([*whole, q], r))))
+
+        return step([], None)
+
+    return _sized(limbs, lambda negative, size: _bound(count.cast("decimal(18,0)"), lambda n: divided(negative, size, n)))
