@@ -42,7 +42,8 @@ from ledgerloom.llm.spelling import Remembered, Spelled, json_tokenizer, piece_t
 from ledgerloom.llm.tables import written
 from ledgerloom.llm.textarrays import column_bytes, gathered, give_back, ranges
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
+KNOWN_PIECES = 150_000  # of each tokenizer, twice
 LANE = 64  # consecutive ends that one gallop runs through
 SPACE = 0x20
 MARK = "▁"  # stands for a space in pieces
@@ -149,7 +150,7 @@ class Spelling:
         self.by_units = by_units  # None: pieces of a byte-level pattern
         self.names = np.array([b"%d" % i for i in range(len(tokens))], object)
         self.plain = encode
-        self.encode = Remembered(self._whole)
+        self.encode = Remembered(self._whole, KNOWN_PIECES)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         """Ids of each piece; none if their bytes are not the piece's."""

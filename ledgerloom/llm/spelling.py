@@ -84,13 +84,14 @@ class Remembered:
     are forgotten unless they were met meanwhile.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], known: int = KNOWN_PIECES):
         self.encode = encode
+        self.known = known
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) >= KNOWN_PIECES:
+        if len(self.young) >= self.known:
             self.young, self.old = {}, self.young
         found = list(map(self.young.get, texts))
         rest = [k for k, ids in enumerate(found) if ids is None]
