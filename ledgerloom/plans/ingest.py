@@ -116,6 +116,10 @@ def ingest(
     rows = attempt.stage(
         "transactions", compact(transactions, program.program_id, include_failed, on_error)
     )
+    # Every slot of this batch is known now, so its folders get their width.
+    attempt.reach(rows, "slot", "feed_slot")
+    if selected is not None:
+        attempt.reach(selected, "slot")
     seen = rows.where("first")
     frames: dict[str, DataFrame] = {
         "_processed": seen.select(
@@ -129,7 +133,9 @@ def ingest(
         )
     ]
     if more_rejects is not None:
-        rejects.append(more_rejects.select("slot", "tx_signature", "reason", "detail"))
+        more = attempt.stage("more_rejects", more_rejects.select("slot", "tx_signature", "reason", "detail"))
+        attempt.reach(more, "slot")
+        rejects.append(more)
     tables = _instruction_frames(program, attempt, rows, frames, rejects, on_error, enum_text)
     if infos is not None:
         _account_frames(program, attempt, rows, infos, frames, rejects, enum_text)
@@ -269,6 +275,7 @@ def replay(store: Store, run: str, batch_id: int = 0, enum_text: str = "object")
         return False
     program, attempt = store.program, store.attempt(run, batch_id)
     open_ = store.undecoded().where("payload IS NOT NULL").drop("reason", "detail")
+    attempt.reach(open_, "slot")
     matched = reduce(DataFrame.unionByName, [
         ins.match_payloads(_during(open_, low, high), version) for low, high, version in program.in_force()
     ])

@@ -7,7 +7,11 @@ so nothing is overwritten and a retry is safe.
 
     <root>/_programs                              interface log, all programs
     <root>/<program_id>/_commits                  one row per committed batch
-    <root>/<program_id>/<table>/batch=../slot_bucket=../part-*.parquet
+    <root>/<program_id>/<table>/batch=../slot_bucket=../last_bucket=../part-*.parquet
+
+A folder holds the slot buckets from the first to the last that it names. How many that
+are is settled for each batch, so that a table of a batch has a bounded number of folders
+however many slots the batch touches.
 """
 
 from __future__ import annotations
@@ -36,7 +40,11 @@ COMMITS = (
     "committed_at timestamp"
 )
 COMPACTION = "_compaction"
+# Folders of one table of a batch, at most.
+FOLDERS = 64
+LAST_SLOT = 2**63 - 1
 SMALL_BYTES = 256 << 20
+ANY_BYTES = 2**63 - 1
 # Columns that requests look single values up by; their files carry bloom filters.
 LOOKUPS = ("tx_signature", "signer")
 PROCESSED = "program_id string, tx_signature string, slot bigint"
@@ -160,6 +168,14 @@ def visible(frame: DataFrame, commits: DataFrame) -> DataFrame:
     return frame.join(live_batches(commits), "batch", "left_semi")
 
 
+def folder_width(lowest: int, highest: int) -> int:
+    """Buckets of a folder, a power of two, so that these buckets take no more than FOLDERS."""
+    width = 1
+    while highest // width - lowest // width >= FOLDERS:
+        width *= 2
+    return width
+
+
 def merged_stats(partials: DataFrame) -> DataFrame:
     """Partial statistics of several batches as one row per instruction and signer."""
     return partials.groupBy("instruction", "signer").agg(F.sum("rows").alias("rows"), F.max("slot").alias("slot"))
@@ -176,14 +192,18 @@ class Store:
         self.root = root
         self.program = program
         self.home = f"{root}/{program.program_id}"
-        kept = self._kept_width()
+        layout = subfolders(spark, f"{self.home}/_layout")
+        # Stores of an earlier layout have a folder for each bucket, and go on like that.
+        self.wide_folders = not layout or "wide_folders" in layout
+        kept = self._kept_width(layout)
         if kept is not None and slots_per_bucket not in (None, kept):
             raise ValueError(f"These tables have {kept} slots per bucket, not {slots_per_bucket}")
         self.slots_per_bucket = kept or slots_per_bucket or SLOTS_PER_BUCKET
 
-    def _kept_width(self) -> int | None:
+    @staticmethod
+    def _kept_width(layout: list[str]) -> int | None:
         """Bucket width of existing tables; it is part of their folder."""
-        found = [f for f in subfolders(self.spark, f"{self.home}/_layout") if f.startswith("slots_per_bucket=")]
+        found = [f for f in layout if f.startswith("slots_per_bucket=")]
         return int(found[0].split("=", 1)[1]) if found else None
 
     # schemas
@@ -194,7 +214,8 @@ class Store:
 
     def ensure_tables(self) -> None:
         """Create what is missing; running it again changes nothing."""
-        for name in [*self.schemas(), "_commits", f"_layout/slots_per_bucket={self.slots_per_bucket}"]:
+        wide = ["_layout/wide_folders"] if self.wide_folders else []
+        for name in [*self.schemas(), "_commits", *wide, f"_layout/slots_per_bucket={self.slots_per_bucket}"]:
             files, target = _files(self.spark, f"{self.home}/{name}")
             files.mkdirs(target)
 
@@ -285,50 +306,64 @@ class Store:
         return self.spark.read.schema(COMMITS).parquet(f"{self.home}/_commits")
 
     def table(self, name: str, low: int | None = None, high: int | None = None) -> DataFrame:
-        """Committed rows of a table; slot bounds prune whole buckets."""
-        frame = self._stored(name)
+        """Committed rows of a table; slot bounds prune whole folders, and keep whole buckets."""
+        frame, width = self._stored(name), self.slots_per_bucket
         if low is not None:
-            frame = frame.where(F.col("slot_bucket") >= low // self.slots_per_bucket)
+            frame = frame.where((F.col(self._last_bucket()) >= low // width) & (F.col("slot") >= low // width * width))
         if high is not None:
-            frame = frame.where(F.col("slot_bucket") <= high // self.slots_per_bucket)
+            end = min(high // width * width + width - 1, LAST_SLOT)
+            frame = frame.where((F.col("slot_bucket") <= high // width) & (F.col("slot") <= end))
         return visible(frame, self.commits()).select(*self.schemas()[name].names)
 
     def nearest(self, name: str, low: int | None, high: int | None, conditions: list[Column], limit: int,
                 ascending: bool) -> tuple[int | None, int | None]:
         """Slot bounds inside low and high that hold the first `limit` rows of an instruction.
 
-        Buckets are looked at from the wanted end, each step with twice as many as the one
-        before, until enough rows pass the conditions: what is read is at most about twice
-        what is needed, not the whole table.
+        Parts of the slots, each from one first bucket of a folder to the next, are looked
+        at from the wanted end, each step with twice as many as the one before, until enough
+        rows pass the conditions: what is read is at most about twice what is needed, not
+        the whole table.
         """
         width, table = self.slots_per_bucket, self.program.instruction_table(name)
-        buckets = [b for b in self.buckets(table) if (low is None or b >= low // width) and (high is None or b <= high // width)]
-        buckets = buckets if ascending else buckets[::-1]
+        starts = self.buckets(table)
+        ends = [b * width - 1 for b in starts[1:]] + [None]
+        parts = [(b * width, end) for b, end in zip(starts, ends)
+                 if (low is None or end is None or end >= low) and (high is None or b <= high // width)]
+        parts = parts if ascending else parts[::-1]
         passed, taken = 0, 0
-        while taken < len(buckets):
-            step = buckets[taken : 2 * taken + 1]
+        while taken < len(parts):
+            step = parts[taken : 2 * taken + 1]
             taken += len(step)
-            rows = self.table(table, min(step) * width, max(step) * width + width - 1)
+            first, last = (step[0], step[-1]) if ascending else (step[-1], step[0])
+            rows = self.table(table, first[0], last[1])
             for condition in conditions:
                 rows = rows.where(condition)
             passed += rows.limit(limit - passed).count()
+            if passed >= limit and ascending:
+                return low, last[1] if high is None else high if last[1] is None else min(high, last[1])
             if passed >= limit:
-                end = max(step) * width + width - 1 if ascending else min(step) * width
-                return (low, end if high is None else min(high, end)) if ascending else (end if low is None else max(low, end), high)
+                return first[0] if low is None else max(low, first[0]), high
         return low, high
 
     def buckets(self, table: str) -> list[int]:
-        """The slot buckets that files of a table stand for, of whatever batch."""
+        """The first slot buckets of a table's folders, of whatever batch."""
         found = set()
         for batch in subfolders(self.spark, f"{self.home}/{table}"):
             names = subfolders(self.spark, f"{self.home}/{table}/{batch}") if batch.startswith("batch=") else []
             found.update(int(n.split("=", 1)[1]) for n in names if n.startswith("slot_bucket=") and n.split("=", 1)[1].lstrip("-").isdigit())
         return sorted(found)
 
+    def folder_columns(self) -> list[str]:
+        """The columns that tell the folder of a row, of one batch."""
+        return ["slot_bucket", "last_bucket"] if self.wide_folders else ["slot_bucket"]
+
+    def _last_bucket(self) -> str:
+        return self.folder_columns()[-1]
+
     def _stored(self, name: str) -> DataFrame:
         """All rows in a table's files, of whatever batch."""
-        stored = T.StructType([*self.schemas()[name].fields, T.StructField("batch", T.StringType()),
-                               T.StructField("slot_bucket", T.LongType())])
+        folders = [T.StructField(c, T.LongType()) for c in self.folder_columns()]
+        stored = T.StructType([*self.schemas()[name].fields, T.StructField("batch", T.StringType()), *folders])
         return self.spark.read.schema(stored).parquet(f"{self.home}/{name}")
 
     def instruction(self, name, low=None, high=None) -> DataFrame:
@@ -462,10 +497,11 @@ class Compaction:
         """Write and commit; False if another compaction did so first."""
         store = self.store
         names = store.spark.createDataFrame([(b,) for b in self.batches], "batch string")
-        frames = {
-            name: store._stored(name).join(names, "batch", "left_semi").drop("slot_bucket").select(*schema.names)
-            for name, schema in store.schemas().items()
-        }
+        held = {name: store._stored(name).join(names, "batch", "left_semi") for name in store.schemas()}
+        folders = [frame.select("slot_bucket", F.col(store._last_bucket()).alias("last")) for frame in held.values()]
+        bounds = reduce(DataFrame.unionAll, folders).agg(F.min("slot_bucket"), F.max("last")).first()
+        self.attempt.widen(*bounds)
+        frames = {name: held[name].select(*schema.names) for name, schema in store.schemas().items()}
         # What is committed only grows, so an entry that is done now stays done.
         waiting = frames["_unresolved"]
         frames["_unresolved"] = exclude_done(waiting, store.processed(waiting), store.program.program_id)
@@ -488,6 +524,22 @@ class Attempt:
         self.batch_id = batch_id
         self.batch = f"{run}-{batch_id}-{uuid.uuid4().hex[:8]}"
         self._observations: dict[str, Observation] = {}
+        self._buckets: tuple[int, int] | None = None
+        self._width = 1
+
+    def widen(self, lowest: int | None, highest: int | None) -> None:
+        """Make the folders of this attempt wide enough for these slot buckets as well."""
+        if not self.store.wide_folders or lowest is None:
+            return
+        self._buckets = min(lowest, *(self._buckets or [lowest])), max(highest, *(self._buckets or [highest]))
+        self._width = folder_width(*self._buckets)
+
+    def reach(self, frame: DataFrame, *slots: str) -> None:
+        """`widen` for the rows of a frame, by the columns that hold slots."""
+        ends = [end(c) for c in slots for end in (F.min, F.max)]
+        found = [s for s in frame.agg(*ends).first() if s is not None]
+        if found:
+            self.widen(*(s // self.store.slots_per_bucket for s in (min(found), max(found))))
 
     def stage(self, name: str, frame: DataFrame, by: str | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
         """Write an intermediate table of this attempt and read it back.
@@ -506,7 +558,7 @@ class Attempt:
             clustered = self._bucketed(frame).hint("rebalance", by, "slot_bucket").sortWithinPartitions(
                 by, "slot_bucket", "slot"
             )
-            clustered = self._observed(name, clustered.drop("slot_bucket"), counts)
+            clustered = self._observed(name, clustered.drop(*self.store.folder_columns()), counts)
             clustered.write.mode("errorifexists").partitionBy(by).parquet(path)
         return self.store.spark.read.schema(frame.schema).parquet(path)
 
@@ -525,7 +577,11 @@ class Attempt:
         size = F.lit(self.store.slots_per_bucket).cast("bigint")
         slot = F.col("slot").cast("bigint")
         bucket = F.call_function("div", slot - F.pmod(slot, size), size)
-        return frame.withColumn("slot_bucket", bucket)
+        if not self.store.wide_folders:
+            return frame.withColumn("slot_bucket", bucket)
+        width = F.lit(self._width).cast("bigint")
+        first = bucket - F.pmod(bucket, width)
+        return frame.withColumns({"slot_bucket": first, "last_bucket": first + width - 1})
 
     def staged_values(self, name: str, by: str) -> list[str]:
         """Partition values of a staged table, as they were before they became folder names."""
@@ -541,8 +597,9 @@ class Attempt:
         rows = self._bucketed(frame)
         if not clustered:
             rows = rows.hint("rebalance", "slot_bucket")
-        rows = self._observed(table, rows.sortWithinPartitions("slot_bucket", "slot"), {"rows": F.count(F.lit(1))})
-        writer = rows.write.mode("errorifexists").partitionBy("slot_bucket")
+        folders = self.store.folder_columns()
+        rows = self._observed(table, rows.sortWithinPartitions(*folders, "slot"), {"rows": F.count(F.lit(1))})
+        writer = rows.write.mode("errorifexists").partitionBy(*folders)
         for column in set(LOOKUPS).intersection(frame.columns):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         # The smallest filter that fits is kept, so small files stay small.
