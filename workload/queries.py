@@ -646,7 +646,7 @@ def _ledger_store(spark, sf_dir) -> st.Store:
         part = replies.join(inp.table(spark, sf_dir, "events").where(F.col("event_type") == kind).select(
             F.concat(F.lit("tx"), "event_id").alias("signature")), "signature", "left_semi")
         ingest(store, part, None, "part", k, on_error="quarantine")
-    store.compact()
+    store.compact(small_bytes=st.ANY_BYTES)
     store.vacuum(older_than_hours=0)
     return store
 

@@ -117,9 +117,9 @@ def q_store_overlapping_compactions(spark, sf_dir):
 
     for number in range(3):
         batch(number)
-    first = store.begin_compaction()
+    first = store.begin_compaction(st.ANY_BYTES)
     batch(3)
-    second = store.begin_compaction()
+    second = store.begin_compaction(st.ANY_BYTES)
     batch(4)
     outcome = second.finish(), first.finish()
     if outcome != (True, False):
@@ -291,7 +291,7 @@ def q_store_stats_kept(spark, sf_dir):
         own = replies.where((F.col("slot") > tip * part // 4 - (part == 0)) & (F.col("slot") <= tip * (part + 1) // 4))
         ingestion.ingest(store, own, None, "part", part, on_error="quarantine")
         if part == 2:
-            store.compact()
+            store.compact(st.ANY_BYTES)
     if store.signer_counts(store.program) is None:
         raise RuntimeError("a batch did not count its signers")
     return q.instruction_stats(store, store.program)
