@@ -230,7 +230,11 @@ def q_feed_pages_between(spark, sf_dir):
     """The newest 300 entries between two signatures, from the pages between them."""
     path = shared_folder(spark, "pages")
     _paged_orders(spark, sf_dir, path)
-    return read_feed_pages(spark, path, before="ord5927", until="ord1057", limit=300).select("signature", "slot")
+    # The bounds are keys: the feed's nearest entries stand for one that it lacks.
+    key = F.col("o_orderkey")
+    ends = inp.table(spark, sf_dir, "orders").agg(F.min(F.when(key >= 5927, key)), F.max(F.when(key <= 1057, key))).first()
+    before, until = (None if end is None else f"ord{end}" for end in ends)
+    return read_feed_pages(spark, path, before=before, until=until, limit=300).select("signature", "slot")
 
 
 @register("SELECT 'ord' || o_orderkey AS signature, o_orderkey // 4 AS slot FROM orders")
