@@ -34,6 +34,10 @@ _DIGIT = np.full(256, 255, dtype=np.uint8)
 _DIGIT[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(58, dtype=np.uint8)
 _LETTER = np.frombuffer(ALPHABET.encode(), dtype=np.uint8)
 
+# Rows converted at once. The steps hold several 64-bit numbers for each byte of a row, so
+# a whole Arrow batch at once would take many times its own size.
+_ROWS = 4000
+
 
 def _flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, row starts and row lengths of a string/binary array (null: length 0)."""
@@ -132,18 +136,22 @@ def _encode(array: pa.Array) -> pa.Array:
         size = lengths[index]
         value = _right_aligned(raw, starts[index], size, width, 0)
         zeros = _leading(value, size, 0)
-        limbs = np.ascontiguousarray(value).view(">u4").reshape(len(index), -1).T.astype(np.uint64)
+        limbs = np.ascontiguousarray(np.ascontiguousarray(value).view(">u4").reshape(len(index), -1).T, dtype=np.uint64)
         count = int(np.ceil(width * 8 / np.log2(58) / _STEP))
         digits = np.zeros((count * _STEP, len(index)), dtype=np.uint8)
         for part in range(count - 1, -1, -1):
             rest = np.zeros(len(index), dtype=np.uint64)
-            for limb in range(len(limbs)):
-                current = (rest << _WORD) | limbs[limb]
-                limbs[limb] = current // _FACTOR
-                rest = current % _FACTOR
+            # Each division takes off more than 29 bits, so the leading limbs are zero by now.
+            # A remainder from the quotient is cheaper than one by division.
+            for limb in range(int((count - 1 - part) * _STEP * np.log2(58) / 32), len(limbs)):
+                rest <<= _WORD
+                rest |= limbs[limb]
+                np.floor_divide(rest, _FACTOR, out=limbs[limb])
+                rest -= limbs[limb] * _FACTOR
             for position in range(part * _STEP + _STEP - 1, part * _STEP - 1, -1):
-                digits[position] = rest % np.uint64(58)
-                rest //= np.uint64(58)
+                quotient = rest // np.uint64(58)
+                digits[position] = rest - quotient * np.uint64(58)
+                rest = quotient
         digits = digits.T
         total = digits.shape[1]
         nonzero = digits != 0
@@ -152,13 +160,20 @@ def _encode(array: pa.Array) -> pa.Array:
     return _assemble(pieces, len(array), valid, pa.string())
 
 
+def _by_parts(convert, array: pa.Array) -> pa.Array:
+    """A conversion, some rows at a time."""
+    if len(array) <= _ROWS:
+        return convert(array)
+    return pa.concat_arrays([convert(array.slice(begin, _ROWS)) for begin in range(0, len(array), _ROWS)])
+
+
 @F.arrow_udf(T.BinaryType())
 def base58_to_bytes(text: pa.Array) -> pa.Array:
     """Decoded bytes; null for null or for text outside the alphabet."""
-    return _decode(text)
+    return _by_parts(_decode, text)
 
 
 @F.arrow_udf(T.StringType())
 def bytes_to_base58(data: pa.Array) -> pa.Array:
     """Base58 text of a binary column."""
-    return _encode(data)
+    return _by_parts(_encode, data)
