@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The same rows over all cores. A table may be a few large row groups, and each of them
+    would be encoded by one task."""
+    return rows.repartition(key)
+
+
 # -- events as instruction tables ---------------------------------------
 
 EVENT_ARGS = [
@@ -190,7 +196,8 @@ def _reply(signature, feed_pos, slot, keys, header, top, writable, readonly, inn
 
 def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per event; its program instruction carries the encoded event."""
-    return replies_of(table(spark, sf_dir, "events").withColumn("data", bytes_to_base58(event_payload())))
+    events = dealt(table(spark, sf_dir, "events"), "event_id")
+    return replies_of(events.withColumn("data", bytes_to_base58(event_payload())))
 
 
 def replies_of(rows: DataFrame) -> DataFrame:
