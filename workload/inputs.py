@@ -9,6 +9,7 @@ account states and interfaces.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,12 @@ def dealt(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(key)
 
 
+def in_order(rows: DataFrame, key: str) -> DataFrame:
+    """The same rows over all cores, neighbours together: files landed from them hold few slots
+    each, as those of a landing job do, and a range of slots is found without reading the rest."""
+    return rows.repartitionByRange(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 # -- events as instruction tables ---------------------------------------
 
 EVENT_ARGS = [
@@ -95,8 +102,10 @@ def event_tables(spark: SparkSession, sf_dir: str) -> FrameTables:
 
 def le(value: Column, size: int) -> Column:
     """Little-endian bytes of a bigint as hex text."""
-    digits = F.lpad(F.hex(value.cast("bigint")), 16, "0")
-    return F.concat(*(F.substring(digits, 17 - 2 * (i + 1), 2) for i in range(size)))
+    number = value.cast("bigint")
+    byte = lambda i: F.shiftright(number, 8 * i).bitwiseAND(F.lit(255).cast("bigint"))
+    turned = reduce(Column.bitwiseOR, [F.shiftleft(byte(i), 8 * (size - 1 - i)) for i in range(size)])
+    return F.lpad(F.hex(turned), 2 * size, "0")
 
 
 def le_text(value: Column) -> Column:
@@ -142,9 +151,10 @@ def ledger_program() -> Program:
     return Program.from_idl(LEDGER_IDL)
 
 
-def event_payload() -> Column:
-    """Record of an event. k = 0 carries an unknown discriminator; k = 1 is cut short."""
-    number = k()
+def with_event_payload(events: DataFrame) -> DataFrame:
+    """Events with `payload`, their record. k = 0 carries an unknown discriminator; k = 1 is cut
+    short. What the record uses several times is a column first."""
+    number, label = F.col("_k"), F.col("_label")
     disc = F.when(number == 0, F.lit("DEADBEEFDEADBEEF")).otherwise(
         F.upper(text.discriminator(text.INSTRUCTION_SPACE, F.col("event_type")))
     )
@@ -154,8 +164,8 @@ def event_payload() -> Column:
         disc,
         le(F.col("event_id"), 8),
         le(F.col("user_id"), 4),
-        le(cents() - 5000, 8),
-        le_text(F.concat(F.col("event_type"), F.lit("-"), number)),
+        le(F.col("_delta"), 8),
+        le_text(label),
         le(F.col("event_id"), 8), le(number + 1, 8),
         note,
         F.when(number % 2 == 0, F.lit("01")).otherwise(F.lit("00")),
@@ -163,7 +173,12 @@ def event_payload() -> Column:
         le(number, 2), marks, le(F.col("event_id"), 8),
         F.when(number % 2 == 0, F.lit("00")).otherwise(F.lit("01")),
     )
-    return F.unhex(F.when(number == 1, F.substring(body, 1, 60)).otherwise(body))
+    whole = (
+        events.withColumns({"_k": k(), "_delta": cents() - 5000})
+        .withColumn("_label", F.concat(F.col("event_type"), F.lit("-"), number)).withColumn("_body", body)
+    )
+    cut = F.when(number == 1, F.substring("_body", 1, 60)).otherwise(F.col("_body"))
+    return whole.withColumn("payload", F.unhex(cut)).drop("_k", "_delta", "_label", "_body")
 
 
 def _instruction(index: Column | int, accounts: list, data: Column) -> Column:
@@ -196,8 +211,8 @@ def _reply(signature, feed_pos, slot, keys, header, top, writable, readonly, inn
 
 def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per event; its program instruction carries the encoded event."""
-    events = dealt(table(spark, sf_dir, "events"), "event_id")
-    return replies_of(events.withColumn("data", bytes_to_base58(event_payload())))
+    events = in_order(table(spark, sf_dir, "events"), "event_id")
+    return replies_of(with_event_payload(events).withColumn("data", bytes_to_base58("payload")))
 
 
 def replies_of(rows: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def q_store_versions_undecoded(spark, sf_dir):
 @register(f"{EVENTS_SQL} SELECT instruction, slot, tx_signature, CAST(slot AS VARCHAR) AS event_id, cents - 5000 AS delta, instruction AS label FROM e")
 def q_replayed(spark, sf_dir):
     """An interface that knows two of five instructions, then one that knows all: every row once."""
-    events = inp.table(spark, sf_dir, "events")
+    events = inp.in_order(inp.table(spark, sf_dir, "events"), "event_id")
     disc = F.upper(text.discriminator(text.INSTRUCTION_SPACE, F.col("event_type")))
     body = F.concat(disc, inp.le(F.col("event_id"), 8), inp.le(F.col("user_id"), 4), inp.le(inp.cents() - 5000, 8), inp.le_text(F.col("event_type")))
     replies = inp.replies_of(events.withColumn("data", bytes_to_base58(F.unhex(body))))
