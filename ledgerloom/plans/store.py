@@ -77,6 +77,13 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in files.listStatus(target) if s.isDirectory()]
 
 
+def ensure_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Make the folders that are missing, so that readers find them even without rows."""
+    for path in paths:
+        files, target = _files(spark, path)
+        files.mkdirs(target)
+
+
 # -- program registry ----------------------------------------------------
 
 
@@ -215,9 +222,8 @@ class Store:
     def ensure_tables(self) -> None:
         """Create what is missing; running it again changes nothing."""
         wide = ["_layout/wide_folders"] if self.wide_folders else []
-        for name in [*self.schemas(), "_commits", *wide, f"_layout/slots_per_bucket={self.slots_per_bucket}"]:
-            files, target = _files(self.spark, f"{self.home}/{name}")
-            files.mkdirs(target)
+        names = [*self.schemas(), "_commits", *wide, f"_layout/slots_per_bucket={self.slots_per_bucket}"]
+        ensure_folders(self.spark, [f"{self.home}/{name}" for name in names])
 
     def open(self, idl: str, reset: bool = False, from_slot: int | None = None) -> None:
         """Register the interface and make its tables.

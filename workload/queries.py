@@ -529,11 +529,25 @@ def _landed(df: DataFrame, purpose: str) -> str:
     return path
 
 
+def _landed_replies(spark, sf_dir) -> DataFrame:
+    """The transactions of all events as landed files: encoded once, however often they are read."""
+    return readers.read_transactions(spark, _landed(inp.event_transactions(spark, sf_dir), "transactions"), "parquet")
+
+
+def _landed_by_type(spark, sf_dir) -> dict[str, DataFrame]:
+    """The transactions of the events of each type, landed in one pass as a folder a type."""
+    replies, path = inp.event_transactions(spark, sf_dir), shared_folder(spark, "transactions")
+    kind = inp.table(spark, sf_dir, "events").where(F.col("event_type").isin(inp.EVENT_TYPES)).select(
+        F.concat(F.lit("tx"), "event_id").alias("signature"), F.col("event_type").alias("kind")).distinct()
+    replies.join(kind, "signature").write.partitionBy("kind").parquet(path)
+    st.ensure_folders(spark, [f"{path}/kind={name}" for name in inp.EVENT_TYPES])
+    return {name: readers.read_transactions(spark, f"{path}/kind={name}", "parquet") for name in inp.EVENT_TYPES}
+
+
 def _event_files(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The feed and the transactions of all events, through the readers."""
     feed = _landed(inp.event_feed(spark, sf_dir), "feed")
-    replies = _landed(inp.event_transactions(spark, sf_dir), "transactions")
-    return readers.read_signatures(spark, feed, "parquet"), readers.read_transactions(spark, replies, "parquet")
+    return readers.read_signatures(spark, feed, "parquet"), _landed_replies(spark, sf_dir)
 
 
 @register(_LEDGER_SQL)
@@ -641,11 +655,9 @@ def q_ingest_account_rejects(spark, sf_dir):
 
 def _ledger_store(spark, sf_dir) -> st.Store:
     """All events in many small batches, then compacted, with the old files deleted."""
-    store, replies = _new_store(spark, "ledger"), inp.event_transactions(spark, sf_dir)
+    store, parts = _new_store(spark, "ledger"), _landed_by_type(spark, sf_dir)
     for k, kind in enumerate(inp.EVENT_TYPES):
-        part = replies.join(inp.table(spark, sf_dir, "events").where(F.col("event_type") == kind).select(
-            F.concat(F.lit("tx"), "event_id").alias("signature")), "signature", "left_semi")
-        ingest(store, part, None, "part", k, on_error="quarantine")
+        ingest(store, parts[kind], None, "part", k, on_error="quarantine")
     store.compact(small_bytes=st.ANY_BYTES)
     store.vacuum(older_than_hours=0)
     return store
@@ -796,7 +808,7 @@ def _late_store(spark, sf_dir) -> st.Store:
         inp.own_notifications(rows).coalesce(1).write.parquet(f"{landing}/part={part}")
     store = _new_store(spark, "late")
     done = events.where("event_type = 'error'").select(F.concat(F.lit("tx"), "event_id").alias("signature"))
-    replies = inp.event_transactions(spark, sf_dir)
+    replies = _landed_replies(spark, sf_dir)
     ingest(store, replies.join(done, "signature", "left_semi"), None, "before", contiguous=False, on_error="quarantine")
     for part in range(2):
         notices = readers.stream_notifications(spark, f"{landing}/part={part}", "parquet")

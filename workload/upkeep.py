@@ -17,7 +17,7 @@ from ledgerloom.sources.pages import land_pages, read_feed_pages, stream_feed_pa
 from ledgerloom.streaming import realtime as rt
 from ledgerloom.streaming.recent import first_of_recent, for_list_state
 from workload import inputs as inp
-from workload.queries import _LEDGER_SQL, EVENTS_SQL, _event_files, _new_store, _store_rows, register
+from workload.queries import _LEDGER_SQL, EVENTS_SQL, _event_files, _landed_by_type, _landed_replies, _new_store, _store_rows, register
 
 # -- covered and missing slots -------------------------------------------
 
@@ -108,12 +108,10 @@ def q_fill_gaps_checkpoint(spark, sf_dir):
 @register(_LEDGER_SQL)
 def q_store_overlapping_compactions(spark, sf_dir):
     """Two compactions overlap, a batch comes between them, and retired files are deleted."""
-    store, replies = _new_store(spark, "overlap"), inp.event_transactions(spark, sf_dir)
-    events = inp.table(spark, sf_dir, "events").select("event_type", F.concat(F.lit("tx"), "event_id").alias("signature"))
+    store, parts = _new_store(spark, "overlap"), _landed_by_type(spark, sf_dir)
 
     def batch(number):
-        own = events.where(F.col("event_type") == inp.EVENT_TYPES[number])
-        ingestion.ingest(store, replies.join(own, "signature", "left_semi"), None, "part", number, on_error="quarantine")
+        ingestion.ingest(store, parts[inp.EVENT_TYPES[number]], None, "part", number, on_error="quarantine")
 
     for number in range(3):
         batch(number)
@@ -289,7 +287,7 @@ def _damaged(spark: SparkSession, sf_dir: str) -> st.Store:
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type""")
 def q_store_stats_kept(spark, sf_dir):
     """Statistics of many batches, some of them compacted, from what each batch counted."""
-    store, replies = _new_store(spark, "counted"), inp.event_transactions(spark, sf_dir)
+    store, replies = _new_store(spark, "counted"), _landed_replies(spark, sf_dir)
     tip = replies.agg(F.max("slot")).first()[0]
     for part in range(4):
         own = replies.where((F.col("slot") > tip * part // 4 - (part == 0)) & (F.col("slot") <= tip * (part + 1) // 4))
