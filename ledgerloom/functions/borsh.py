@@ -30,6 +30,8 @@ WIDTH = {
     "u8": 1, "i8": 1, "u16": 2, "i16": 2, "u32": 4, "i32": 4, "u64": 8, "i64": 8,
     "u128": 16, "i128": 16, "u256": 32, "i256": 32, "f32": 4, "f64": 8, "pubkey": 32,
 }
+# Values whose bytes an Arrow UDF converts, many rows at a time.
+_WHOLE = {"pubkey": bytes_to_base58, "u128": wide.unsigned_limbs, "i128": wide.signed_limbs}
 KEY_BYTES = 32
 LENGTH_BYTES = 4
 DEEPEST = 64  # instances of defined types inside each other
@@ -54,10 +56,25 @@ class At:
 _names = itertools.count()
 
 
+# Uses, and length of their text, up to which a value is repeated rather than bound.
+REPEATED, REPEATED_TEXT = 2, 3000
+
+
 def let(value: str, body) -> str:
-    """Bind an expression to a lambda variable; repeating it would multiply its cost."""
+    """Use an expression several times.
+
+    A lambda variable keeps its cost from multiplying, but all of a lambda is interpreted. So
+    a value that is used once, or a cheap one that is used twice, is put in place, where code
+    is generated for it; never inside a lambda, which may run once per element.
+    """
     name = f"v{next(_names)}"
-    return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
+    mark = f"\0{name}\0"
+    text = body(mark)
+    uses = text.count(mark)
+    cheap = "->" not in value and uses * len(value) <= REPEATED_TEXT
+    if "->" not in text[: text.rfind(mark) + 1] and (uses <= 1 or (uses <= REPEATED and cheap)):
+        return text.replace(mark, f"({value})")
+    return f"get(transform(array({value}), {name} -> {text.replace(mark, name)}), 0)"
 
 
 def quote(value: str) -> str:
@@ -453,14 +470,14 @@ class Layout:
     # values
 
     def column(self, kind, p: str, at: At) -> Column:
-        """The value a table column holds. Keys go through the Arrow UDF."""
+        """The value a table column holds. Keys and 128-bit integers go through Arrow UDFs."""
         inner, held = kind, []
         while isinstance(inner, dict) and "option" in inner:
             held.append(f"{_unsigned(p, at, 1)} = 1")
             inner, at = inner["option"], at + 1
-        if inner == "pubkey":
-            raw = _slice(p, at, KEY_BYTES)
-            return bytes_to_base58(F.expr(f"IF({' AND '.join(held)}, {raw}, NULL)" if held else raw))
+        if isinstance(inner, str) and inner in _WHOLE:
+            raw = _slice(p, at, WIDTH[inner])
+            return _WHOLE[inner](F.expr(f"IF({' AND '.join(held)}, {raw}, NULL)" if held else raw))
         value = self.scalar(inner, p, at)
         return F.expr(f"IF({' AND '.join(held)}, {value}, NULL)" if held else value)
 
@@ -545,18 +562,19 @@ class Layout:
     def _json_many(self, inner, count: str, p: str, at: At) -> str:
         size, step = self.width(inner), f"v{next(_names)}"
         if size is not None:
+            # One use of the count, which is never negative; a null one gives null.
             here = At(f"({at} + {step} * {size}L)")
-            texts = f"transform(sequence(0L, {count} - 1L), {step} -> {self.json_text(inner, p, here)})"
-        else:
-            acc = f"v{next(_names)}"
-            here = At(f"{acc}.at")
-            texts = (
-                f"aggregate(sequence(1L, {count}), "
-                f"named_struct('at', {at}, 'texts', cast(array() AS array<string>)), "
-                f"({acc}, {step}) -> named_struct('at', {self.advance(inner, p, here)}, "
-                f"'texts', concat({acc}.texts, array({self.json_text(inner, p, here)}))), "
-                f"{acc} -> {acc}.texts)"
-            )
+            places = f"array_repeat(0, int({count})), (_{step}, {step})"
+            return f"concat('[', array_join(transform({places} -> {self.json_text(inner, p, here)}), ','), ']')"
+        acc = f"v{next(_names)}"
+        here = At(f"{acc}.at")
+        texts = (
+            f"aggregate(sequence(1L, {count}), "
+            f"named_struct('at', {at}, 'texts', cast(array() AS array<string>)), "
+            f"({acc}, {step}) -> named_struct('at', {self.advance(inner, p, here)}, "
+            f"'texts', concat({acc}.texts, array({self.json_text(inner, p, here)}))), "
+            f"{acc} -> {acc}.texts)"
+        )
         return (f"CASE WHEN {count} = 0 THEN '[]'"
                 f" WHEN {count} > 0 THEN concat('[', array_join({texts}, ','), ']') END")
 

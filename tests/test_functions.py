@@ -163,3 +163,28 @@ def test_names(spark):
     row = spark.range(1).select(text.discriminator("global:", F.lit("deposit")),
                                 text.discriminator("account:", F.lit("VaultAccount"))).first()
     assert tuple(row) == ("f223c68952e1f2b6", "e6fbf1538bca5d1c")
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_stored_128_bits_as_limbs(signed):
+    rng = random.Random(3)
+    low, high = (-(2**127), 2**127 - 1) if signed else (0, 2**128 - 1)
+    near = [n * 10**e + d for n in (-17, -1, 0, 1, 17) for e in (0, 9, 18, 19) for d in (-1, 0, 1)]
+    values = [v for v in [low, high, *near, *(rng.randrange(low, high) >> rng.randrange(120) for _ in range(500))] if low <= v <= high]
+    stored = [None, b"", b"\1" * 15, *(v.to_bytes(16, "little", signed=signed) for v in values)]
+    for data in (pa.array(stored, pa.binary()), pa.array([b"\2" * 16, *stored, None], pa.binary()).slice(1, len(stored))):
+        found = wide._split(data, signed)
+        found.validate(full=True)
+        assert [None if v is None else int(v["hi"]) * 10**19 + int(v["lo"]) for v in found.to_pylist()] == [None] * 3 + values
+        assert all(0 <= v["lo"] < 10**19 for v in found.to_pylist()[3:])
+    assert wide._split(pa.array([], pa.binary()), signed).to_pylist() == []
+
+
+def test_no_lambda_where_a_value_is_used_once():
+    layout = Layout({"Detail": {"kind": "struct", "fields": [{"name": "marks", "type": {"vec": "u32"}}, {"name": "n", "type": "u8"}]}})
+    assert "->" not in layout.advance({"vec": "u32"}, "p", At())
+    assert "->" not in layout.advance({"defined": "Detail"}, "p", At("_end1"))
+    assert layout.json_text({"vec": "u32"}, "p", At()).count("->") == 1
+    # what an element needs is never worked out anew for each element of another list
+    assert layout.json_text({"vec": {"vec": "u32"}}, "p", At()).count("aggregate(") == 1
+    assert Layout({}).column("u128", "p", At())._jc.toString().startswith("unsigned_limbs(")
