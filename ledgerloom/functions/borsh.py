@@ -2,7 +2,8 @@
 
 A layout is compiled from the interface types into SQL text over a binary
 payload and an offset. Nothing here touches rows: decoding runs inside
-whole-stage code generation and prunes with the columns a query asks for. Text
+whole-stage code generation, but for the Arrow UDFs of keys and 128-bit integers
+in columns of their own, and prunes with the columns a query asks for. Text
 keeps plan building cheap: one parse per field, however deep its type.
 
 * ``advance``  - offset after a value, null when a tag byte is out of range
