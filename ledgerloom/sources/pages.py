@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ledgerloom.sources.documents import arrow_files
+
 NAME = "ledger_feed_pages"
 PLACES = 1 << 20  # of a page in feed positions
 SCHEMA = "signature string, slot bigint, feed_pos bigint"
@@ -56,20 +58,14 @@ class _Pages:
     def __init__(self, path: str):
         self.path = path
 
-    def _open(self) -> tuple[fs.FileSystem, str]:
-        if "://" in self.path or self.path.startswith("file:"):
-            bare = self.path.startswith("file:/") and not self.path.startswith("file://")
-            return fs.FileSystem.from_uri("file://" + self.path.removeprefix("file:") if bare else self.path)
-        return fs.LocalFileSystem(), self.path
-
     def numbers(self) -> list[int]:
-        files, base = self._open()
+        files, base = arrow_files(self.path)
         found = files.get_file_info(fs.FileSelector(base, allow_not_found=True))
         names = [f.base_name for f in found if f.type == fs.FileType.Directory]
         return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith("page=") and n.split("=", 1)[1].isdigit())
 
     def lines(self, number: int) -> Iterator[str]:
-        files, base = self._open()
+        files, base = arrow_files(self.path)
         inside = files.get_file_info(fs.FileSelector(f"{base}/page={number}"))
         for info in sorted(inside, key=lambda f: f.path):
             if info.type == fs.FileType.File and not info.base_name.startswith(("_", ".")):

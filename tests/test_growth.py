@@ -12,6 +12,8 @@ from ledgerloom.functions import base58
 from ledgerloom.operators import query as q
 from ledgerloom.plans import ingest as ing
 from ledgerloom.plans.store import FOLDERS, Store, folder_width
+from ledgerloom.sources import readers
+from ledgerloom.sources.documents import document_key, land_documents
 from tests import sample
 from tests.oracle import compare
 from tests.test_ingest import feed, frame
@@ -105,3 +107,25 @@ def test_inputs_of_one_row_group_are_encoded_by_several_tasks(spark, events, mon
     duck.execute(f"CREATE VIEW supplier AS SELECT * FROM '{events}/supplier.parquet'")
     got, want = compare(spark, duck, events, queries()["q_read_idl"], oracle_sql()["q_read_idl"])
     assert got == want and dealt == ["s_suppkey"]
+
+
+def test_documents_are_written_by_several_tasks_into_one_folder(spark, events):
+    assert inp.dealt(inp.table(spark, events, "supplier"), "s_suppkey").rdd.getNumPartitions() > 4  # not joined for their few bytes
+    files = [Path(f.removeprefix("file:")) for f in queries()["q_read_idl"](spark, events).inputFiles()]
+    assert len(files) == 30 and len({f.parent for f in files}) == 1
+
+
+@pytest.mark.parametrize("prefix", ["", "file:", "file://"])
+def test_a_file_for_each_key(spark, tmp_path, prefix):
+    rows = [(7, '{"address":"é"}'), (None, None), (-5, "{"), (3, ""), (3, "{}"), (7000000000, '{"address":"x"}')]
+    documents = inp.dealt(spark.createDataFrame(rows, "k bigint, value string"), "k")
+    for _ in range(2):  # as when tasks are repeated
+        land_documents(documents, f"{prefix}{tmp_path}/idl")
+    assert sorted(p.name for p in (tmp_path / "idl").iterdir()) == ["-5.json", "3.json", "7.json", "7000000000.json", "None.json"]
+    assert sorted((tmp_path / "idl" / "3.json").read_text().splitlines()) == ["", "{}"]
+    found = readers.read_idl(spark, f"{prefix}{tmp_path}/idl").select(document_key().alias("k"), "idl", "idl_error").collect()
+    errors = {r.k: r.idl_error for r in found}
+    assert len(found) == 5 and {r.k: r.idl for r in found}[7] == '{"address":"é"}\n'
+    assert errors == {7: None, None: "Failed to parse IDL JSON", -5: "Failed to parse IDL JSON", 3: "IDL has no program address", 7000000000: None}
+    land_documents(documents.limit(0), f"{prefix}{tmp_path}/none")
+    assert readers.read_idl(spark, f"{prefix}{tmp_path}/none").collect() == []

@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def dealt(rows: DataFrame, key: str) -> DataFrame:
     """The same rows over all cores. A table may be a few large row groups, and each of them
-    would be encoded by one task."""
-    return rows.repartition(key)
+    would be encoded by one task. Without a number Spark puts what is small in bytes together again."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def in_order(rows: DataFrame, key: str) -> DataFrame:

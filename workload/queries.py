@@ -22,6 +22,7 @@ from ledgerloom.plans import store as st
 from ledgerloom.plans.ingest import ingest
 from ledgerloom.session import shared_folder
 from ledgerloom.sources import readers
+from ledgerloom.sources.documents import document_key, land_documents
 from ledgerloom.streaming import realtime as rt
 from workload import inputs as inp
 
@@ -701,9 +702,8 @@ def q_read_idl(spark, sf_dir):
         F.concat(F.lit('{"address":"prog'), "s_suppkey", F.lit('"}')))
     path = shared_folder(spark, "idl")
     documents = inp.dealt(inp.table(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("value")), "s_suppkey")
-    # Tasks move their own files into place: by default the driver would move all of them, one by one.
-    documents.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("s_suppkey").text(path)
-    return readers.read_idl(spark, path).select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "idl_error")
+    land_documents(documents, path)
+    return readers.read_idl(spark, path).select(document_key().alias("s_suppkey"), "idl_error")
 
 
 # -- values --------------------------------------------------------------
